@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, sharding, warc
 from .bpe import with_token_counts
 from .shared import documents
 
@@ -14,9 +16,63 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(documents(spark, sf_dir), 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the archive against a mirror that has decoded &amp; and has not kept pages reached by a fragment."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    mirror = pages.filter(~F.coalesce(F.col("url").contains("#"), F.lit(False))).withColumn("html", F.replace("html", F.lit("&amp;"), F.lit("&")))
+    found = warc.audit(warc.leaves(pages), warc.leaves(mirror))
+    return found.select(F.col("id").alias("page_id"), "copies", "warc_file", "record_offset", "record_length", "record_sha256", "status")
+
+
+OP8_SQL = """
+WITH left_records AS (
+  SELECT page_id, sha256(rec) AS sha, strlen(rec)::BIGINT AS len, count(*)::BIGINT AS copies FROM (
+    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+    FROM pages) GROUP BY ALL),
+mirror AS (SELECT page_id, url, replace(html, '&amp;', '&') AS html FROM pages WHERE NOT coalesce(contains(url, '#'), false)),
+right_records AS (
+  SELECT page_id, sha256(rec) AS sha, strlen(rec)::BIGINT AS len, count(*)::BIGINT AS copies FROM (
+    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+    FROM mirror) GROUP BY ALL),
+l AS (SELECT coalesce(page_id, -1) AS id, string_agg(sha || ':' || copies, ',' ORDER BY sha) AS h FROM left_records GROUP BY 1),
+r AS (SELECT coalesce(page_id, -1) AS id, string_agg(sha || ':' || copies, ',' ORDER BY sha) AS h FROM right_records GROUP BY 1)
+SELECT x.page_id, copies, floor(coalesce(page_id, -1) / 4096.0)::BIGINT AS warc_file,
+  coalesce(sum(copies * len) OVER (PARTITION BY floor(coalesce(page_id, -1) / 4096.0) ORDER BY page_id NULLS FIRST, sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
+  len AS record_length, sha AS record_sha256,
+  CASE WHEN r.h IS NULL THEN 'missing' WHEN r.h <> l.h THEN 'altered' ELSE 'ok' END AS status
+FROM left_records x JOIN l ON l.id = coalesce(x.page_id, -1) LEFT JOIN r ON r.id = l.id
+"""
+
+
+def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS shuffle FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS budget FROM s),
+f AS (SELECT *, (budget - coalesce(sum(cap) OVER b, 0)) * weight >= cap * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS is_full
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN is_full THEN cap ELSE (budget - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / sum(weight) FILTER (NOT is_full) OVER () * weight END AS target FROM f),
+q AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY shuffle, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS sent
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (least(size, greatest(0, floor(target) - sent + size)) + least(size, greatest(0, floor(target) - source_size - sent + size)) + least(size, greatest(0, floor(target) - 2 * source_size - sent + size)))::BIGINT AS taken
+FROM q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op8_merkle_audit": op8_merkle_audit, "op10_fair_mix": op10_fair_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_merkle_audit": OP8_SQL, "op10_fair_mix": OP10_SQL}
