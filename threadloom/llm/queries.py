@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, warc
+from . import mixing, quality, sharding, warc
 from .bpe import with_token_counts
 from .shared import documents
 
@@ -21,6 +21,11 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.with_quality(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), *(F.col(f"q_fail_{r.name}").alias(f"fail_{r.name}") for r in quality.RULES))
+
+
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the archive against a mirror that has decoded &amp; and has not kept pages reached by a fragment."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -70,9 +75,41 @@ FROM q
 """
 
 
+def op3_sql() -> str:
+    """The same counts and thresholds; windows are compared as word lists."""
+    stop = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split())))
+    ratio = {
+        "n_words": "n_words",
+        "mean_word_chars": "word_chars / greatest(n_words, 1)",
+        "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+        "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
+        "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "capital_ratio": "n_capitals / greatest(word_chars, 1)",
+    }
+    rules = []
+    for r in quality.RULES:
+        bad = [f"({ratio[r.metric]}) < {r.low}"] * (r.low is not None) + [f"({ratio[r.metric]}) > {r.high}"] * (r.high is not None)
+        rules.append(f"(({' OR '.join(bad)}) AND n_words >= {r.from_words}) AS fail_{r.name}")
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT r, i, list_slice(words, i, i + 4) AS win FROM w, LATERAL (SELECT unnest(generate_series(1, len(words) - 4)) AS i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM win) WHERE n > 1),
+covered AS (SELECT r, sum(least(5, coalesce(next - i, 5)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM twice) GROUP BY r),
+c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
+    (n_lines - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN covered USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(rules)} FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"NOT fail_{r.name}" for r in quality.RULES)} AS kept, {", ".join(f"fail_{r.name}" for r in quality.RULES)} FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op8_merkle_audit": op8_merkle_audit, "op10_fair_mix": op10_fair_mix}
+    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op8_merkle_audit": op8_merkle_audit, "op10_fair_mix": op10_fair_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_merkle_audit": OP8_SQL, "op10_fair_mix": OP10_SQL}
+    return {"op3_quality_rules": op3_sql(), "op8_merkle_audit": OP8_SQL, "op10_fair_mix": OP10_SQL}
