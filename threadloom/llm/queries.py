@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, warc
+from . import media, mixing, quality, sharding, warc
 from .bpe import with_token_counts
-from .shared import documents
+from .shared import documents, stored
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), *(F.col(f"q_fail_{r.name}").alias(f"fail_{r.name}") for r in quality.RULES))
 
 
+def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are written as a table in the shared folder, and the features are those of the stored bytes."""
+    rows = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    kept = stored(media.with_media(rows).drop("text"), "media", compression="zstd")
+    return kept.withColumn("d", media.digest(F.col("media"))).select("doc_id", "n_bytes", "d.*")
+
+
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the archive against a mirror that has decoded &amp; and has not kept pages reached by a fragment."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -108,7 +115,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op8_merkle_audit": op8_merkle_audit, "op10_fair_mix": op10_fair_mix}
+    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op4_iso_media": op4_iso_media, "op8_merkle_audit": op8_merkle_audit, "op10_fair_mix": op10_fair_mix}
 
 
 def oracle_sql() -> dict[str, str]:

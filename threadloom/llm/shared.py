@@ -45,10 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/threadloom-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
