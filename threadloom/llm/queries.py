@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, sharding, warc
+from . import languages, media, mixing, packing, quality, sharding, warc
 from .bpe import with_token_counts
 from .shared import documents, stored
 
@@ -67,6 +67,11 @@ FROM left_records x JOIN l ON l.id = coalesce(x.page_id, -1) LEFT JOIN r ON r.id
 """
 
 
+def op9_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return languages.with_languages(rows, with_spans=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -119,7 +124,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op4_iso_media": op4_iso_media, "op6_differencing_pack": op6_differencing_pack, "op8_merkle_audit": op8_merkle_audit, "op10_fair_mix": op10_fair_mix}
+    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op4_iso_media": op4_iso_media, "op6_differencing_pack": op6_differencing_pack, "op8_merkle_audit": op8_merkle_audit, "op9_script_viterbi": op9_script_viterbi, "op10_fair_mix": op10_fair_mix}
 
 
 def oracle_sql() -> dict[str, str]:
