@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, media, mixing, packing, quality, sharding, toxicity, warc
+from . import languages, media, mixing, neardup, packing, quality, sharding, toxicity, warc
 from .bpe import with_token_counts
 from .shared import documents, stored
 
@@ -33,6 +33,10 @@ def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("d", media.digest(F.col("media"))).select("doc_id", "n_bytes", "d.*")
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=3, percent=85)
+
+
 def op6_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), with_tokens=False)
 
@@ -130,7 +134,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op4_iso_media": op4_iso_media, "op6_differencing_pack": op6_differencing_pack, "op7_noisy_or_toxicity": op7_noisy_or_toxicity, "op8_merkle_audit": op8_merkle_audit, "op9_script_viterbi": op9_script_viterbi, "op10_fair_mix": op10_fair_mix}
+    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op4_iso_media": op4_iso_media, "op5_hyperminhash": op5_hyperminhash, "op6_differencing_pack": op6_differencing_pack, "op7_noisy_or_toxicity": op7_noisy_or_toxicity, "op8_merkle_audit": op8_merkle_audit, "op9_script_viterbi": op9_script_viterbi, "op10_fair_mix": op10_fair_mix}
 
 
 def oracle_sql() -> dict[str, str]:
