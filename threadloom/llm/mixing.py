@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored, word_count
+from .shared import WORD, WORD_BREAK, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -47,14 +47,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return filled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight"))).select("source", "source_size", "weight", "budget", "target")
 
 
-def mixed_copies(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, share: float = 1.0) -> DataFrame:
+def mixed_copies(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, share: float = 1.0, row: Column | None = None) -> DataFrame:
     """One row for each time a document is sent: row, doc_id, size, source_size, target, repeat, virtual_finish, mix_offset, taken.
 
     Each row of df has one row with repeat 0 at least, with taken 0 if it isn't in the mix. mix_offset is the number of
     words before the copy in the mix. Null texts have size 0 and are never in the mix; null keys share a shuffle key;
-    a null source is a source. Repeated rows count each for itself. Extra columns of df are left out.
+    a null source is a source. Repeated rows count each for itself. Extra columns of df are left out. row: a number that
+    tells df's rows apart, if the caller has one.
     """
-    rows = stored(df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle_key(F.col(key), seed).alias("shuffle")))
+    rows = stored(df.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle_key(F.col(key), seed).alias("shuffle")))
     rows = rows.withColumn("bucket", F.substring("shuffle", 1, HASH_DIGITS))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     sizes = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats, share)
@@ -81,6 +82,17 @@ def mixed_copies(df: DataFrame, text: str = "text", key: str = "doc_id", source:
     return placed.select("row", "doc_id", "size", "source_size", "target", "repeat", "virtual_finish", "mix_offset", F.least("served", room).alias("taken"))
 
 
+def mixed_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix as rows of df: each as often as it is sent, the text of one cut at the budget's end up to its last word there.
+
+    df must give its rows in the same order each time it is read, as a stored table does.
+    """
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    copies = mixed_copies(numbered, text=text, row=F.col("__row"), **options).filter("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{WORD_BREAK[:-1]}*{WORD}"), F.lit(0)), F.lit(1), F.col("__taken").cast("int")), "")
+    return numbered.join(copies, "__row").withColumn(text, F.when(F.col("__taken") < F.col("__size"), head).otherwise(F.col(text))).select(*df.columns)
+
+
 def mixed(df: DataFrame, **options) -> DataFrame:
     """One row for each row of df: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
     return mixed_copies(df, **options).groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("taken").alias("taken"))

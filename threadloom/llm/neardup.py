@@ -349,3 +349,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """One row of df for each component: the one with the smallest id.
+
+    Of rows that share that id one stays; rows with a null id all stay. Columns and texts are unchanged.
+    """
+    kept = near_duplicates(df, text, key, **options).filter(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias("__kept")).distinct()
+    named = df.filter(F.col(key).isNotNull())
+    rows = named.join(kept, named[key].cast("long") == kept["__kept"], "left_semi").dropDuplicates([key])
+    return rows.unionByName(df.filter(F.col(key).isNull()))
