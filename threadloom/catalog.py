@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import reads
+from .plans import reads, search, traverse
 
-MODULES = (reads,)
+MODULES = (reads, search, traverse)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
