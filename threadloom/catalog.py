@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import reads, search, traverse
+from .plans import maintenance, reads, search, traverse
 
-MODULES = (reads, search, traverse)
+MODULES = (reads, search, traverse, maintenance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
