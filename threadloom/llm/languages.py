@@ -339,5 +339,5 @@ def with_languages(df: DataFrame, text: str = "text", lang: str = "lang", key: s
     Rows stay as they are, repeated ones too; columns that bear a new column's name (after prefix) are replaced.
     """
     model = learn(df.filter(~held_out(F.col(key))), text, lang, key)
-    found = df.withColumn(f"{prefix}held_out", held_out(F.col(key))).withColumn(f"{prefix}label", identify(df, model, F.col(text), with_spans))
-    return found.withColumns({f"{prefix}lang_pred": F.col(f"{prefix}label.lang"), f"{prefix}score": F.col(f"{prefix}label.score"), f"{prefix}lang_spans": F.col(f"{prefix}label.spans")}).drop(f"{prefix}label")
+    found = df.withColumn(f"{prefix}held_out", held_out(F.col(key))).withColumn("__label", identify(df, model, F.col(text), with_spans))
+    return found.withColumns({f"{prefix}lang_pred": F.col("__label.lang"), f"{prefix}score": F.col("__label.score"), f"{prefix}lang_spans": F.col("__label.spans")}).drop("__label")
