@@ -7,7 +7,8 @@ expected, estimates their similarity; what may reach the threshold is confirmed
 
 Equal sets are one representative from the start. In a band's group every member is first compared with the group's
 smallest id only, so a group of n gives n pairs. What lies in one component after that needs no comparing. In groups that
-still hold several components all pairs between components are then estimated, in blocks, and confirmed.
+still hold several components all pairs between components are then estimated and confirmed in blocks, where only links
+are written, never pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ ROWS = 4
 BANDS = BUCKETS // ROWS
 #: Standard errors by which an estimate may lie below the threshold and still be confirmed.
 MARGIN = 5.5
-#: Members of a leader or of a band's group that are worked off together.
+#: Members of a leader, a band's group or a family that are worked off together.
 BLOCK = 256
 MAX_WORDS = 200_000
 
@@ -274,44 +275,107 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def crossing(reps: DataFrame, comps: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a band and may reach the threshold, besides those tested.
+def forest(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of edges (k, others) over n nodes a few that connect the same: n - 1 at most."""
+    label = np.arange(n)
+    out = []
+    for k, others in found:
+        if not len(others):
+            continue
+        labels, at = np.unique(label[others], return_index=True)
+        new = labels != label[k]
+        if new.any():
+            out += [(k, int(j)) for j in others[at[new]]]
+            label[np.isin(label, labels)] = label[k]
+    return out
+
+
+def in_blocks(rows: DataFrame, group: list[str], payload: list[str], lo: str = "component") -> DataFrame:
+    """Rows of a group in blocks of about BLOCK, every two blocks of a group in one row: rows, right (null: with itself).
+
+    Pairs of blocks that hold a single component are left out.
+    """
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    blocks = blocks.groupBy(*group, "blocks", "block").agg(F.collect_list(F.struct(*payload)).alias("rows"), F.min(lo).alias("lo"), F.max(lo).alias("hi"))
+    left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = blocks.select(*group, F.col("block").alias("other"), F.col("rows").alias("right"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
+    met = left.join(right, [*group, "other"]).filter("lo <> hi OR rlo <> rhi OR lo <> rlo")
+    return met.select("rows", F.when(F.col("block") != F.col("other"), F.col("right")).alias("right"))
+
+
+def fields(batch: pa.RecordBatch, at: int, names: list[str]) -> tuple[int, dict[str, pa.Array]]:
+    """The rows of both blocks end to end, and how many are the first's (0: a block with itself)."""
+    one, two = batch.column(0)[at].values, batch.column(1)[at]
+    parts = [one, two.values] if two.is_valid else [one]
+    return (len(one) if two.is_valid else 0), {n: pa.concat_arrays([x.field(n) for x in parts]) for n in names}
+
+
+def edges_batch(ids: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    u = np.array([ids[k] for k, _ in edges], np.int64)
+    v = np.array([ids[j] for _, j in edges], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["id", "leader"])
+
+
+def candidates(first: int, component: np.ndarray, sizes: np.ndarray, registers_of: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows (of the other block, if there is one) of another component that may be similar."""
+    n = len(component)
+    for k in range(first or n):
+        other = np.arange(max(first, k + 1), n)
+        other = other[component[other] != component[k]]
+        if len(other):
+            yield k, other[may_reach(registers_of[other], registers_of[k][None, :], sizes[other], np.full(len(other), sizes[k]), percent)]
+
+
+def families(reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Representatives that share a band with one of another component that may be similar: id, family, component.
 
-    Groups with more than one component are cut into blocks by a hash, and every two blocks of a group meet in one row.
+    A family is closed: who may be similar to a member is in it. Only groups of bands that hold several components are
+    looked at, by registers, and each pair of blocks gives at most as many edges as it has rows.
     """
     labelled = reps.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     bands = labelled.select("id", "component", F.posexplode("bands").alias("band", "key")).filter(F.col("key") != 0)
-    mixed = bands.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").filter("n > 2").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).select("band", "key", "blocks")
-    mixed = stored(bands.join(mixed, ["band", "key"]).select("band", "key", "id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")))
-    rows = mixed.join(labelled.select("id", "n_shingles", "bands"), "id")
-    blocks = rows.groupBy("band", "key", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "n_shingles", "bands")).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    right = blocks.select("band", "key", F.col("block").alias("other"), F.col("rows").alias("right"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
-    met = left.join(right, ["band", "key", "other"]).filter("lo <> hi OR rlo <> rhi OR lo <> rlo").select("rows", F.when(F.col("block") != F.col("other"), F.col("right")).alias("right"))
+    mixed = bands.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "key")
+    rows = bands.join(mixed, ["band", "key"]).join(reps.select("id", "n_shingles", "bands"), "id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                first, x = fields(batch, at, ["id", "component", "n_shingles", "bands"])
+                ids = x["id"].to_numpy()
+                yield edges_batch(ids, forest(len(ids), candidates(first, x["component"].to_numpy(), x["n_shingles"].to_numpy(), as_registers(x["bands"]), percent)))
+
+    edges = in_blocks(rows, ["band", "key"], ["id", "component", "n_shingles", "bands"]).mapInArrow(meet, "id bigint, leader bigint").distinct()
+    return components(edges).withColumnRenamed("component", "family").join(labelled.select("id", "component"), "id")
+
 
-    def columns(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        s = cell.values
-        return s.field("id").to_numpy(), s.field("component").to_numpy(), s.field("n_shingles").to_numpy(), as_registers(s.field("bands"))
+def within(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Confirmed links between components of each family (id, family, component), as many as connect them.
+
+    Every two blocks of a family meet once with their texts; all pairs that may be similar are compared on full sets there.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = shingler_of(width)
         for batch in batches:
             for at in range(len(batch)):
-                one = columns(batch.column(0)[at])
-                alone = not batch.column(1)[at].is_valid
-                two = one if alone else columns(batch.column(1)[at])
-                ids, leads = [], []
-                for k in range(len(one[0])):
-                    other = np.flatnonzero(two[1] != one[1][k])
-                    if alone:
-                        other = other[other > k]
-                    if not len(other):
-                        continue
-                    good = other[may_reach(two[3][other], one[3][k][None, :], two[2][other], np.full(len(other), one[2][k]), percent)]
-                    ids.append(np.maximum(two[0][good], one[0][k]))
-                    leads.append(np.minimum(two[0][good], one[0][k]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (ids, leads)], names=["id", "leader"])
+                first, x = fields(batch, at, ["id", "component", "text"])
+                sets = list(shingler.sets(x["text"].cast(pa.binary()).to_pylist()))
+                sizes = np.array([len(s) for s in sets], np.int64)
+
+                def similar(first=first, x=x, sets=sets, sizes=sizes) -> Iterator[tuple[int, np.ndarray]]:
+                    for k, others in candidates(first, x["component"].to_numpy(), sizes, np.array([registers(s) for s in sets]), percent):
+                        own, good = sets[k], []
+                        for j in others:
+                            s = sets[j]
+                            both = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+                            if 100 * both >= percent * (len(own) + len(s) - both):
+                                good.append(j)
+                        yield k, np.array(good, np.int64)
+
+                yield edges_batch(x["id"].to_numpy(), forest(len(sets), similar()))
 
-    return met.mapInArrow(meet, "id bigint, leader bigint").distinct().join(tested, ["id", "leader"], "left_anti")
+    return in_blocks(members.join(texts, "id"), ["family"], ["id", "component", "text"]).mapInArrow(meet, "id bigint, leader bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -338,11 +402,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     if not apart.isEmpty():
         links = stored(links.unionByName(confirmed(with_members(apart), texts, percent, width)))
         comps = components(links)
-    tested = pairs.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader"))
-    rest = stored(crossing(reps, comps, tested, percent), "crossing")
+    rest = stored(families(reps, comps, percent), "families")
     if not rest.isEmpty():
-        more = stored(rest.select("id").unionByName(rest.select(F.col("leader").alias("id"))).distinct().join(reps.select("id", "k1"), "id"))
-        links = links.unionByName(confirmed(with_members(rest), stored(texts_of(df, more, text, key, width), "texts"), percent, width))
+        more = rest.select("id").join(reps.select("id", "k1"), "id")
+        links = links.unionByName(within(rest, texts_of(df, more, text, key, width), percent, width))
         comps = components(links)
     # one id may name several sets, so components meet there too
     of_set = reps.join(comps, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
