@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from threadloom.llm import languages, mixing, neardup, packing, quality
 from threadloom.llm.shared import stored
 
-#: Least score of a language that a document needs to stay.
-MIN_LANGUAGE_SCORE = 0.3
+#: Least score of a language that a document needs to stay; texts that mix languages are above.
+MIN_LANGUAGE_SCORE = 0.05
 
 #: Stages 1, 3 and 5 are iterative or learned, so no SQL stands for the whole; tests hold them against brute force.
 ORACLE_SQL = None

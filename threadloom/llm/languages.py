@@ -287,9 +287,9 @@ LABELS_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("span
 def identify(df: DataFrame, model: Model, text: Column, with_spans: bool = True) -> Column:
     """Struct of lang, score and spans of each text.
 
-    lang: the language that labels most letters; und for null texts and those without a letter, with score 0 and no spans,
-    and for all where nothing was learned. score: the share of letters so labelled, halved as the whole text's likelihood
-    speaks for another language. spans: runs of words (numbered from 0, between white space) of one language.
+    lang: the language whose word scores have the highest sum; und for null texts and those without a letter, with score 0
+    and no spans, and for all where nothing was learned. score: half the share of letters in spans of that language, and half
+    for how far its sum is ahead of the next. spans: runs of words (numbered from 0, between white space) of one language.
     """
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -314,14 +314,14 @@ def identify(df: DataFrame, model: Model, text: Column, with_spans: bool = True)
                         rows.append({"lang": UND, "score": 0.0, "spans": []})
                         continue
                     share = np.bincount(path, letters, len(langs))
-                    top = int(share.argmax())
+                    top = int(total.argmax())
                     margin = total[top] - max((x for k, x in enumerate(total) if k != top), default=-np.inf)
-                    score = share[top] / share.sum() * (0.5 + 0.5 / (1 + np.exp(-np.clip(margin, -50, 50))))
+                    score = 0.5 * share[top] / share.sum() + 0.5 * np.tanh(margin / (2 * CLIP))
                     spans = []
                     if with_spans:
                         cut = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
                         spans = [{"lang": langs[path[a]], "word": int(a), "words": int(n)} for a, n in zip(cut, np.diff(np.append(cut, len(path))), strict=True)]
-                    rows.append({"lang": langs[top], "score": float(min(1.0, score)), "spans": spans})
+                    rows.append({"lang": langs[top], "score": float(np.clip(score, 0.0, 1.0)), "spans": spans})
                 part, size = [], 0
             yield pa.array(rows, LABELS_ARROW)
 
