@@ -30,8 +30,11 @@ ROWS = 4
 BANDS = BUCKETS // ROWS
 #: Standard errors by which an estimate may lie below the threshold and still be confirmed.
 MARGIN = 5.5
-#: Members of a leader, a band's group or a family that are worked off together.
+#: Members of a leader or a family that are worked off together with their texts, and of a band's group with registers.
 BLOCK = 256
+REGISTER_BLOCK = 1024
+#: Up to so many ids are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 MAX_WORDS = 200_000
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -171,11 +174,16 @@ def as_registers(bands: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(bands.flatten().to_numpy(zero_copy_only=False)).view("<u2").reshape(len(bands), BUCKETS)
 
 
-def leaders(reps: DataFrame) -> DataFrame:
-    """Pairs of a representative and the smallest one of a band's group, with the number of bands they meet in."""
+def shared_bands(reps: DataFrame) -> DataFrame:
+    """Bands that more than one representative has: band, key, id and leader, the smallest id of the group."""
     bands = reps.select("id", F.posexplode("bands").alias("band", "key")).filter(F.col("key") != 0)
     groups = bands.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    return bands.join(groups, ["band", "key"]).filter(F.col("id") != F.col("leader")).select("id", "leader").distinct()
+    return bands.join(groups, ["band", "key"]).select("band", "key", "id", "leader")
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows joined with a stored table of ids: broadcast if there are few, so that texts stay where they are."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +218,8 @@ def texts_of(df: DataFrame, ids: DataFrame, text: str, key: str, width: int) ->
             keep = [set_key(s)[0] for _, texts in parts(batch, 1) for s in shingler.sets(texts)]
             yield batch.select([0, 1]).filter(pa.array([a == b for a, b in zip(keep, wanted, strict=True)], pa.bool_()))
 
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id").select("id", "text", "k1")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = by_ids(rows, ids, "id").select("id", "text", "k1")
     return rows.mapInArrow(own, "id bigint, text string")
 
 
@@ -290,12 +299,12 @@ def forest(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, i
     return out
 
 
-def in_blocks(rows: DataFrame, group: list[str], payload: list[str], lo: str = "component") -> DataFrame:
-    """Rows of a group in blocks of about BLOCK, every two blocks of a group in one row: rows, right (null: with itself).
+def in_blocks(rows: DataFrame, group: list[str], payload: list[str], size: int, lo: str = "component") -> DataFrame:
+    """Rows of a group in blocks of about size, every two blocks of a group in one row: rows, right (null: with itself).
 
     Pairs of blocks that hold a single component are left out.
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"))
     blocks = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     blocks = blocks.groupBy(*group, "blocks", "block").agg(F.collect_list(F.struct(*payload)).alias("rows"), F.min(lo).alias("lo"), F.max(lo).alias("hi"))
     left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
@@ -327,14 +336,13 @@ def candidates(first: int, component: np.ndarray, sizes: np.ndarray, registers_o
             yield k, other[may_reach(registers_of[other], registers_of[k][None, :], sizes[other], np.full(len(other), sizes[k]), percent)]
 
 
-def families(reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def families(reps: DataFrame, shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Representatives that share a band with one of another component that may be similar: id, family, component.
 
     A family is closed: who may be similar to a member is in it. Only groups of bands that hold several components are
     looked at, by registers, and each pair of blocks gives at most as many edges as it has rows.
     """
-    labelled = reps.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    bands = labelled.select("id", "component", F.posexplode("bands").alias("band", "key")).filter(F.col("key") != 0)
+    bands = shared.select("band", "key", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = bands.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "key")
     rows = bands.join(mixed, ["band", "key"]).join(reps.select("id", "n_shingles", "bands"), "id")
 
@@ -345,8 +353,9 @@ def families(reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
                 ids = x["id"].to_numpy()
                 yield edges_batch(ids, forest(len(ids), candidates(first, x["component"].to_numpy(), x["n_shingles"].to_numpy(), as_registers(x["bands"]), percent)))
 
-    edges = in_blocks(rows, ["band", "key"], ["id", "component", "n_shingles", "bands"]).mapInArrow(meet, "id bigint, leader bigint").distinct()
-    return components(edges).withColumnRenamed("component", "family").join(labelled.select("id", "component"), "id")
+    edges = in_blocks(rows, ["band", "key"], ["id", "component", "n_shingles", "bands"], REGISTER_BLOCK).mapInArrow(meet, "id bigint, leader bigint").distinct()
+    found = components(edges).withColumnRenamed("component", "family").join(comps, "id", "left")
+    return found.withColumn("component", F.coalesce("component", "id"))
 
 
 def within(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -375,7 +384,7 @@ def within(members: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 
                 yield edges_batch(x["id"].to_numpy(), forest(len(sets), similar()))
 
-    return in_blocks(members.join(texts, "id"), ["family"], ["id", "component", "text"]).mapInArrow(meet, "id bigint, leader bigint").distinct()
+    return in_blocks(members.join(texts, "id"), ["family"], ["id", "component", "text"], BLOCK).mapInArrow(meet, "id bigint, leader bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -389,7 +398,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     signed = stored(signatures(df, text, key, width), "signatures")
     reps = signed.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     reps = stored(reps, "representatives")
-    pairs = stored(estimated(leaders(reps), reps, percent), "pairs")
+    shared = stored(shared_bands(reps), "shared")
+    pairs = stored(estimated(shared.filter("id <> leader").select("id", "leader").distinct(), reps, percent), "pairs")
     # the likeliest leader of each first; then what is still apart
     first = stored(pairs.groupBy("id").agg(F.max_by("leader", F.struct("estimate", -F.col("leader"))).alias("leader")))
     ends = stored(pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct().join(reps.select("id", "k1"), "id"))
@@ -402,9 +412,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     if not apart.isEmpty():
         links = stored(links.unionByName(confirmed(with_members(apart), texts, percent, width)))
         comps = components(links)
-    rest = stored(families(reps, comps, percent), "families")
+    rest = stored(families(reps, shared, comps, percent), "families")
     if not rest.isEmpty():
-        more = rest.select("id").join(reps.select("id", "k1"), "id")
+        more = stored(rest.select("id").join(reps.select("id", "k1"), "id"))
         links = links.unionByName(within(rest, texts_of(df, more, text, key, width), percent, width))
         comps = components(links)
     # one id may name several sets, so components meet there too
@@ -419,7 +429,10 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", **optio
 
     Of rows that share that id one stays; rows with a null id all stay. Columns and texts are unchanged.
     """
-    kept = near_duplicates(df, text, key, **options).filter(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = df.filter(F.col(key).isNotNull())
-    rows = named.join(kept, named[key].cast("long") == kept["__kept"], "left_semi").dropDuplicates([key])
-    return rows.unionByName(df.filter(F.col(key).isNull()))
+    near = stored(near_duplicates(df, text, key, **options).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"))
+    dropped = stored(near.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct())
+    repeated = stored(near.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id"))
+    rows = by_ids(df.withColumn("__id", F.col(key).cast("long")), dropped, "__id", "left_anti")
+    if not repeated.isEmpty():
+        rows = by_ids(rows, repeated, "__id", "left_anti").unionByName(by_ids(rows, repeated, "__id", "left_semi").dropDuplicates(["__id"]))
+    return rows.select(*df.columns)
