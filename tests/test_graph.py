@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import catalog
 from threadloom.functions.scoring import cosine
 from threadloom.functions.text import gist, stem
 from threadloom.operators import audit, items, reads, search, temporal, traverse, writes
@@ -122,6 +123,20 @@ def test_provenance(spark):
     assert {r.id: r.state for r in audit.provenance(claims, texts).collect()} == {1: "exact", 2: "fuzzy", 3: "missing", 4: "no_link"}
 
 
+def test_every_passage_is_looked_for_in_every_text(spark, tmp_path):
+    long = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango"
+    passages = {0: long, 41: "The  quick brown Fox jumps", 77: "pure luck", 150: "cut words here now", 199: "", 300: None}
+    texts = {
+        1: f"so {long} and the quick\nbrown fox jumps.", 41: "UNCUT words here nowadays", 2: " ".join(reversed(long.split()[:17])), 3: " ".join(long.split()[3:19]), 77: "a pure luck", 40: None, 5: "",
+    }
+    spark.createDataFrame(list(passages.items()), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["g18_held_passages"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, -1 if r.item_id is None else r.item_id, r.state) for r in got) == [
+        (1, 0, "exact"), (1, 41, "exact"), (2, 0, "fuzzy"), (3, -1, "missing"), (5, -1, "missing"), (40, -1, "missing"), (41, 150, "exact"), (77, 77, "exact"),
+    ]
+
+
 def test_items(spark):
     p = spark.createDataFrame([("fact", {"value": " v ", "z": "1"}), ("dead_end", {"reason": "r"}), ("note", {"b": "2", "a": " "}), ("insight", {"observation": "o", "odd": "x"})], "type string, u map<string,string>")
     got = p.select(items.primary_value(F.col("type"), F.col("u")).alias("v"), items.checked(F.col("type"), F.col("u")).alias("c")).collect()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import terms
-from ..sources.graph import current, live
+from ..sources.checkpoints import settled
+from ..sources.graph import current, live, normal_text
 
 #: Node types that are never archived, and the hours after which a time to live ends.
 PROTECTED = ("decision", "constraint", "project")
@@ -104,15 +106,42 @@ def provenance(claims: DataFrame, texts: DataFrame, fuzzy: float = 0.85) -> Data
 
     exact: the normalised excerpt is in the normalised text; fuzzy: the text has that share of the excerpt's distinct words.
     """
-    from ..sources.graph import normal_text
-
     e, t = normal_text(F.col("excerpt")), normal_text(F.col("text"))
-    words = terms(F.col("excerpt"), 1)
-    share = F.size(F.array_intersect(words, terms(F.col("text"), 1))) / F.greatest(F.size(words), F.lit(1))
-    state = F.when(F.contains(t, e), "exact").when(share >= fuzzy, "fuzzy").otherwise("missing")
+    state = held_state(e, t, terms(F.col("excerpt"), 1), terms(F.col("text"), 1), fuzzy)
     return claims.join(texts, "id", "left").withColumn("state", F.when(F.col("text").isNull(), "no_link").otherwise(state))
 
 
+def held_state(excerpt: Column, text: Column, words: Column, text_words: Column, fuzzy: float) -> Column:
+    share = F.size(F.array_intersect(words, text_words)) / F.greatest(F.size(words), F.lit(1))
+    return F.when(F.contains(text, excerpt), "exact").when(share >= fuzzy, "fuzzy").otherwise("missing")
+
+
+def held_passages(passages: DataFrame, texts: DataFrame, fuzzy: float = 0.85) -> DataFrame:
+    """Every passage (item_id, text) that each text (doc_id, text) holds: doc_id, item_id, exact or fuzzy.
+
+    Texts that hold none give one row, missing, without an item_id; blank passages are none. Nothing is passed over: a text
+    that holds a passage of n words lacks at most n - fuzzy * n of them, or its first and last, which may be parts of words,
+    so it has one of any k = max(n - floor(fuzzy * n) + 1, 3). Passages are met on their k rarest words, then checked
+    in full. Which words are rare is taken from a sixteenth of the texts; that changes the pairs met, never the result.
+    Passages of under three words are compared with every text.
+    """
+    asked = settled(passages.filter(normal_text(F.col("text")) != "").select("item_id", F.col("text").alias("excerpt"), terms(F.col("text"), 1).alias("words")))
+    n = F.size("words")
+    words = asked.filter(n >= 3).select("item_id", F.greatest(n - F.floor(n * F.lit(fuzzy)) + 1, F.lit(3)).alias("k"), F.explode("words").alias("word"))
+    spread = texts.select("doc_id", F.explode(terms(F.col("text"), 1)).alias("word"))
+    seen = spread.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), F.desc(F.length("word")), "word"))
+    index = settled(words.join(seen, "word", "left").withColumn("place", rarest).filter("place <= k").select("word", "item_id"))
+    met = spread.join(index, "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    short = asked.filter(n < 3).agg(F.collect_set("item_id").alias("short")).head().short
+    rows = texts.join(met, "doc_id", "left").withColumn("items", F.array_union(F.coalesce("items", F.array().cast(met.schema["items"].dataType)), F.lit(short).cast(met.schema["items"].dataType)))
+    read = rows.filter(F.size("items") > 0).select("doc_id", "items", normal_text(F.col("text")).alias("t"), terms(F.col("text"), 1).alias("text_words"))
+    pairs = read.select("doc_id", F.explode("items").alias("item_id"), "t", "text_words").join(asked.select("item_id", normal_text(F.col("excerpt")).alias("e"), "words"), "item_id")
+    found = settled(pairs.select("doc_id", "item_id", held_state(F.col("e"), F.col("t"), F.col("words"), F.col("text_words"), fuzzy).alias("state")).filter("state <> 'missing'"))
+    none = texts.select("doc_id").join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return found.unionByName(none.select("doc_id", F.lit(None).cast(found.schema["item_id"].dataType).alias("item_id"), F.lit("missing").alias("state")))
+
+
 def next_tasks(tasks: DataFrame, needs: DataFrame, done: DataFrame) -> DataFrame:
     """Open tasks (id, priority, created_at) all of whose needs (id, needed) are done, in order of work."""
     missing = needs.join(done.select(F.col("id").alias("needed")), "needed", "left_anti").select("id").distinct()

@@ -158,6 +158,19 @@ def provenance(g: GraphStore) -> DataFrame:
     return found.filter("state <> 'no_link'").select("doc_id", F.col("id").alias("item_id"), "state")
 
 
+@query(
+    "g18_held_passages",
+    """
+WITH claims AS (SELECT item_id, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\n]+', ' ', 'g')) AS norm, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda x: x <> '') AS w FROM benchmark),
+docs AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\n]+', ' ', 'g')) AS norm, list_distinct(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')) AS w FROM documents),
+found AS (SELECT * FROM (SELECT doc_id, item_id, CASE WHEN contains(d.norm, b.norm) THEN 'exact' WHEN len(list_intersect(b.w, d.w)) / greatest(len(b.w), 1) >= 0.85 THEN 'fuzzy' END AS state FROM docs d, claims b WHERE b.norm <> '') WHERE state IS NOT NULL)
+SELECT doc_id, item_id, state FROM found UNION ALL SELECT doc_id, NULL, 'missing' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id)""",
+)
+def held_passages(g: GraphStore) -> DataFrame:
+    """Every passage that each document holds; g18_provenance looks at one linked passage a document only."""
+    return A.held_passages(g.table("benchmark").select("item_id", "text"), g.table("documents").select("doc_id", "text"))
+
+
 @query("g21_describe_selection", sql("SELECT project_id, count(*) AS members, count(*) FILTER (created_at > TIMESTAMP '2001-01-01') AS grown FROM live WHERE project_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 100 AND count(*) FILTER (created_at > TIMESTAMP '2001-01-01') >= 10", NODES))
 def describe_selection(g: GraphStore) -> DataFrame:
     return live(g.nodes()).filter("project_id IS NOT NULL").groupBy("project_id").agg(F.count("*").alias("members"), F.count_if(F.col("created_at") > at("2001-01-01 00:00:00")).alias("grown")).filter("members >= 100 AND grown >= 10")
