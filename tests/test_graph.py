@@ -41,6 +41,22 @@ def test_walk_ends_on_cycles(spark):
     assert {r.id: r.depth for r in traverse.walk(e, start, True).collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_walks_have_no_last_level(spark):
+    ids = [f"n{k:03}" for k in range(306)]
+    e = edges(spark, *((b, a, "prompted_by") for a, b in zip(ids, ids[1:], strict=False))).coalesce(1)
+    start = spark.createDataFrame([("n305",)], "start string")
+    assert {r.id: r.depth for r in traverse.walk(e, start, True).collect()} == {x: 305 - k for k, x in enumerate(ids)}
+    assert traverse.walk(e, start, True, 9).count() == 10
+    n = nodes(spark, *({"id": x, "type": "fact"} for x in ids))
+    assert items.rescued(n, e, start.withColumnRenamed("start", "id")).count() == 306
+
+
+def test_top_roots_have_no_last_level_and_cycles_end(spark):
+    up = [(f"p{k:02}", f"p{k - 1:02}" if k else None) for k in range(12)] + [("x", "z"), ("y", "x"), ("z", "y"), ("w", "z"), ("s", "s"), ("u", "gone")]
+    got = {r.id: (r.top, r.up_levels) for r in traverse.top_roots(spark.createDataFrame(up, "id string, project_id string")).collect()}
+    assert got == {f"p{k:02}": ("p00", k) for k in range(12)} | {"x": ("x", 0), "y": ("x", 1), "z": ("x", 2), "w": ("x", 3), "s": ("s", 0), "u": ("u", 0)}
+
+
 def test_next_hop_is_the_conclusive_one(spark):
     n = nodes(spark, {"id": "a", "type": "fact"}, {"id": "b", "type": "fact", "access_count": 9}, {"id": "c", "type": "dead_end"})
     e = edges(spark, ("b", "a", "based_on"), ("c", "a", "based_on"))

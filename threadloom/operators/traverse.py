@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.checkpoints import settled
+from ..sources.checkpoints import grown, settled
 
 #: Which edges order a thread, which bridge threads and how strongly, and how conclusive a node type is.
 SPINE = ("prompted_by", "based_on", "extends", "supersedes", "derived_from", "resolves")
@@ -62,36 +62,59 @@ def root_relatedness(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return pairs, alone
 
 
-def top_roots(roots: DataFrame, levels: int = 8) -> DataFrame:
-    """Each project's topmost project and how far up it is; projects whose parent is unknown are topmost."""
+def uncycled(parent: DataFrame) -> DataFrame:
+    """Parents (at, up) without that of the smallest id of each cycle; paths double in length each round."""
+    n, length = parent.count(), 1
+    path = settled(parent.withColumn("least", F.col("at")))
+    while length <= n and not path.isEmpty():
+        far = path.select(F.col("at").alias("up"), F.col("up").alias("next"), F.col("least").alias("then"))
+        path = settled(path.join(far, "up").select("at", F.col("next").alias("up"), F.least("least", "then").alias("least")))
+        length *= 2
+    on = path.select(F.col("up").alias("at")).distinct()
+    return parent.join(path.join(on, "at", "left_semi").filter("at = least").select("at"), "at", "left_anti")
+
+
+def top_roots(roots: DataFrame, levels: int | None = None) -> DataFrame:
+    """Each project's topmost project and how far up it is, to any depth unless levels are given.
+
+    Projects whose parent is unknown are topmost; of a cycle, the smallest id is.
+    """
     parent = settled(roots.select(F.col("id").alias("at"), F.col("project_id").alias("up")))
     known = parent.select(F.col("at").alias("up")).distinct()
     parent = settled(parent.join(known, "up", "left_semi").select("at", "up"))
+    parent = settled(uncycled(parent))
     found = roots.select("id", F.col("id").alias("at"), F.lit(0).cast("bigint").alias("up_levels"))
-    for _ in range(levels):
+    level = 0
+    while levels is None or level < levels:
         step = settled(found.join(parent, "at", "left").select("id", F.coalesce("up", "at").alias("at"), (F.col("up_levels") + F.col("up").isNotNull().cast("bigint")).alias("up_levels"), F.col("up").isNotNull().alias("moved")))
         found = step.drop("moved")
         if step.filter("moved").isEmpty():
             break
+        level += 1
     return found.select("id", F.col("at").alias("top"), "up_levels")
 
 
-def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int = 300) -> DataFrame:
-    """Nodes reached from starts (start): start, id, depth (the fewest edges), towards causes or effects; starts at 0."""
+def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int | None = None) -> DataFrame:
+    """Nodes reached from starts (start): start, id, depth (the fewest edges), towards causes or effects; starts at 0.
+
+    Goes on until nothing new is reached, unless levels are given; visited nodes end it on cycles.
+    """
     a, b = ("source_id", "target_id") if upwards else ("target_id", "source_id")
     hops = settled(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct())
     frontier = settled(starts.select("start", F.col("start").alias("id"), F.lit(0).cast("bigint").alias("depth")))
-    seen = frontier
-    for depth in range(1, levels + 1):
+    parts: list[tuple[int, DataFrame]] = []
+    seen, depth = grown(parts, frontier), 0
+    while levels is None or depth < levels:
+        depth += 1
         step = frontier.join(hops, "id").select("start", F.col("next").alias("id")).distinct()
         frontier = settled(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = grown(parts, frontier)
     return seen
 
 
-def thread(edges: DataFrame, starts: DataFrame, levels: int = 300) -> DataFrame:
+def thread(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> DataFrame:
     """The thread of each start: start, id, depth (causes below 0, effects above) and role.
 
     Causes are walked first; what both walks reach counts as a cause. Origins have no cause, leaves no effect in the thread.

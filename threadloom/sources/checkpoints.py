@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,15 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def grown(parts: list[tuple[int, DataFrame]], more: DataFrame) -> DataFrame:
+    """The union of parts and more, which joins them; eight parts of a rank become one stored part of the next.
+
+    A plan over n rounds so has few inputs, and a row is written again once for each power of eight.
+    """
+    parts.append((0, more))
+    while len(parts) >= 8 and len({rank for rank, _ in parts[-8:]}) == 1:
+        rank, last = parts[-1][0], [df for _, df in parts[-8:]]
+        parts[-8:] = [(rank + 1, settled(reduce(DataFrame.unionByName, last)))]
+    return reduce(DataFrame.unionByName, [df for _, df in parts])
