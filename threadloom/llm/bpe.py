@@ -9,6 +9,7 @@ already seen are looked up.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship_package
+from .shared import named, ship_package
 
 #: Fixed values of the byte-level format: the split pattern and the printable bytes that stand for themselves.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -144,14 +145,21 @@ class Units(dict):
         return n
 
 
+#: White space besides space and line feed, in ASCII and beyond.
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def plain_breaks(text: str) -> bool:
     """True if all white space of text is single spaces and line feeds between other characters.
 
     Then each space opens a pre-token and each line feed is one, so the text can be cut there.
     """
-    words = text.split()
-    breaks = text.count(" ") + text.count("\n")
-    return len(words) == breaks + 1 and sum(map(len, words)) + breaks == len(text) and "\x00" not in text
+    if text[:1] in " \n" or text[-1:] in " \n" or "\x00" in text:
+        return False
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in OTHER_SPACE) and (text.isascii() or not any(c in text for c in WIDE_SPACE))
 
 
 class Tokens:
@@ -167,22 +175,27 @@ class Tokens:
         self.ids = np.zeros(0, np.int32)
 
     def _learn(self) -> None:
-        new = list(self.units)[len(self.counts) :] if len(self.counts) < len(self.units) else []
+        known = len(self.counts)
+        new = list(itertools.islice(reversed(self.units), len(self.units) - known))[::-1]
         if not new:
             return
         m = self.merger
-        whole = np.fromiter((u in m.special or u.isspace() for u in new), bool, len(new))
-        counts = np.zeros(len(new), np.int64)
         streams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # unit, tokens of each piece, ids
-        for k in np.flatnonzero(whole):
-            if new[k] in m.special:
-                streams.append((np.array([k]), np.array([1]), np.array([m.special[new[k]]], np.int32)))
-        blank = [k for k in np.flatnonzero(whole) if new[k] not in m.special]
-        if blank:
-            coded = [new[k].encode("utf-8", "replace") for k in blank]
+        special = np.zeros(len(new), bool)
+        for s, i in m.special.items():
+            k = self.units.get(s, -1) - known
+            if k >= 0:
+                special[k] = True
+                streams.append((np.array([k]), np.array([1]), np.array([i], np.int32)))
+        # one piece each: white space, and letters with or without a space before them
+        blank = np.fromiter(map(str.isspace, new), bool, len(new)) & ~special
+        letters = np.fromiter((u.isalpha() or u[0] == " " and u[1:].isalpha() for u in new), bool, len(new)) & ~special
+        single = np.flatnonzero(blank | letters)
+        if len(single):
+            coded = [new[k].encode("utf-8", "replace") for k in single]
             ids, n = m.merge(np.frombuffer(b"".join(coded), np.uint8), np.fromiter(map(len, coded), np.int64, len(coded)))
-            streams.append((np.array(blank), n, ids))
-        rest = np.flatnonzero(~whole)
+            streams.append((single, n, ids))
+        rest = np.flatnonzero(~(blank | letters | special))
         if len(rest):
             # a line feed between units is a piece of its own and changes no other piece
             joined = "\n".join(new[k] for k in rest)
@@ -289,4 +302,4 @@ def with_token_counts(df: DataFrame, text: str = "text", limit: int = 512, vocab
     but columns that bear the names of the new ones (after prefix) are replaced.
     """
     ship_package(df.sparkSession)
-    return df.withColumn(f"{prefix}n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn(f"{prefix}n_tokens", F.coalesce(token_count(F.col(text), vocabulary), F.lit(0)).cast("long")).withColumn(f"{prefix}over_limit", F.col(f"{prefix}n_tokens") > limit)
+    return df.withColumn(f"{prefix}n_bytes", F.coalesce(F.octet_length(named(text)), F.lit(0)).cast("long")).withColumn(f"{prefix}n_tokens", F.coalesce(token_count(named(text), vocabulary), F.lit(0)).cast("long")).withColumn(f"{prefix}over_limit", F.col(f"{prefix}n_tokens") > limit)

@@ -16,16 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bpe import tokens_of, vocabulary_path
-from .shared import ship_package
+from .shared import named, ship_package
 
 CAPACITY = 1024
 #: What a document has over full sequences is cut into near equal pieces of at most so many tokens.
 PIECE = 256
 #: Pieces that are packed together.
-GROUP = 1536
+GROUP = 1024
 
 
 def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -75,13 +74,20 @@ def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Window of each size with no window over capacity; the number of windows starts at the least possible and rises."""
+def least_windows(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
+    return max(1, -(-int(sizes.sum()) // capacity))
+
+
+def windows(sizes: np.ndarray, capacity: int = CAPACITY, spare: int = 0) -> np.ndarray:
+    """Window of each size with no window over capacity.
+
+    The number of windows starts spare above the least possible and rises by one whenever a window is over capacity.
+    """
     if not len(sizes):
         return np.zeros(0, np.int64)
     if sizes.max() > capacity:
         raise ValueError("a piece is larger than a window")
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    k = least_windows(sizes, capacity) + spare
     while True:
         found = differenced(sizes, k)
         load = np.bincount(found, sizes, k)
@@ -116,12 +122,16 @@ def packed(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
         sequence = TaskContext.get().partitionId() << 40
         waiting: list[tuple] = []
         done: list[tuple] = []
-        held = 0
+        held = spare = 0
 
         def settle() -> None:
-            nonlocal sequence
+            nonlocal sequence, spare
             sizes = np.array([p[2] for p in waiting], np.int64)
-            found = windows(sizes, capacity)
+            # groups of one partition are alike: one window less than the last needed, in proportion, is where to begin
+            least = least_windows(sizes, capacity)
+            found = windows(sizes, capacity, max(0, spare * len(sizes) // GROUP - 1))
+            if len(sizes) == GROUP:
+                spare = int(found.max()) + 1 - least
             order = np.argsort(found, kind="stable")
             ends = np.cumsum(sizes[order])
             first = np.searchsorted(found[order], found[order])
@@ -164,4 +174,4 @@ def packed(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
             settle()
         yield flush()
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, schema)
+    return df.select(named(key).cast("long").alias("doc_id"), named(text).alias("text")).mapInArrow(pack, schema)

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of a word break: space and U+0009 to U+000D.
@@ -16,6 +18,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 BREAK_CHARS = " \t\n\x0b\f\r"
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def slices(batch: pa.Array, chars: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts of a batch in lists of about so many characters, one text at least."""
+    part: list[str | None] = []
+    size = 0
+    for x in batch:
+        part.append(x.as_py())
+        size += len(part[-1] or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on executors, once a context.
 
@@ -38,9 +71,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under the local temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset and the master local (tests), under the temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/threadloom-checkpoints"
     return f"{base.rstrip('/')}/threadloom-{uuid.uuid4().hex}"
 
@@ -52,6 +87,16 @@ def stored(df: DataFrame, name: str = "table", compression: str = "snappy") -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_counted(df: DataFrame, flag: str | None = None, name: str = "table") -> tuple[DataFrame, int]:
+    """stored(), and how many rows were written, or of how many the column flag is true; counted while they are written.
+
+    A task that runs again after a loss may be counted again: what is told from the number is only whether it is 0.
+    """
+    seen = Observation()
+    n = F.count(F.lit(1)) if flag is None else F.count_if(F.col(flag))
+    return stored(df.observe(seen, n.alias("n")), name), seen.get["n"]
+
+
 def word_count(text: Column) -> Column:
     """Number of words in text (null: 0), without user functions."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BREAK_CHARS))
