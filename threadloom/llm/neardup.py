@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship_package, stored
+from .shared import columns_of, named, ship_package, stored, stored_counted, unused
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -30,11 +30,14 @@ ROWS = 4
 BANDS = BUCKETS // ROWS
 #: Standard errors by which an estimate may lie below the threshold and still be confirmed.
 MARGIN = 5.5
-#: Members of a leader or a family that are worked off together with their texts, and of a band's group with registers.
+#: Members of a leader that are worked off together with their texts, and of a band's group with registers.
 BLOCK = 256
 REGISTER_BLOCK = 1024
 #: Up to so many ids are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Members of a family's block, and bytes of their texts: a task holds two blocks.
+FAMILY_BLOCK = 1024
+FAMILY_BYTES = 2_000_000
 MAX_WORDS = 200_000
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -142,7 +145,7 @@ def signatures(df: DataFrame, text: str = "text", key: str = "doc_id", width: in
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), bands], schema=schema)
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return df.select(named(key).cast("long").alias("doc_id"), named(text).alias("text")).mapInArrow(sign, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +184,7 @@ def shared_bands(reps: DataFrame) -> DataFrame:
     return bands.join(groups, ["band", "key"]).select("band", "key", "id", "leader")
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def by_ids(rows: DataFrame, ids: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """rows joined with a stored table of ids: broadcast if there are few, so that texts stay where they are."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
@@ -218,7 +221,7 @@ def texts_of(df: DataFrame, ids: DataFrame, text: str, key: str, width: int) ->
             keep = [set_key(s)[0] for _, texts in parts(batch, 1) for s in shingler.sets(texts)]
             yield batch.select([0, 1]).filter(pa.array([a == b for a, b in zip(keep, wanted, strict=True)], pa.bool_()))
 
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = df.select(named(key).cast("long").alias("id"), named(text).alias("text"))
     rows = by_ids(rows, ids, "id").select("id", "text", "k1")
     return rows.mapInArrow(own, "id bigint, text string")
 
@@ -228,7 +231,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
 
     A leader's text goes once to every block of its members' texts; a task reads them one after the other.
     """
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / F.lit(BLOCK)))).select("id", "leader", "block")
+    pairs = with_blocks(pairs, ["leader"], BLOCK).select("id", "leader", "block")
     member = pairs.join(texts, "id").select("leader", "block", F.lit(1).alias("role"), "id", "text")
     leader = pairs.select("leader", "block").distinct().join(texts.withColumnRenamed("id", "leader"), "leader").select("leader", "block", F.lit(0).alias("role"), F.col("leader").alias("id"), "text")
 
@@ -253,8 +256,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return rows.mapInArrow(check, "id bigint, leader bigint")
 
 
-def with_members(pairs: DataFrame) -> DataFrame:
-    return pairs.join(pairs.groupBy("leader").agg(F.count("*").alias("members")), "leader")
+def with_blocks(rows: DataFrame, group: list[str], size: int, text: str | None = None) -> DataFrame:
+    """rows with blocks, the number of blocks of about size that their group makes, and block, by a hash of id.
+
+    With text, a block's texts are of about FAMILY_BYTES too. Only groups of several blocks are kept with their number, so
+    these are few; they are broadcast up to BROADCAST_IDS.
+    """
+    blocks = F.ceil(F.count("*") / F.lit(size))
+    if text:
+        blocks = F.greatest(blocks, F.ceil(F.sum(F.octet_length(text)) / F.lit(FAMILY_BYTES)))
+    large = stored(rows.groupBy(*group).agg(blocks.cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    return by_ids(rows, large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,24 +275,24 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node at its smallest neighbour, follows the pointers to their roots, and replaces nodes by
     roots; at least half of the nodes that still have an edge go. Every round is a stored table.
     """
-    edges = stored(edges.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).filter("u <> v").distinct())
+    edges, left = stored_counted(edges.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).filter("u <> v").distinct())
     roots = None
-    while not edges.isEmpty():
+    while left:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
-        while True:
-            jump = up.alias("a").join(up.select(F.col("u").alias("p"), F.col("p").alias("pp")).alias("b"), "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved"))
-            jump = stored(jump)
-            more = not jump.filter("moved").isEmpty()
-            up = jump.select("u", "p")
-            if not more:
-                break
+        up = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "up")
+        moved = 1
+        while moved:
+            # two steps up at once, so that paths are a quarter as long each time
+            on = up.select(F.col("u").alias("p"), F.col("p").alias("p2"))
+            far = on.join(on.select(F.col("p").alias("p2"), F.col("p2").alias("p3")), "p2").select("p", "p3")
+            up, moved = stored_counted(up.join(far, "p").select("u", F.col("p3").alias("p"), (F.col("p") != F.col("p3")).alias("moved")), "moved")
+            up = up.select("u", "p")
         if roots is None:
             roots = up.select(F.col("u").alias("id"), F.col("p").alias("component"))
         else:
-            roots = stored(roots.join(up.select(F.col("u").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")))
+            roots = stored(roots.join(up.select(F.col("u").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "roots")
         a, b = up.select("u", F.col("p").alias("pu")), up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = stored(edges.join(a, "u").join(b, "v").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).filter("u <> v").distinct())
+        edges, left = stored_counted(edges.join(a, "u").join(b, "v").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).filter("u <> v").distinct())
     return roots if roots is not None else edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
@@ -299,14 +311,14 @@ def forest(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, i
     return out
 
 
-def in_blocks(rows: DataFrame, group: list[str], payload: list[str], size: int, lo: str = "component") -> DataFrame:
-    """Rows of a group in blocks of about size, every two blocks of a group in one row: rows, right (null: with itself).
+def in_blocks(rows: DataFrame, group: list[str], payload: list[str], size: int, text: str | None = None) -> DataFrame:
+    """Rows of a group in blocks of about size, see with_blocks, every two blocks of a group in one row: rows, right (null: with itself).
 
     Pairs of blocks that hold a single component are left out.
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"))
-    blocks = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    blocks = blocks.groupBy(*group, "blocks", "block").agg(F.collect_list(F.struct(*payload)).alias("rows"), F.min(lo).alias("lo"), F.max(lo).alias("hi"))
+    # dealt anew: a group's blocks would else stay in the one task that an earlier join brought the group to
+    blocks = with_blocks(rows, group, size, text).repartition(*group, "block")
+    blocks = blocks.groupBy(*group, "blocks", "block").agg(F.collect_list(F.struct(*payload)).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = blocks.select(*group, F.col("block").alias("other"), F.col("rows").alias("right"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
     met = left.join(right, [*group, "other"]).filter("lo <> hi OR rlo <> rhi OR lo <> rlo")
@@ -336,15 +348,22 @@ def candidates(first: int, component: np.ndarray, sizes: np.ndarray, registers_o
             yield k, other[may_reach(registers_of[other], registers_of[k][None, :], sizes[other], np.full(len(other), sizes[k]), percent)]
 
 
+def mixed_rows(reps: DataFrame, shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (band, key, id, component, n_shingles, bands) of band groups that hold several components.
+
+    Groups of two have been compared through their leader.
+    """
+    bands = shared.select("band", "key", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = bands.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "key")
+    return bands.join(mixed, ["band", "key"]).join(reps.select("id", "n_shingles", "bands"), "id")
+
+
 def families(reps: DataFrame, shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Representatives that share a band with one of another component that may be similar: id, family, component.
 
     A family is closed: who may be similar to a member is in it. Only groups of bands that hold several components are
     looked at, by registers, and each pair of blocks gives at most as many edges as it has rows.
     """
-    bands = shared.select("band", "key", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = bands.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "key")
-    rows = bands.join(mixed, ["band", "key"]).join(reps.select("id", "n_shingles", "bands"), "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,6 +372,7 @@ def families(reps: DataFrame, shared: DataFrame, comps: DataFrame, percent: int)
                 ids = x["id"].to_numpy()
                 yield edges_batch(ids, forest(len(ids), candidates(first, x["component"].to_numpy(), x["n_shingles"].to_numpy(), as_registers(x["bands"]), percent)))
 
+    rows = mixed_rows(reps, shared, comps)
     edges = in_blocks(rows, ["band", "key"], ["id", "component", "n_shingles", "bands"], REGISTER_BLOCK).mapInArrow(meet, "id bigint, leader bigint").distinct()
     found = components(edges).withColumnRenamed("component", "family").join(comps, "id", "left")
     return found.withColumn("component", F.coalesce("component", "id"))
@@ -384,17 +404,12 @@ def within(members: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 
                 yield edges_batch(x["id"].to_numpy(), forest(len(sets), similar()))
 
-    return in_blocks(members.join(texts, "id"), ["family"], ["id", "component", "text"], BLOCK).mapInArrow(meet, "id bigint, leader bigint").distinct()
+    rows = stored(members.join(texts, "id"), "members")
+    return in_blocks(rows, ["family"], ["id", "component", "text"], FAMILY_BLOCK, "text").mapInArrow(meet, "id bigint, leader bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
-
-    Two documents are linked if 100 * intersection >= percent * union of their sets of width-word shingles (A-Z lower-cased;
-    with fewer words, the whole sequence). component_id is the smallest id reachable over links. Documents without words are
-    linked with nothing. Rows with a null id keep a null component_id and kept true and link nothing; rows that share an id
-    are separate documents with one name. Repeated rows each give a row. Extra columns are left out; an empty table gives none.
-    """
+def clusters(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """near_duplicates() with the set keys k1 and k2 of each row."""
     signed = stored(signatures(df, text, key, width), "signatures")
     reps = signed.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     reps = stored(reps, "representatives")
@@ -404,35 +419,72 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     first = stored(pairs.groupBy("id").agg(F.max_by("leader", F.struct("estimate", -F.col("leader"))).alias("leader")))
     ends = stored(pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct().join(reps.select("id", "k1"), "id"))
     texts = stored(texts_of(df, ends, text, key, width), "texts")
-    links = stored(confirmed(with_members(first), texts, percent, width))
+    links = stored(confirmed(first, texts, percent, width))
     comps = components(links)
-    named = comps.select("id", F.col("component").alias("ci"))
-    apart = pairs.select("id", "leader").join(first, ["id", "leader"], "left_anti").join(named, "id", "left").join(comps.select(F.col("id").alias("leader"), F.col("component").alias("cl")), "leader", "left")
-    apart = stored(apart.filter(F.coalesce("ci", "id") != F.coalesce("cl", "leader")).select("id", "leader"))
-    if not apart.isEmpty():
-        links = stored(links.unionByName(confirmed(with_members(apart), texts, percent, width)))
+    named_ = comps.select("id", F.col("component").alias("ci"))
+    apart = pairs.select("id", "leader").join(first, ["id", "leader"], "left_anti").join(named_, "id", "left").join(comps.select(F.col("id").alias("leader"), F.col("component").alias("cl")), "leader", "left")
+    apart, n = stored_counted(apart.filter(F.coalesce("ci", "id") != F.coalesce("cl", "leader")).select("id", "leader"))
+    if n:
+        links = stored(links.unionByName(confirmed(apart, texts, percent, width)))
         comps = components(links)
-    rest = stored(families(reps, shared, comps, percent), "families")
-    if not rest.isEmpty():
-        more = stored(rest.select("id").join(reps.select("id", "k1"), "id"))
-        links = links.unionByName(within(rest, texts_of(df, more, text, key, width), percent, width))
+    rest, n = stored_counted(families(reps, shared, comps, percent), name="families")
+    if n:
+        ids = stored(rest.select("id").join(reps.select("id", "k1"), "id"))
+        links = links.unionByName(within(rest, texts_of(df, ids, text, key, width), percent, width))
         comps = components(links)
     # one id may name several sets, so components meet there too
     of_set = reps.join(comps, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "k1", "k2")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets of width-word shingles (A-Z lower-cased;
+    with fewer words, the whole sequence). component_id is the smallest id reachable over links. Documents without words are
+    linked with nothing. Rows with a null id keep a null component_id and kept true and link nothing; rows that share an id
+    are separate documents with one name. Repeated rows each give a row. Extra columns are left out; an empty table gives none.
+    """
+    return clusters(df, text, key, width, percent).drop("k1", "k2")
+
+
+def with_set_keys(df: DataFrame, text: str, width: int, names: tuple[str, str]) -> DataFrame:
+    """df with the set key of each row's text in two columns; 0 and 0 for texts without words."""
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("struct<k1:bigint,k2:bigint>")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shingler = shingler_of(width)
+        for batch in batches:
+            found = np.array([set_key(s) if len(s) else (0, 0) for x in batch.cast(pa.binary()) for s in shingler.sets([x.as_py()])], np.int64).reshape(-1, 2)
+            yield pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["k1", "k2"])
+
+    both = unused(df, "set_key")
+    return df.withColumn(both, keys(named(text))).withColumns({names[0]: F.col(both)["k1"], names[1]: F.col(both)["k2"]}).drop(both)
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """One row of df for each component: the one with the smallest id.
 
-    Of rows that share that id one stays; rows with a null id all stay. Columns and texts are unchanged.
+    Of rows that share that id and the set of shingles one stays, the first by text and the rest of the row; rows that share
+    an id with other sets are documents of their own. Rows without words stay, one for each id; rows with a null id all stay.
+    Columns and texts are unchanged, whatever their names.
     """
-    near = stored(near_duplicates(df, text, key, **options).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"))
-    dropped = stored(near.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct())
-    repeated = stored(near.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id"))
-    rows = by_ids(df.withColumn("__id", F.col(key).cast("long")), dropped, "__id", "left_anti")
-    if not repeated.isEmpty():
-        rows = by_ids(rows, repeated, "__id", "left_anti").unionByName(by_ids(rows, repeated, "__id", "left_semi").dropDuplicates(["__id"]))
-    return rows.select(*df.columns)
+    near = stored(clusters(df, text, key, width, percent).filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("i"), "kept", F.coalesce("k1", F.lit(0)).alias("a"), F.coalesce("k2", F.lit(0)).alias("b")))
+    per_id = near.groupBy("i").agg(F.count("*").alias("n"), F.bool_or("kept").alias("any"))
+    i, a, b, line = (unused(df, x) for x in ("i", "a", "b", "line"))
+    gone = stored(per_id.filter("n = 1 AND NOT any").select(F.col("i").alias(i)), "dropped")
+    shared, n = stored_counted(per_id.filter("n > 1").select(F.col("i").alias(i)))
+    rows = by_ids(df.withColumn(i, named(key).cast("long")), gone, i, "left_anti")
+    if not n:
+        return rows.select(*columns_of(df))
+    # ids of several rows: each row by its own set
+    single = by_ids(rows, shared, i, "left_anti").select(*columns_of(df))
+    several = with_set_keys(by_ids(rows, shared, i, "left_semi"), text, width, (a, b))
+    kept = near.filter("kept").select(F.col("i").alias(i), F.col("a").alias(a), F.col("b").alias(b)).distinct().join(shared, i, "left_semi")
+    several = several.join(kept, [i, a, b], "left_semi")
+    order = F.struct(F.coalesce(named(text), F.lit("")), F.to_json(F.struct(*(named(c) for c in df.columns)), {"ignoreNullFields": "false"}))
+    one = several.groupBy(i, a, b).agg(F.min_by(F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(df.columns))), order).alias(line))
+    return single.unionByName(one.select(*(F.col(line)[f"c{k}"].alias(c) for k, c in enumerate(df.columns))))
