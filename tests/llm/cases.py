@@ -23,7 +23,7 @@ ROWS = [
 
 def odd(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in ROWS], SCHEMA)
-    for name in ("size", "row", "id", "score", "shard", "label", "leader", "held_out", "media", "k1", "word", "bucket"):
+    for name in ("size", "row", "id", "score", "shard", "label", "leader", "held_out", "media", "k1", "word", "bucket", "a.dot", "q_m", "q_measures", "__label", "__row", "__id", "set_key", "taken", "i", "line", "tick`s"):
         df = df.withColumn(name, F.lit(f"clash {name}"))
     return df
 

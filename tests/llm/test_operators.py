@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import cases
-from threadloom.llm import bpe, languages, media, mixing, neardup, packing, quality, sharding, toxicity, warc
+from threadloom.llm import bpe, languages, media, mixing, neardup, packing, quality, queries, sharding, toxicity, warc
 
+DIR = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 TOKENS = bpe.Tokens(PATH)
@@ -47,6 +50,32 @@ def test_shards(spark):
     assert sharding.sharded(cases.empty(spark), 3).count() == 0
 
 
+def test_shard_query(spark):
+    """Law bytes over a whole table, and a second version of the map for one shard more."""
+    texts = {r.doc_id: r.text for r in queries.documents(spark, DIR).collect()}
+    got = queries.op2_virtual_slots(spark, DIR).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {k: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for k, t in texts.items()} and len(got) == len(texts)
+    load, grown = Counter(), Counter()
+    for r in got:
+        load[r.shard] += r.size
+        grown[r.next_shard] += r.size
+    assert set(load) == set(range(40)) and max(load.values()) - min(load.values()) <= max(r.size for r in got)
+    for s in load:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert len(grown) == 41 and max(grown.values()) <= max(max(load.values()), max(r.size for r in got))
+    assert sum(r.shard != r.next_shard for r in got) < len(got) / 5
+
+
+def test_shard_maps_are_kept(spark, tmp_path):
+    """A second run over grown data edits the stored map; most records stay."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    folder = f"file://{tmp_path}/maps"
+    old = {r.doc_id: r.shard for r in sharding.sharded(df.filter("doc_id < 3500"), 8, folder=folder).collect()}
+    new = {r.doc_id: r.shard for r in sharding.sharded(df, 8, folder=folder).collect()}
+    assert sharding.SlotMaps(spark, folder).latest() == 2 and len(new) == 4000
+    assert sum(old[k] != new[k] for k in old) < 0.05 * len(old)
+
+
 def test_shards_are_even_and_maps_move_little(spark):
     rng = random.Random(0)
     sizes = {k: (rng.randint(1, 2000), 1) for k in range(4096)}
@@ -117,6 +146,18 @@ def test_media_other_files(spark):
         media.read(bytes(data))
 
 
+def test_media_query(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in queries.documents(spark, DIR).collect()}
+    got = queries.op4_iso_media(spark, DIR).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        payload = media.padded(texts[r.doc_id])
+        frames = len(payload) // 576
+        assert (r.n_bytes, r.payload_sha256, r.codec, r.seconds) == (len(texts[r.doc_id]), hashlib.sha256(payload).hexdigest(), "raw ", frames / 25)
+        assert [k.length for k in r.keyframes] == [576] * len(range(0, frames, 12))
+        assert [k.offset - r.keyframes[0].offset for k in r.keyframes] == [576 * k for k in range(0, frames, 12)]
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, width, percent):
     rng = random.Random(width)
@@ -164,6 +205,40 @@ def test_groups_that_no_leader_holds_together(spark):
     assert len(set(want.values())) < 5
 
 
+def test_large_families_without_a_leader(spark):
+    """Over 5,000 sets: chains of edits under shared bands, and one large group of pairs that are likely but not linked."""
+    rng = random.Random(5)
+    texts = {}
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(200)]
+        for _ in range(85):
+            at = rng.randrange(200)
+            words[at] = f"g{g}n{rng.randrange(10**9)}"
+            texts[len(texts)] = " ".join(words)
+    base = [f"b{k}" for k in range(120)]
+    for _ in range(400):
+        copy = list(base)
+        for at in rng.sample(range(120), 4):
+            copy[at] = f"n{rng.randrange(10**9)}"
+        texts[len(texts)] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, width=3, percent=85).collect()}
+    chain = {k: k // 85 * 85 for k in range(60 * 85)}
+    assert {k: got[k] for k in chain} == chain
+    rest = {k: t for k, t in texts.items() if k not in chain}
+    assert {k: got[k] for k in rest} == cases.linked_components(rest, 3, 85)
+
+
+def test_deduplicated_rows_of_one_id(spark):
+    """Rows that share an id are told apart by their sets."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, b, "x"), (5, b, "y"), (5, a, "z"), (6, c, "p"), (6, c, "o"), (7, None, "n"), (7, "", "m"), (None, a, "q")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `a.dot` string")
+    for _ in range(2):
+        got = {tuple(r) for r in neardup.deduplicated(df).collect()}
+        assert got == {(1, b, "x"), (5, a, "z"), (6, c, "o"), (7, "", "m"), (None, a, "q")} or got == {(1, b, "x"), (5, a, "z"), (6, c, "o"), (7, None, "n"), (None, a, "q")}
+
+
 def test_register_estimates():
     rng = np.random.default_rng(0)
     for j in (0.5, 0.8, 0.9):
@@ -241,6 +316,34 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert found and np.mean(["vile" in w or "grubby" in w for w in found]) > 0.9
 
 
+def brute_score(model, text):
+    """Noisy-or over the sentences of a text in one line, word by word."""
+    sentences, here = [], []
+    for w in (text or "").lower().split():
+        here.append(w)
+        if re.search(r"[.!?]+[\"'”’)\]]*$", w):
+            sentences.append(here)
+            here = []
+    sentences += [here] * bool(here)
+    clean = 1.0
+    for s in sentences or [[]]:
+        letters = {languages.bare(w) for w in s} - {""}
+        logit = model.bias + sum(model.weights.get(x, 0.0) for w in letters for x in [w + " ", *(w[:n] for n in range(3, 8) if len(w) >= n)])
+        clean *= 1 - 1 / (1 + math.exp(-logit))
+    return 1 - clean
+
+
+def test_toxicity_scores_against_brute_force():
+    rng = random.Random(2)
+    vocabulary = ["bad", "badly", "worse", "ok", "fine.", "so!", "no?)", "...", "Ünder", "under.", "x"]
+    model = toxicity.Model({"bad ": 1.5, "bad": 0.7, "worse ": 2.0, "wor": 0.3, "ünd": -0.4, "under ": 0.9}, -2.0)
+    texts = [None, "", " . "] + ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", "  "]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    for text, score in zip(texts, toxicity.Scorer(model).score(texts), strict=True):
+        assert abs(score - brute_score(model, text)) < 1e-9
+    two, one = toxicity.Scorer(model).score(["bad\nworse", "bad. worse"])
+    assert abs(two - one) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (3, 0), (3, None), (None, 1), (99, 1)], "doc_id bigint, toxic int")
     got = toxicity.with_toxicity(cases.odd(spark), labels).collect()
@@ -249,23 +352,61 @@ def test_toxicity_of_odd_rows(spark):
     assert none.count() == 0
 
 
+PAGES = "page_id bigint, url string, html string"
+PLACED = "id bigint, warc_file string, record_offset bigint, record_length bigint, copies bigint, record_sha256 string"
+
+
+def archive(spark, pages):
+    return warc.placed(warc.leaves(spark.createDataFrame(pages, PAGES)))
+
+
+def wrongs(rows):
+    return {(r.id, r.status) for r in rows if r.status != "ok"}
+
+
 def test_merkle_audit_finds_every_change(spark):
-    pages = [(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(0, 9000, 7)] + [(None, None, None), (14, "http://h/14", "<p>14</p>")]
-    schema = "page_id bigint, url string, html string"
-    damaged = {70: "changed", 4900: None}
-    other = [(k, u, damaged.get(k, h)) for k, u, h in pages if k not in (777, 8995)] + [(5_000_000, "u", "new")]
-    a, b = spark.createDataFrame(pages, schema), spark.createDataFrame(other, schema)
-    got = warc.audit(warc.leaves(a), warc.leaves(b)).collect()
-    wrong = {r.id: r.status for r in got if r.status != "ok"}
-    assert wrong == {70: "altered", 4900: "altered", 777: "missing", 8995: "missing", 5_000_000: "extra"}
-    assert next(r.copies for r in got if r.id == 14) == 2
-    at = {r.id: r.record_offset for r in got if r.warc_file == 0}
-    assert at[0] == 0 and sorted(at, key=at.get) == sorted(at)
-    nodes = warc.mismatches(warc.tree(warc.leaves(a)), warc.tree(warc.leaves(b)))
-    assert nodes.count() < 30
-    same = warc.audit(warc.leaves(a), warc.leaves(a))
-    assert same.filter("status <> 'ok'").count() == 0
-    assert warc.audit(warc.leaves(a.limit(0)), warc.leaves(a.limit(0))).count() == 0
+    pages = [(k, f"http://h/{k}", f"<p>{k}</p>" + "x" * (k % 50)) for k in range(0, 20_000, 7)] + [(None, None, None), (14, "http://h/14", "<p>14</p>" + "x" * 14)]
+    changed = {70: "c" * 10, 4900: None}
+    other = [(k, u, changed.get(k, h)) for k, u, h in pages if k not in (16_387, 19_999)] + [(5_000_000, "u", "new")]
+    got = warc.audit(archive(spark, pages), archive(spark, other)).collect()
+    first = {r.id: r for r in got if r.warc_file == "0" and r.id is not None}
+    assert first[14].copies == 2 and first[0].record_offset == 0
+    assert first[21].record_offset == sum(first[k].record_length * first[k].copies for k in (0, 7, 14))
+    # what lies behind a record of another length, or one that is gone, has moved within its file
+    want = {(70, "altered"), (4900, "altered"), (16_387, "missing"), (19_999, "missing"), (5_000_000, "extra")}
+    moved = {(k, "moved") for k in range(0, 20_000, 7) if 70 < k < 4096 or 4900 < k < 8192 or 16_387 < k < 19_999}
+    assert wrongs(got) == want | moved
+    nodes = warc.mismatches(*(warc.tree(archive(spark, x)) for x in (pages, other)))
+    assert {r.place for r in nodes.filter("step = 0").collect()} == {"0", "1", "4", "1220"}
+    assert not wrongs(warc.audit(archive(spark, pages), archive(spark, pages)).collect())
+
+
+def test_merkle_audit_of_moved_records(spark):
+    """Two records change places in one replica; the bytes of each are whole."""
+    rows = [(k, "0", 1000 * k, 1000, 1, f"{k:064x}") for k in range(4000)]
+    at = {5: 6, 6: 5}
+    swapped = [(k, "0", 1000 * at.get(k, k), 1000, 1, s) for k, _, _, _, _, s in rows]
+    a, b = spark.createDataFrame(rows, PLACED), spark.createDataFrame(swapped, PLACED)
+    assert wrongs(warc.audit(a, b).collect()) == {(5, "moved"), (6, "moved")}
+    assert warc.mismatches(warc.tree(a), warc.tree(b)).count() == warc.TOP + 1
+    elsewhere = spark.createDataFrame([(k, "9" if k == 3999 else f, o, n, c, s) for k, f, o, n, c, s in rows], PLACED)
+    assert wrongs(warc.audit(a, elsewhere).collect()) == {(3999, "moved")}
+
+
+def test_merkle_audit_of_odd_ids(spark):
+    """Sparse 64-bit ids, -1 beside null, many records under one id, repeated rows, empty archives."""
+    sparse = [((k * 2_654_435_761 * 97) % 2**62 - 2**61, "u", f"{k}") for k in range(300)]
+    pages = [(None, "u", "a"), (-1, "u", "a"), *sparse, *((7, "u", f"{k}") for k in range(300)), (8, None, ""), (8, None, None)]
+    other = [p for p in pages if p[0] is not None and p != (7, "u", "5")]
+    got = warc.audit(archive(spark, pages), archive(spark, other)).collect()
+    assert len(got) == 603 and {(r.id, r.status) for r in got if r.status not in ("ok", "moved")} == {(None, "missing"), (7, "altered")}
+    assert {r.status for r in got if r.id == -1} == {"ok"} and {r.copies for r in got if r.id == 8} == {2}
+    tree = warc.tree(archive(spark, pages))
+    assert tree.filter(f"step = {warc.TOP}").select("records", "bytes").first() == (604, sum(r.copies * r.record_length for r in got))
+    again = pages + [(-1, "u", "a")]
+    assert (-1, "altered") in wrongs(warc.audit(archive(spark, pages), archive(spark, again)).collect())
+    assert warc.audit(archive(spark, []), archive(spark, [])).count() == 0
+    assert wrongs(warc.audit(archive(spark, []), archive(spark, pages[:2])).collect()) == {(None, "extra"), (-1, "extra")}
 
 
 def brute_viterbi(score):
@@ -301,6 +442,22 @@ def test_languages(spark):
         assert abs(mine - brute_viterbi(score)) < 1e-2
 
 
+def test_words_never_get_a_language_of_another_script(spark):
+    rng = random.Random(3)
+    en, ru = cases.EN.split(), "и в не на я быть он с что а это она они мы из за так вы".split()
+    rows = [(k, " ".join(rng.choice([en, ru][k % 2]) for _ in range(30)), ["en", "ru"][k % 2]) for k in range(200)]
+    model = languages.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    tagger = languages.Tagger(model)
+    texts = [" ".join(rng.choice(en + ["щука", "жи", "the"]) for _ in range(60)) for _ in range(40)]
+    for text, (path, words, total) in zip(texts, tagger.paths(texts), strict=True):
+        assert all(model.langs[k] == ("ru" if w in ("щука", "жи") else "en") for w, k in zip(text.split(), path, strict=True))
+    for k, x in enumerate(languages.labelled(tagger, texts).to_pylist()):
+        letters = Counter()
+        for s in x["spans"]:
+            letters[s["lang"]] += sum(map(len, texts[k].split()[s["word"] : s["word"] + s["words"]]))
+        assert x["lang"] == letters.most_common(1)[0][0] and 0 <= x["score"] <= 1
+
+
 def test_languages_of_odd_rows(spark):
     got = languages.with_languages(cases.odd(spark)).collect()
     assert len(got) == len(cases.ROWS) and all(r.label == "clash label" for r in got)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship_package
+from .shared import named, ship_package, slices, unused
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -30,6 +30,8 @@ SWITCH = 6.0
 SCALE = 0.25
 #: A word counts for its best language by this much at most, so no single one outweighs two changes.
 CLIP = 10.0
+#: What a language costs for a word in a script that it isn't written in: more than two changes, so no path has it.
+EXCLUDED = 2 * SWITCH + CLIP
 SMOOTH = 0.5
 #: A script's candidates are the languages that have at least this share of their words in it.
 SCRIPT_SHARE = 0.001
@@ -99,7 +101,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     The driver gets one count for each language and bucket that occurs, BUCKETS a language at most.
     """
     ship_package(rows.sparkSession)
-    rows = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.filter(named(lang).isNotNull() & named(text).isNotNull()).select(named(key).alias("k"), named(lang).alias("lang"), named(text).alias("text"))
     n = rows.select("k").count()
     if n > max_docs:
         rows = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.lit(math.ceil(max_docs / n * (1 << 20))))
@@ -169,8 +171,9 @@ class Tagger:
         words, self.seen.new = self.seen.new, []
         bucket, owner, script = features(words)
         score = np.stack([np.bincount(owner, self.model.loglik[bucket, k], len(words)) for k in range(len(self.model.langs))], 1)
-        score[~self.model.allowed[script]] = -1e9
-        score = np.maximum(score - score.max(1, keepdims=True), -CLIP)
+        allowed = self.model.allowed[script]
+        best = np.where(allowed, score, -np.inf).max(1, keepdims=True)
+        score = np.where(allowed, np.maximum(np.minimum(score - best, 0), -CLIP), -EXCLUDED)
         self.score = np.concatenate([self.score, score.astype(np.float32)])
         self.letters = np.concatenate([self.letters, np.fromiter(map(len, words), np.int64, len(words))])
 
@@ -220,7 +223,7 @@ class Tagger:
         rise = sums - np.repeat(start, lens)
         fall = before - np.repeat(start, lens)
         # a lower level for each text makes the running least of all texts one of its own
-        level = np.repeat(np.arange(len(first)) * (2 * CLIP * lens.max() + 1), lens)
+        level = np.repeat(np.arange(len(first)) * (2 * EXCLUDED * lens.max() + 1), lens)
         least = np.minimum.accumulate(fall - level) + level
         ahead = np.maximum.reduceat(rise, first)
         behind = rise[first + lens - 1] - np.minimum.reduceat(fall, first)
@@ -281,15 +284,54 @@ def tagger_of(model: Model) -> Tagger:
 
 
 LABELS = "struct<lang:string,score:double,spans:array<struct<lang:string,word:int,words:int>>>"
-LABELS_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.int32()), ("words", pa.int32())])))])
-
-
-def identify(df: DataFrame, model: Model, text: Column, with_spans: bool = True) -> Column:
+SPAN = pa.struct([("lang", pa.string()), ("word", pa.int32()), ("words", pa.int32())])
+LABELS_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(SPAN))])
+
+
+def spans_of(paths: list[np.ndarray], langs: pa.Array) -> pa.Array:
+    """Runs of one language in each path, as a list column."""
+    lens = np.fromiter(map(len, paths), np.int64, len(paths))
+    flat = np.concatenate([np.zeros(0, np.int16), *paths])
+    first = np.cumsum(lens) - lens
+    new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+    new[first[lens > 0]] = True
+    cut = np.flatnonzero(new)
+    owner = np.repeat(np.arange(len(paths)), lens)[cut]
+    runs = pa.StructArray.from_arrays(
+        [langs.take(pa.array(flat[cut], pa.int64())), pa.array(cut - first[owner], pa.int32()), pa.array(np.diff(np.append(cut, len(flat))), pa.int32())],
+        fields=list(SPAN),
+    )
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(paths))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)
+
+
+def labelled(tagger: Tagger, texts: list[str | None]) -> pa.StructArray:
+    """Struct of lang, score and spans of each text."""
+    langs = tagger.model.langs
+    names = pa.array([*langs, UND], pa.string())
+    top = np.full(len(texts), len(langs), np.int64)
+    score = np.zeros(len(texts))
+    paths = [np.zeros(0, np.int16)] * len(texts)
+    for k, (path, words, total) in enumerate(tagger.paths(texts) if langs else ()):
+        letters = tagger.letters[words]
+        if not letters.any():
+            continue
+        share = np.bincount(path, letters, len(langs))
+        # of languages with as many letters, the one with the higher sum of scores
+        best = top[k] = max(range(len(langs)), key=lambda x: (share[x], total[x]))
+        margin = total[best] - max((x for j, x in enumerate(total) if j != best), default=-np.inf)
+        score[k] = 0.5 * share[best] / share.sum() + 0.5 * max(0.0, np.tanh(margin / (2 * CLIP)))
+        paths[k] = path
+    return pa.StructArray.from_arrays([names.take(pa.array(top)), pa.array(np.clip(score, 0.0, 1.0)), spans_of(paths, names)], fields=list(LABELS_ARROW))
+
+
+def identify(df: DataFrame, model: Model, text: Column) -> Column:
     """Struct of lang, score and spans of each text.
 
-    lang: the language whose word scores have the highest sum; und for null texts and those without a letter, with score 0
-    and no spans, and for all where nothing was learned. score: half the share of letters in spans of that language, and half
-    for how far its sum is ahead of the next. spans: runs of words (numbered from 0, between white space) of one language.
+    spans: runs of words (numbered from 0, between white space) of one language, along the best path. lang: the language with
+    the most letters on that path; und for null texts and those without a letter, with score 0 and no spans, and for all
+    where nothing was learned. score: half the share of letters in spans of that language, and half for how far the sum of
+    its word scores is ahead of every other one.
     """
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -297,33 +339,9 @@ def identify(df: DataFrame, model: Model, text: Column, with_spans: bool = True)
     @F.arrow_udf(LABELS)
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = tagger_of(shared.value)
-        langs = tagger.model.langs
         for batch in batches:
-            rows: list[dict] = []
-            part: list[str | None] = []
-            size = 0
-            for at, x in enumerate(batch):
-                t = x.as_py()
-                part.append(t)
-                size += len(t or "")
-                if size < SLICE_CHARS and at < len(batch) - 1:
-                    continue
-                for path, words, total in tagger.paths(part) if langs else [(np.zeros(0, int),) * 3] * len(part):
-                    letters = tagger.letters[words]
-                    if not langs or not letters.any():
-                        rows.append({"lang": UND, "score": 0.0, "spans": []})
-                        continue
-                    share = np.bincount(path, letters, len(langs))
-                    top = int(total.argmax())
-                    margin = total[top] - max((x for k, x in enumerate(total) if k != top), default=-np.inf)
-                    score = 0.5 * share[top] / share.sum() + 0.5 * np.tanh(margin / (2 * CLIP))
-                    spans = []
-                    if with_spans:
-                        cut = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
-                        spans = [{"lang": langs[path[a]], "word": int(a), "words": int(n)} for a, n in zip(cut, np.diff(np.append(cut, len(path))), strict=True)]
-                    rows.append({"lang": langs[top], "score": float(np.clip(score, 0.0, 1.0)), "spans": spans})
-                part, size = [], 0
-            yield pa.array(rows, LABELS_ARROW)
+            done = [labelled(tagger, part) for part in slices(batch, SLICE_CHARS)]
+            yield pa.concat_arrays(done) if done else pa.array([], LABELS_ARROW)
 
     return label(text)
 
@@ -333,11 +351,13 @@ def held_out(key: Column, fold: int = 1, folds: int = 3) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(True))
 
 
-def with_languages(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", prefix: str = "", with_spans: bool = True) -> DataFrame:
+def with_languages(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", prefix: str = "") -> DataFrame:
     """df with held_out, lang_pred, score and lang_spans, learned from df's rows that aren't held out.
 
-    Rows stay as they are, repeated ones too; columns that bear a new column's name (after prefix) are replaced.
+    Null, empty and letterless texts are und, with score 0 and no spans. Rows stay as they are, repeated ones too; an empty
+    table gives none. Columns that bear a new column's name (after prefix) are replaced, all others stay.
     """
-    model = learn(df.filter(~held_out(F.col(key))), text, lang, key)
-    found = df.withColumn(f"{prefix}held_out", held_out(F.col(key))).withColumn("__label", identify(df, model, F.col(text), with_spans))
-    return found.withColumns({f"{prefix}lang_pred": F.col("__label.lang"), f"{prefix}score": F.col("__label.score"), f"{prefix}lang_spans": F.col("__label.spans")}).drop("__label")
+    model = learn(df.filter(~held_out(named(key))), text, lang, key)
+    label = unused(df, "label")
+    found = df.withColumn(f"{prefix}held_out", held_out(named(key))).withColumn(label, identify(df, model, named(text)))
+    return found.withColumns({f"{prefix}lang_pred": F.col(label)["lang"], f"{prefix}score": F.col(label)["score"], f"{prefix}lang_spans": F.col(label)["spans"]}).drop(label)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship_package
+from .shared import named, ship_package
 
 WIDTH = HEIGHT = 24
 #: One frame of the stored form: 24 x 24 grey samples of 8 bits.
@@ -233,16 +233,20 @@ def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataF
             yield pa.array([written(padded((x.as_py() or "").encode())) for x in batch], pa.binary())
 
     ship_package(df.sparkSession)
-    return df.withColumn(media, store(F.col(text)))
+    return df.withColumn(media, store(named(text)))
 
 
-DIGEST = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
-DIGEST_ARROW = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+DIGEST = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string,codec:string,seconds:double,keyframes:array<struct<offset:bigint,length:bigint>>>"
+DIGEST_ARROW = pa.struct([
+    ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+    ("codec", pa.string()), ("seconds", pa.float64()), ("keyframes", pa.list_(RANGE)),
+])
 
 
 def digest(media: Column) -> Column:
-    """Checksums of a file and of its first track's payload, cut out by its sample table, and a line of its features.
+    """Checksums of a file and of its first track's payload, cut out by its sample table, its codec, duration and keyframes.
 
+    codec, seconds and keyframes (the byte range of each sync sample) are null for unreadable files.
     feature: codec, handler, seconds, samples, number of keyframes, their first and last byte range, and the CRC-32 of all
     ranges as little-endian 64-bit numbers, as JSON; for unreadable files the error.
     """
@@ -258,12 +262,13 @@ def digest(media: Column) -> Column:
                 data = x.as_py()
                 found, error = read(data)
                 payload = b"".join(data[o : o + n] for o, n in found[0]["ranges"]) if found else b""
-                feature = {"error": error}
+                feature, codec, seconds, ranges = {"error": error}, None, None, None
                 if found:
                     t = found[0]
                     keys = t["keyframes"]
-                    feature = {"codec": t.get("codec"), "handler": t.get("handler"), "seconds": t.get("duration", 0) / (t.get("timescale") or 1), "samples": t["samples"], "keyframes": len(keys), "first": keys[:1], "last": keys[-1:], "ranges_crc32": zlib.crc32(np.array(keys, "<i8").tobytes())}
-                rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": json.dumps(feature, separators=(",", ":"))})
+                    codec, seconds, ranges = t.get("codec"), t.get("duration", 0) / (t.get("timescale") or 1), [{"offset": o, "length": n} for o, n in keys]
+                    feature = {"codec": codec, "handler": t.get("handler"), "seconds": seconds, "samples": t["samples"], "keyframes": len(keys), "first": keys[:1], "last": keys[-1:], "ranges_crc32": zlib.crc32(np.array(keys, "<i8").tobytes())}
+                rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": json.dumps(feature, separators=(",", ":")), "codec": codec, "seconds": seconds, "keyframes": ranges})
             yield pa.array(rows, DIGEST_ARROW)
 
     return facts(media)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import WORD, WORD_BREAK, stored, word_count
+from .shared import WORD, WORD_BREAK, named, stored, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -55,7 +55,7 @@ def mixed_copies(df: DataFrame, text: str = "text", key: str = "doc_id", source:
     a null source is a source. Repeated rows count each for itself. Extra columns of df are left out. row: a number that
     tells df's rows apart, if the caller has one.
     """
-    rows = stored(df.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle_key(F.col(key), seed).alias("shuffle")))
+    rows = stored(df.select((F.monotonically_increasing_id() if row is None else row).alias("row"), named(key).alias("doc_id"), named(source).alias("source"), word_count(named(text)).alias("size"), shuffle_key(named(key), seed).alias("shuffle")))
     rows = rows.withColumn("bucket", F.substring("shuffle", 1, HASH_DIGITS))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     sizes = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats, share)
@@ -85,12 +85,15 @@ def mixed_copies(df: DataFrame, text: str = "text", key: str = "doc_id", source:
 def mixed_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix as rows of df: each as often as it is sent, the text of one cut at the budget's end up to its last word there.
 
-    df must give its rows in the same order each time it is read, as a stored table does.
+    Rows are numbered once and stored with their numbers, so that copies find their own text whatever is lost between.
+    Null and empty texts are in no mix; an empty table gives none. Columns are those of df, whatever their names.
     """
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    copies = mixed_copies(numbered, text=text, row=F.col("__row"), **options).filter("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{WORD_BREAK[:-1]}*{WORD}"), F.lit(0)), F.lit(1), F.col("__taken").cast("int")), "")
-    return numbered.join(copies, "__row").withColumn(text, F.when(F.col("__taken") < F.col("__size"), head).otherwise(F.col(text))).select(*df.columns)
+    row, size, taken = (unused(df, x) for x in ("row", "size", "taken"))
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    copies = mixed_copies(numbered, text=text, row=F.col(row), **options).filter("taken > 0").select(F.col("row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken))
+    head = F.array_join(F.slice(F.regexp_extract_all(named(text), F.lit(f"{WORD_BREAK[:-1]}*{WORD}"), F.lit(0)), F.lit(1), F.col(taken).cast("int")), "")
+    cut = F.when(F.col(taken) < F.col(size), head).otherwise(named(text))
+    return numbered.join(copies, row).select(*(cut.alias(c) if c == text else named(c) for c in df.columns))
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:

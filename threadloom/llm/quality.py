@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BREAK_CHARS, WORD_BREAK
+from .shared import BREAK_CHARS, WORD_BREAK, named, unused
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -132,9 +132,9 @@ def with_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     rule failed. Null and empty texts have no words and are not kept. Rows stay as they are, repeated ones too; columns
     that bear a new column's name are replaced.
     """
-    found = df.withColumn(f"{prefix}m", measures(F.col(text)))
-    m = f"{prefix}m"
-    flat = {n: F.col(f"{m}.w.{n}") for n in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")} | {n: F.col(f"{m}.{n}") for n in ("n_symbols", "n_capitals")} | {n: F.col(f"{m}.l.{n}") for n in ("n_lines", "n_dup_lines")}
+    m = unused(df, f"{prefix}measures")
+    found = df.withColumn(m, measures(named(text)))
+    flat = {n: F.col(m)["w"][n] for n in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")} | {n: F.col(m)[n] for n in ("n_symbols", "n_capitals")} | {n: F.col(m)["l"][n] for n in ("n_lines", "n_dup_lines")}
     found = found.withColumns({prefix + n: c for n, c in flat.items()}).drop(m)
     base = (F.col(f"{prefix}n_words") < 10) | (F.col(f"{prefix}n_repeat_words") * 100 > F.col(f"{prefix}n_words") * 20)
     checks = compiled(rules, prefix)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .languages import bare
-from .shared import ship_package
+from .shared import named, ship_package, slices
 
 #: Labelled documents that are learned from, about so many; the sample is drawn by a hash of the id.
 TRAIN_DOCS = 12_000
@@ -35,7 +35,7 @@ STEPS = 200
 RATE = 0.1
 DECAY = 2e-3
 THRESHOLD = 0.3
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 MAX_WORDS = 200_000
 
 #: Stands for a line feed, which ends a sentence.
@@ -189,15 +189,16 @@ def held_out(key: Column, fold: int = 2, folds: int = 4) -> Column:
 def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_docs: int = TRAIN_DOCS) -> Model:
     """Fits about max_docs of the labelled documents, whole texts, in one task that holds no more than these.
 
-    The labels of the sample, max_docs rows, are broadcast to the texts; rows without a key or label are left out, and of
-    several labels of a key the highest counts. The driver gets MODEL_FEATURES weights.
+    The labels of the sample, max_docs rows, are broadcast to the texts; rows without a key or label are left out, of
+    several labels of a key the highest counts, of several texts the first in order. The driver gets MODEL_FEATURES weights.
     """
     ship_package(df.sparkSession)
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    known = labels.filter(named(key).isNotNull() & named(label).isNotNull()).groupBy(named(key).alias("k")).agg(F.max(named(label)).cast("int").alias("y"))
     n = known.count()
     if n > max_docs:
         known = known.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.lit(math.ceil(max_docs / n * (1 << 20))))
-    sample = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "k").select("k", "text", "y").dropDuplicates(["k"])
+    texts = df.select(named(key).alias("k"), F.coalesce(named(text), F.lit("")).alias("text")).join(F.broadcast(known), "k")
+    sample = texts.groupBy("k", "y").agg(F.min("text").alias("text")).select("k", "text", "y")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: r[0])
@@ -218,19 +219,6 @@ def scorer_of(model: Model) -> Scorer:
     return SCORERS[model.token]
 
 
-def slices(batch: pa.Array) -> Iterator[list[str | None]]:
-    part: list[str | None] = []
-    size = 0
-    for x in batch:
-        part.append(x.as_py())
-        size += len(part[-1] or "")
-        if size >= SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def toxicity(df: DataFrame, model: Model, text: Column) -> Column:
     """Score of each text, 0 to 1; null and empty texts have the score of one sentence without words."""
     ship_package(df.sparkSession)
@@ -240,7 +228,7 @@ def toxicity(df: DataFrame, model: Model, text: Column) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = scorer_of(shared.value)
         for batch in batches:
-            yield pa.array(np.concatenate([np.zeros(0), *(scorer.score(part) for part in slices(batch))]), pa.float64())
+            yield pa.array(np.concatenate([np.zeros(0), *(scorer.score(part) for part in slices(batch, SLICE_CHARS))]), pa.float64())
 
     return score(text)
 
@@ -256,7 +244,7 @@ def offending(df: DataFrame, model: Model, text: Column, threshold: float = THRE
         scorer = scorer_of(shared.value)
         for batch in batches:
             rows: list[list[dict]] = []
-            for part in slices(batch):
+            for part in slices(batch, SLICE_CHARS):
                 logit, owner, begin, size = scorer.sentences(part)
                 here: list[list[dict]] = [[] for _ in part]
                 number = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -273,10 +261,11 @@ def offending(df: DataFrame, model: Model, text: Column, threshold: float = THRE
 def with_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", prefix: str = "", threshold: float = THRESHOLD, with_sentences: bool = True) -> DataFrame:
     """df with held_out, score, predicted and, with_sentences, the offending sentences; learned from labels not held out.
 
-    Rows stay as they are, repeated ones too; columns that bear a new column's name (after prefix) are replaced. Without
-    labels of both kinds every document has a low score.
+    Null and empty texts have the score of one sentence without words. Rows stay as they are, repeated ones too; an empty
+    table gives none. Columns that bear a new column's name (after prefix) are replaced, all others stay. Without labels of
+    both kinds every document has a low score.
     """
-    model = learn(df, labels.filter(~held_out(F.col(key))), text, key, label)
-    found = df.withColumn(f"{prefix}held_out", held_out(F.col(key))).withColumn(f"{prefix}score", toxicity(df, model, F.col(text)))
+    model = learn(df, labels.filter(~held_out(named(key))), text, key, label)
+    found = df.withColumn(f"{prefix}held_out", held_out(named(key))).withColumn(f"{prefix}score", toxicity(df, model, named(text)))
     found = found.withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= threshold).cast("int"))
-    return found.withColumn(f"{prefix}offending", offending(df, model, F.col(text), threshold)) if with_sentences else found
+    return found.withColumn(f"{prefix}offending", offending(df, model, named(text), threshold)) if with_sentences else found
