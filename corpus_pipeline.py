@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import languages, mixing, neardup, packing, quality
-from threadloom.llm.shared import stored
+from threadloom.llm.shared import columns_of, stored, unused
 
 #: Least score of a language that a document needs to stay; texts that mix languages are above.
 MIN_LANGUAGE_SCORE = 0.05
@@ -18,19 +18,20 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops null texts, texts without a letter and those that no language labels well.
 
-    Where no language can be learned (no row has one), texts with a letter stay.
+    Where no language can be learned (no row has one), texts with a letter stay. Rows and columns are unchanged.
     """
     model = languages.learn(docs.filter(~languages.held_out(F.col("doc_id"))))
     if not model.langs:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    label = languages.identify(docs, model, F.col("text"), with_spans=False)
-    rows = docs.withColumn("__label", label)
-    return rows.filter((F.col("__label.lang") != languages.UND) & (F.col("__label.score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    label = unused(docs, "label")
+    rows = docs.withColumn(label, languages.identify(docs, model, F.col("text")))
+    return rows.filter((F.col(label)["lang"] != languages.UND) & (F.col(label)["score"] >= MIN_LANGUAGE_SCORE)).select(*columns_of(docs))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail a rule; null and empty texts do."""
-    return quality.with_quality(docs, prefix="__q_").filter("__q_kept").select(*docs.columns)
+    """Drops documents that fail a rule; null and empty texts do. Rows and columns are unchanged."""
+    prefix = unused(docs, "q") + "_"
+    return quality.with_quality(docs, prefix=f"__{prefix}").filter(f"`__{prefix}kept`").select(*columns_of(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +40,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last of a source cut where the budget ends; n_chars follows the text."""
+    """Documents as often as the mix takes them, the last of a source cut where the budget ends; n_chars follows the text.
+
+    Null and empty texts are in no mix; an empty table gives none.
+    """
     mix = mixing.mixed_documents(docs)
     return mix.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else mix
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of 1024 tokens, and their tokens."""
+    """Pieces of documents with their place in sequences of 1024 tokens, and their tokens.
+
+    Null and empty texts are the closing id alone; an empty table gives no rows.
+    """
     return packing.packed(docs)
 
 
