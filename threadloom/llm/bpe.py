@@ -8,7 +8,6 @@ already seen are looked up.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import named, ship_package
+from .shared import kept, named, ship_package
 
 #: Fixed values of the byte-level format: the split pattern and the printable bytes that stand for themselves.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,7 +26,7 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 NONE = np.int32(2**31 - 1)
 #: Texts are worked off in slices of about so many characters, and a worker's memory of units is emptied at so many.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 MAX_UNITS = 250_000
 
 
@@ -271,10 +270,8 @@ class Tokens:
                 yield flat[cuts[k] : cuts[k + 1]]
 
 
-@functools.lru_cache(maxsize=2)
 def tokens_of(path: str) -> Tokens:
-    """One a worker and vocabulary."""
-    return Tokens(path)
+    return kept(("tokens", path), lambda: Tokens(path))
 
 
 def vocabulary_path(name: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import named, ship_package, slices, unused
+from .shared import kept, named, ship_package, slices, unused
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -35,8 +35,8 @@ EXCLUDED = 2 * SWITCH + CLIP
 SMOOTH = 0.5
 #: A script's candidates are the languages that have at least this share of their words in it.
 SCRIPT_SHARE = 0.001
-SLICE_CHARS = 2_000_000
-MAX_WORDS = 200_000
+SLICE_CHARS = 500_000
+MAX_WORDS = 100_000
 
 #: First code points of script blocks, and the script from there to the next.
 SCRIPTS = [
@@ -273,14 +273,8 @@ class Tagger:
         return out
 
 
-TAGGERS: dict[str, Tagger] = {}
-
-
 def tagger_of(model: Model) -> Tagger:
-    if model.token not in TAGGERS:
-        TAGGERS.clear()
-        TAGGERS[model.token] = Tagger(model)
-    return TAGGERS[model.token]
+    return kept(("tagger", model.token), lambda: Tagger(model))
 
 
 LABELS = "struct<lang:string,score:double,spans:array<struct<lang:string,word:int,words:int>>>"

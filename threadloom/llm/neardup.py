@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_of, named, ship_package, stored, stored_counted, unused
+from .shared import columns_of, kept, named, ship_package, stored, stored_counted, unused
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -38,7 +38,7 @@ BROADCAST_IDS = 500_000
 #: Members of a family's block, and bytes of their texts: a task holds two blocks.
 FAMILY_BLOCK = 1024
 FAMILY_BYTES = 2_000_000
-MAX_WORDS = 200_000
+MAX_WORDS = 150_000
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -105,13 +105,8 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler_of(width: int) -> Shingler:
-    if width not in SHINGLERS:
-        SHINGLERS[width] = Shingler(width)
-    return SHINGLERS[width]
+    return kept(("shingler", width), lambda: Shingler(width))
 
 
 def parts(batch: pa.RecordBatch, column: int, rows: int = 128) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -483,8 +478,8 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", width:
     # ids of several rows: each row by its own set
     single = by_ids(rows, shared, i, "left_anti").select(*columns_of(df))
     several = with_set_keys(by_ids(rows, shared, i, "left_semi"), text, width, (a, b))
-    kept = near.filter("kept").select(F.col("i").alias(i), F.col("a").alias(a), F.col("b").alias(b)).distinct().join(shared, i, "left_semi")
-    several = several.join(kept, [i, a, b], "left_semi")
+    staying = near.filter("kept").select(F.col("i").alias(i), F.col("a").alias(a), F.col("b").alias(b)).distinct().join(shared, i, "left_semi")
+    several = several.join(staying, [i, a, b], "left_semi")
     order = F.struct(F.coalesce(named(text), F.lit("")), F.to_json(F.struct(*(named(c) for c in df.columns)), {"ignoreNullFields": "false"}))
     one = several.groupBy(i, a, b).agg(F.min_by(F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(df.columns))), order).alias(line))
     return single.unionByName(one.select(*(F.col(line)[f"c{k}"].alias(c) for k, c in enumerate(df.columns))))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: White space of a word break: space and U+0009 to U+000D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch, Spark's default being 10000: whole texts of a batch lie in memory on both sides at once.
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 BREAK_CHARS = " \t\n\x0b\f\r"
 
 
@@ -49,11 +52,27 @@ def slices(batch: pa.Array, chars: int = 2_000_000) -> Iterator[list[str | None]
         yield part
 
 
+#: What this process keeps from one task to the next: a vocabulary, or a memory of words seen.
+KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What make gives, made once a process and key; another key's is dropped, so a worker holds one at a time."""
+    if key not in KEPT:
+        KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on executors, once a context.
+    """Make this package importable on executors, once a context, and have Arrow batches of BATCH_ROWS whole texts.
 
-    Python workers of a cluster don't see the driver's folders, so the sources go out as a zip file.
+    Python workers of a cluster don't see the driver's folders, so the sources go out as a zip file. A batch size that the
+    session has been given is left as it is.
     """
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_threadloom_shipped", False):
         return

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .languages import bare
-from .shared import named, ship_package, slices
+from .shared import kept, named, ship_package, slices
 
 #: Labelled documents that are learned from, about so many; the sample is drawn by a hash of the id.
 TRAIN_DOCS = 12_000
@@ -35,8 +35,8 @@ STEPS = 200
 RATE = 0.1
 DECAY = 2e-3
 THRESHOLD = 0.3
-SLICE_CHARS = 1_000_000
-MAX_WORDS = 200_000
+SLICE_CHARS = 500_000
+MAX_WORDS = 100_000
 
 #: Stands for a line feed, which ends a sentence.
 FEED = ""
@@ -209,14 +209,8 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return Model({r.word: r.weight for r in found if r.word is not None}, next((r.weight for r in found if r.word is None), -5.0))
 
 
-SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
-    if model.token not in SCORERS:
-        SCORERS.clear()
-        SCORERS[model.token] = Scorer(model)
-    return SCORERS[model.token]
+    return kept(("scorer", model.token), lambda: Scorer(model))
 
 
 def toxicity(df: DataFrame, model: Model, text: Column) -> Column:
