@@ -100,13 +100,47 @@ def test_reads(spark):
         reads.known_project(n, "none")
 
 
+def test_semantic_search(spark):
+    """Every query against all vectors, in blocks, as numpy has it."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(300, 8))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)] + [(900, None), (901, [0.0] * 8), (902, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    size, search.BLOCK = search.BLOCK, 64
+    got = search.semantic_search(v, v.filter("vec_id % 50 = 0"), 7).collect()
+    search.BLOCK = size
+    for q in range(0, 300, 50):
+        want = [k for k in np.argsort(-(unit @ unit[q]), kind="stable")[:7] if unit[k] @ unit[q] > 0.2]
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.place)] == want
+    assert {r.query_id for r in got} == set(range(0, 300, 50))
+
+
+def test_scope_chains(spark):
+    """Chains of any depth up to the most, unknown containers and cycles."""
+    named = spark.createDataFrame([(f"n{k}", f"L{k}") for k in range(12)] + [("x", "X"), ("y", "Y"), ("lone", "Lone")], "id string, label string")
+    e = edges(spark, *((f"n{k}", f"n{k + 1}", "part_of") for k in range(11)), ("x", "y", "part_of"), ("y", "x", "part_of"), ("lone", "unknown", "part_of"))
+    got = {r.id: r.scope for r in traverse.scope_chains(named, e, named).collect()}
+    assert got["lone"] == "Lone" and got["n9"] == "L11 > L10 > L9" and got["n0"] == " > ".join(f"L{k}" for k in range(7, -1, -1))
+    assert got["x"].count(" > ") == 7 and len(got) == 15
+
+
 def test_search(spark):
     n = nodes(spark, {"id": "read", "type": "fact", "essence": "pool timeout", "access_count": 50}, {"id": "match", "type": "fact", "essence": "pool exhausted", "concepts": ["connection pool"]})
     assert search.keyword_search(n, "the and of", 5).count() == 0
     assert [r.id for r in search.keyword_search(n, "why is pool exhausted", 5).collect()] == ["read", "match"]
-    none = spark.createDataFrame([], "id string, similarity double")
-    got = search.hybrid(none, search.keyword_hits(n, ["exhausted"]), search.concept_hits(n, ["pool"]), 5)
-    assert [r.id for r in got.collect()] == ["match"] and search.is_weak(got).head().weak
+    asked = spark.createDataFrame([(1,), (2,)], "query_id bigint")
+    near = spark.createDataFrame([(2, "match", 0.9)], "query_id bigint, id string, similarity double")
+    got = search.hybrid(asked, near, search.keyword_hits(n, ["exhausted"]), search.concept_hits(n, ["pool"]), n, 5)
+    assert {(r.query_id, r.id, r.match_types) for r in got.collect()} == {(1, "match", "concept+keyword"), (2, "match", "concept+keyword+semantic")}
+    assert {r.query_id: r.weak for r in search.is_weak(got).collect()} == {1: True, 2: False}
+    # equal scores: the newest first, then the smallest id
+    rows = [("a", "2024-01-01"), ("b", "2024-01-03"), ("c", "2024-01-03"), ("d", "2024-01-02")]
+    dated = spark.createDataFrame(rows, "id string, t string").select("id", F.lit(1).alias("access_count"), F.to_timestamp_ntz("t").alias("updated_at"))
+    tied = search.hybrid(asked.limit(1), near.limit(0), dated, spark.createDataFrame([], "id string, matched bigint"), dated, 2)
+    assert [r.id for r in tied.orderBy("place").collect()] == ["b", "c"]
     v = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 0.0]), (2, [3.0, 4.0], [4.0, 3.0]), (3, None, [1.0])], "k int, a array<double>, b array<double>")
     assert [round(r.c, 4) for r in v.orderBy("k").select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [0.0, 0.96, 0.0]
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.scoring import cosine, recency
+from ..functions.scoring import recency
 from ..functions.text import jaccard, primary, stem
 
 #: Words of a query that find nothing by themselves.
 STOP = frozenset("a about all an and any are but can did does for from had has have how into its not our out that the their them they this use was were what when where which who why will with would you your".split())
 
 SEMANTIC_FLOOR = 0.2
+#: Rows of a block of vectors; a task holds two blocks and their cosines.
+BLOCK = 1024
 WEIGHTS = {"semantic": 0.5, "keyword": 0.3, "concept": 0.4}
 
 
@@ -46,31 +51,74 @@ def concept_hits(nodes: DataFrame, terms: Sequence[str]) -> DataFrame:
     return nodes.withColumn("matched", pairs.cast("bigint")).filter("matched > 0")
 
 
-def semantic_search(vectors: DataFrame, query: Sequence[float], limit: int | None = None, floor: float = SEMANTIC_FLOOR, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows with a cosine above floor, the nearest first."""
-    wanted = F.array(*(F.lit(float(x)) for x in query))
-    found = vectors.withColumn("similarity", cosine(F.col(vector), wanted)).filter(F.col("similarity") > floor)
-    return found.orderBy(F.desc("similarity"), key).limit(limit) if limit else found
+def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows in blocks of about size: one row a block, with its ids and vectors."""
+    n = max(1, -(-df.count() // size))
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("rows")
 
 
-def hybrid(semantic: DataFrame, keyword: DataFrame, concept: DataFrame, limit: int) -> DataFrame:
-    """One score a node from three searches: semantic (id, similarity), keyword (id), concept (id, matched).
+def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int | None = None, floor: float = SEMANTIC_FLOOR, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, id, similarity and place of the rows with a cosine above floor, for each query; with limit, the nearest.
 
-    match_types says which searches found it; equal scores go by time of update, then id.
+    queries and vectors: key, vector. Both come in blocks of BLOCK; each two blocks meet once and give limit rows a query
+    at most. Equal similarities go by id. Null vectors match nothing, and neither do vectors of another length or of zeros.
     """
-    parts = [
-        semantic.select("id", (F.col("similarity") * WEIGHTS["semantic"]).alias("part"), F.lit("semantic").alias("kind")),
-        keyword.select("id", F.lit(WEIGHTS["keyword"]).alias("part"), F.lit("keyword").alias("kind")),
-        concept.select("id", (F.least(F.col("matched") * 0.2, F.lit(0.6)) * WEIGHTS["concept"]).alias("part"), F.lit("concept").alias("kind")),
-    ]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id").agg(F.round(F.sum("part"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("match_types"))
-    return merged.orderBy(F.desc("score"), "id").limit(limit)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(rows: pa.StructArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+            good = [k for k, v in enumerate(rows.field("v").to_pylist()) if len(v) == length]
+            m = np.array([rows.field("v")[k].as_py() for k in good], np.float64).reshape(-1, length)
+            size = np.sqrt((m * m).sum(1))
+            return rows.field("id").to_numpy()[good][size > 0], (m / np.where(size, size, 1)[:, None])[size > 0]
+
+        for batch in batches:
+            for at in range(len(batch)):
+                a, b = (batch.column(c)[at].values for c in (0, 1))
+                for length in sorted({len(v) for v in a.field("v").to_pylist()}):
+                    ids, asked = matrix(a, length)
+                    others, there = matrix(b, length)
+                    cos = asked @ there.T
+                    q, j = np.nonzero(cos > floor)
+                    if limit:
+                        order = np.lexsort((others[j], -cos[q, j], q))
+                        q, j = q[order], j[order]
+                        keep = np.arange(len(q)) - np.searchsorted(q, q) < limit
+                        q, j = q[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(others[j]), pa.array(cos[q, j])], names=["query_id", "id", "similarity"])
+
+    asked, there = _blocks(queries, key, vector, BLOCK).withColumnRenamed("rows", "asked"), _blocks(vectors, key, vector, BLOCK)
+    found = asked.crossJoin(there).mapInArrow(meet, "query_id bigint, id bigint, similarity double")
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")).cast("bigint")) if limit else found
+    return ranked.filter(F.col("place") <= limit) if limit else ranked
+
+
+def hybrid(queries: DataFrame, semantic: DataFrame, keyword: DataFrame, concept: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """One score a query and node from three searches, the best limit a query: query_id, id, score, match_types, place.
+
+    queries: query_id. semantic: query_id, id, similarity, at most twice limit a query; keyword: id, of which the first twice
+    limit by reads and time of update count; concept: id, matched; nodes: id, access_count, updated_at. match_types says
+    which searches found it; equal scores go by time of update, the newest first, then id.
+    """
+    times = nodes.select("id", "access_count", "updated_at")
+    words = keyword.select("id").join(times, "id").orderBy(F.desc("access_count"), F.desc("updated_at"), "id").limit(2 * limit).select("id")
+    weighed = concept.select("id", (F.least(F.col("matched") * 0.2, F.lit(0.6)) * WEIGHTS["concept"]).alias("part"))
+    # what no other search finds is in the result only if it is among the first limit of these; others found before it are few
+    ideas = weighed.join(times, "id").orderBy(F.desc("part"), F.desc("updated_at"), "id").limit(5 * limit).select("id", "part")
+    near = semantic.select("query_id", "id", (F.col("similarity") * WEIGHTS["semantic"]).alias("part"), F.lit("semantic").alias("kind"))
+    word = queries.select("query_id").crossJoin(F.broadcast(words)).select("query_id", "id", F.lit(WEIGHTS["keyword"]).alias("part"), F.lit("keyword").alias("kind"))
+    found = near.select("query_id", "id").unionByName(word.select("query_id", "id")).distinct().join(weighed, "id")
+    idea = found.select("query_id", "id", "part").unionByName(queries.select("query_id").crossJoin(F.broadcast(ideas)).select("query_id", "id", "part")).distinct().withColumn("kind", F.lit("concept"))
+    merged = near.unionByName(word).unionByName(idea).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("match_types"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("updated_at"), "id")
+    ranked = merged.join(times.select("id", "updated_at"), "id").withColumn("place", F.row_number().over(order).cast("bigint"))
+    return ranked.filter(F.col("place") <= limit).select("query_id", "id", "score", "match_types", "place")
 
 
 def is_weak(results: DataFrame) -> DataFrame:
-    """One row: whether no hit is both semantic and found by another search."""
+    """For each query_id whether no hit is both semantic and found by another search."""
     both = F.col("match_types").contains("semantic") & F.col("match_types").contains("+")
-    return results.agg((~F.coalesce(F.bool_or(both), F.lit(False))).alias("weak"))
+    return results.groupBy("query_id").agg((~F.coalesce(F.bool_or(both), F.lit(False))).alias("weak"))
 
 
 def superseded(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ edges, less what has been visited. Every level is a stored table, so plans stay
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,24 @@ def top_roots(roots: DataFrame, levels: int | None = None) -> DataFrame:
     return found.select("id", F.col("at").alias("top"), "up_levels")
 
 
+def scope_chains(blocks: DataFrame, containment: DataFrame, containers: DataFrame, most: int = 8) -> DataFrame:
+    """id and scope: the labels of what contains each block (id, label) and its own, topmost first, most at most.
+
+    Of several containers the smallest id counts; one that is unknown ends the chain, and so does the most on cycles.
+    """
+    names = containers.select(F.col("id").alias("next"), F.col("label").alias("next_label"))
+    up = settled(containment.groupBy(F.col("source_id").alias("at")).agg(F.min("target_id").alias("next")).join(names, "next"))
+    found = blocks.select("id", F.col("id").alias("at"), F.col("label").alias("scope"))
+    done: list[DataFrame] = []
+    for _ in range(most - 1):
+        step = settled(found.join(up, "at", "left"))
+        done.append(step.filter("next IS NULL").select("id", "scope"))
+        found = step.filter("next IS NOT NULL").select("id", F.col("next").alias("at"), F.concat_ws(" > ", "next_label", "scope").alias("scope"))
+        if found.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done, found.select("id", "scope"))
+
+
 def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int | None = None) -> DataFrame:
     """Nodes reached from starts (start): start, id, depth (the fewest edges), towards causes or effects; starts at 0.
 

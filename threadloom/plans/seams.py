@@ -174,9 +174,16 @@ def group_stitch(g: GraphStore) -> DataFrame:
     return g.table("documents").select(F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("qualified"), F.coalesce("lang", F.lit("none")).alias("project"))
 
 
-@query("e12_latest_run_cost", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest, round(sum(coalesce(value, 0)), 4) AS total FROM events GROUP BY 1")
+@query(
+    "e12_latest_run_cost",
+    "WITH last AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest, max(ts)::DATE AS run_day FROM events GROUP BY 1), passes AS (SELECT e.user_id, latest, run_day, event_type, sum(coalesce(value, 0)) AS usd FROM events e JOIN last l ON e.user_id = l.user_id AND e.ts::DATE = l.run_day GROUP BY ALL) SELECT user_id, latest, run_day, string_agg(event_type, ' ' ORDER BY event_type) AS passes, round(sum(usd), 4) AS total FROM passes GROUP BY 1, 2, 3",
+)
 def latest_run_cost(g: GraphStore) -> DataFrame:
-    return g.table("events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("total"))
+    """What the passes of each user's latest run cost; a run is a day's events, a pass their type. Older runs don't count."""
+    events = g.table("events").filter("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("run_day", F.to_date("ts"))
+    per_day = events.groupBy("user_id", "run_day").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("latest"), F.array_sort(F.collect_set("event_type")).alias("types"), F.sum(F.coalesce("value", F.lit(0.0))).alias("usd"))
+    last = per_day.groupBy("user_id").agg(F.max_by(F.struct("run_day", "latest", "types", "usd"), "run_day").alias("r"))
+    return last.select("user_id", "r.latest", "r.run_day", F.array_join("r.types", " ").alias("passes"), F.round("r.usd", 4).alias("total"))
 
 
 @query("e24_union_sources", "SELECT source, agent, count(*) AS n FROM (SELECT 'event' AS source, user_id AS agent FROM events UNION ALL SELECT 'turn', conv_id FROM conversations) GROUP BY 1, 2")

@@ -51,15 +51,21 @@ def project_closure(g: GraphStore) -> DataFrame:
     return live(g.nodes()).join(tops, "project_id").groupBy("root", "type").agg(F.count("*").alias("n"))
 
 
-@query("f03_scope_chain", sql("SELECT o.id, r.label || ' > ' || n.label || ' > ' || c.label AS scope FROM nodes o JOIN containment e ON e.source_id = o.id JOIN nodes c ON c.id = e.target_id JOIN nodes n ON n.id = c.project_id JOIN nodes r ON r.id = n.project_id WHERE o.type = 'task'", NODES, EDGES))
+@query(
+    "f03_scope_chain",
+    sql(
+        "SELECT id, arg_max(scope, depth) AS scope FROM chain GROUP BY id",
+        NODES,
+        EDGES,
+        ctes="""over_ AS (SELECT source_id, min(target_id) AS target_id FROM containment GROUP BY 1),
+chain AS (SELECT id, id AS at, label AS scope, 1 AS depth FROM nodes WHERE type IN ('task', 'entity', 'project') UNION ALL SELECT c.id, e.target_id, p.label || ' > ' || c.scope, depth + 1 FROM chain c JOIN over_ e ON e.source_id = c.at JOIN nodes p ON p.id = e.target_id WHERE depth < 8)""",
+        recursive=True,
+    ),
+)
 def scope_chain(g: GraphStore) -> DataFrame:
-    """Labels from the region down to the customer, over part_of edges."""
-    names = g.roots().unionByName(g.entities()).select("id", "label")
-    up = g.containment().select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
-    found = g.work().filter("type = 'task'").select("id", F.col("id").alias("at"), F.lit(None).cast("string").alias("scope"))
-    for _ in range(3):
-        found = found.join(up, "at").join(names.select(F.col("id").alias("next"), "label"), "next").select("id", F.col("next").alias("at"), F.concat_ws(" > ", "label", "scope").alias("scope"))
-    return found.select("id", "scope")
+    """Labels from the topmost container down to each task, entity and project, eight at most."""
+    blocks = g.roots().unionByName(g.entities()).unionByName(g.work().filter("type = 'task'")).select("id", "label")
+    return T.scope_chains(blocks, current(g.containment()), g.roots().unionByName(g.entities()).select("id", "label"))
 
 
 @query("f04_tree", sql("SELECT r.id AS root, CASE WHEN n.id = r.id THEN 0 WHEN n.type = 'project' THEN 1 ELSE 2 END::BIGINT AS depth, n.type, count(*) AS n FROM nodes r JOIN (SELECT l.id, l.type, CASE WHEN l.type = 'project' THEN coalesce(l.project_id, l.id) ELSE p.project_id END AS top FROM live l LEFT JOIN nodes p ON p.id = l.project_id) n ON n.top = r.id WHERE r.type = 'project' AND r.project_id IS NULL GROUP BY ALL", NODES))
