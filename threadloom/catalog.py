@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import maintenance, reads, seams, search, traverse
+from .plans import duplicates, maintenance, reads, seams, search, traverse
 
-MODULES = (reads, search, traverse, maintenance, seams)
+MODULES = (reads, search, traverse, maintenance, seams, duplicates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

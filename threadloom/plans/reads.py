@@ -325,14 +325,6 @@ def rank_in_group(g: GraphStore) -> DataFrame:
     return R.top_in_group(live(g.work()).filter("type = 'decision'").select("project_id", "id", "quality", "updated_at"), ["project_id"], [F.desc("quality"), F.desc("updated_at"), F.col("id")], 3).drop("updated_at")
 
 
-@query("e25_concept_overlap", sql("SELECT a.id AS a, b.id AS b, len(list_intersect(a.concepts, b.concepts))::BIGINT AS shared FROM nodes a JOIN nodes b ON a.essence = b.essence AND a.id < b.id WHERE a.type = 'artifact' AND b.type = 'artifact' AND len(list_intersect(a.concepts, b.concepts)) >= 4", NODES))
-def concept_overlap(g: GraphStore) -> DataFrame:
-    p = g.artifacts().select("id", "essence", "concepts")
-    a, b = p.alias("a"), p.alias("b")
-    shared = F.size(F.array_intersect("a.concepts", "b.concepts"))
-    return a.join(b, F.expr("a.essence = b.essence AND a.id < b.id")).filter(shared >= 4).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), shared.cast("bigint").alias("shared"))
-
-
 @query("e28_recent_window", sql("SELECT id, created_at FROM notes WHERE created_at >= TIMESTAMP '2024-01-01 12:00:00' AND created_at < TIMESTAMP '2024-01-01 16:00:00'", NOTES))
 def recent_window(g: GraphStore) -> DataFrame:
     return g.notes().filter((F.col("created_at") >= at("2024-01-01 12:00:00")) & (F.col("created_at") < at("2024-01-01 16:00:00"))).select("id", "created_at")

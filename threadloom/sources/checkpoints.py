@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under the local temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset and the master local (tests), under the temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(base or f'file://{tempfile.gettempdir()}/threadloom-checkpoints').rstrip('/')}/threadloom-{uuid.uuid4().hex}"
 
 
