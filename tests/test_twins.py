@@ -83,3 +83,16 @@ def test_recall_passes_over_what_does_not_fit(spark):
     assert [r.id for r in got if r.shown == "loaded"] == ["n7", "n0", "n2", "n4", "n5"]
     assert {r.id for r in got if r.shown == "hint"} == {"n1", "n3", "n6"}
     assert R.auto_recall(df.limit(0), "", spark.createDataFrame([], "id string, similarity double"), spark.createDataFrame([], "id string"), none, "p").count() == 0
+
+
+def test_gap_report_kinds(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import audit as A
+    from threadloom.sources.graph import now
+
+    rows = [("p", "home", "project", None, 0), ("t", "t", "task", "open", 0), ("u", "u", "task", "Done", 0), ("q", "q", "question", None, 0), ("r", "r", "question", None, 0), ("d", "d", "decision", None, 0), ("x", "x", "dead_end", None, 0), ("y", "y", "dead_end", None, 0), ("w", "w", "draft", None, 30), ("v", "v", "draft", None, 3), ("m", "m", "draft", "promoted", 30), ("s", "agent_session_1", "fact", None, 0)]
+    nodes = spark.createDataFrame([(*r, "active") for r in rows], "id string, label string, type string, work_status string, days int, status string").withColumn("created_at", now() - F.make_dt_interval(days="days"))
+    edges = spark.createDataFrame([("t", "d", "based_on", "active", None), ("d", "q", "resolves", "active", None), ("q", "y", "contradicts", "active", None), ("r", "x", "about", "active", None), ("w", "v", "about", "active", None), ("v", "m", "about", "active", None), ("u", "d", "about", "ended", None)], EDGE)
+    got = {(r.gap, r.id, r.detail) for r in A.gap_report(nodes, edges, spark.createDataFrame([("t", "d")], "id string, detail string"), spark.createDataFrame([("p", "next?")], "id string, detail string"), now()).collect()}
+    assert got == {("orphan", "u", None), ("task", "t", "constraint"), ("open_question", "r", None), ("open_conflict", "t", "d"), ("dead_end", "x", None), ("stale_draft", "w", None), ("next_question", "p", "next?")}

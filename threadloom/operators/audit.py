@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,6 +60,40 @@ def gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def gap_report(nodes: DataFrame, edges: DataFrame, conflicts: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
+    """All open ends of live nodes by kind: gap, id and detail.
+
+    orphan: no edge, projects and agents' sessions apart. task: not done, with the kinds it isn't tied to (decision,
+    constraint). open_question: tied to no fact, decision or answer. open_conflict: conflicts (id, detail). dead_end: no
+    contradicts edge at either end. stale_draft: seven days old and not promoted. next_question: questions (id, detail).
+    """
+    known = live(nodes).select("id", "label", "type", "work_status", "created_at")
+    held = current(edges).select("source_id", "target_id", "type")
+    ends = F.array(F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("other")), F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("other")))
+    links = held.select("type", F.inline(ends))
+    tied = links.select("id").distinct()
+    status = F.lower(F.coalesce("work_status", F.lit("")))
+    asked = known.filter((F.col("type") == "question") | ((F.col("type") == "task") & ~status.isin("done", "completed", "archived"))).select("id", "type")
+    # a hub's many edges become one row of three flags before the kinds are put together
+    seen = links.select("id", "other").join(asked.select("id"), "id", "left_semi").join(known.select(F.col("id").alias("other"), F.col("type").alias("kind")), "other")
+    flags = seen.groupBy("id").agg(*(F.bool_or(F.col("kind").isin(*kinds)).alias(name) for name, kinds in (("decision", ("decision",)), ("constraint", ("constraint",)), ("answer", ("fact", "decision", "answer")))))
+    state = asked.join(flags, "id", "left").na.fill(False, ["decision", "constraint", "answer"])
+    missing = F.concat_ws(",", F.when(~F.col("decision"), "decision"), F.when(~F.col("constraint"), "constraint"))
+    none = F.lit(None).cast("string").alias("detail")
+    against = links.filter("type = 'contradicts'").select("id").distinct()
+    old = (F.col("type") == "draft") & (status != "promoted") & (F.col("created_at") < now - F.make_dt_interval(days=F.lit(7)))
+    parts = [
+        known.filter((F.col("type") != "project") & ~F.startswith("label", F.lit("agent_session_"))).join(tied, "id", "left_anti").select(F.lit("orphan").alias("gap"), "id", none),
+        state.filter("type = 'task'").select(F.lit("task").alias("gap"), "id", missing.alias("detail")).filter("detail <> ''"),
+        state.filter("type = 'question' AND NOT answer").select(F.lit("open_question").alias("gap"), "id", none),
+        conflicts.select(F.lit("open_conflict").alias("gap"), "id", "detail"),
+        known.filter("type = 'dead_end'").join(against, "id", "left_anti").select(F.lit("dead_end").alias("gap"), "id", none),
+        known.filter(old).select(F.lit("stale_draft").alias("gap"), "id", none),
+        questions.select(F.lit("next_question").alias("gap"), "id", "detail"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def shared_tokens(items: DataFrame, least: int, scope: str = "scope", text: str = "value") -> DataFrame:
     """Pairs of items of one scope (id, scope, value) that share least distinct words of four characters or more.
 

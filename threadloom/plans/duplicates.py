@@ -1,4 +1,4 @@
-"""Duplicate audits, attach decisions, the quarantine summary and auto-recall on the driver's tables, with their SQL."""
+"""Duplicate audits, the gap report, attach decisions, the quarantine summary and auto-recall on the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import audit as A
 from ..operators import autorecall as R
 from ..operators import search as S
 from ..operators import twins as T
-from ..sources.graph import GraphStore, _edge, at, live, pick
-from .prelude import EDGES, NODES, sql
+from ..sources.graph import GraphStore, _edge, at, live, now, pick
+from .prelude import EDGES, NODES, NOTES, sql
 
 QUERIES: dict = {}
 
@@ -190,3 +191,25 @@ def auto_recall(g: GraphStore) -> DataFrame:
 def concept_overlap(g: GraphStore) -> DataFrame:
     """Parts of any name that share four concepts or more."""
     return T.concept_pairs(g.artifacts(), 4)
+
+
+@query(
+    "g04_gap_report",
+    sql(
+        "SELECT 'orphan' AS gap, id, NULL AS detail FROM all_n WHERE type <> 'project' AND id NOT IN (SELECT id FROM links) UNION ALL SELECT 'task', id, concat_ws(',', CASE WHEN NOT d THEN 'decision' END, CASE WHEN NOT c THEN 'constraint' END) FROM state WHERE type = 'task' AND NOT (d AND c) UNION ALL SELECT 'open_question', id, NULL FROM state WHERE type = 'question' AND NOT a UNION ALL SELECT 'open_conflict', source_id, target_id FROM revisions UNION ALL SELECT 'dead_end', id, NULL FROM all_n WHERE type = 'dead_end' AND id NOT IN (SELECT id FROM links WHERE type = 'contradicts') UNION ALL SELECT 'stale_draft', id, NULL FROM all_n WHERE type = 'draft' AND created_at < TIMESTAMP '2024-01-25' UNION ALL SELECT 'next_question', 'n' || n_nationkey, 'what is open in ' || lower(n_name) FROM nation",
+        NODES,
+        NOTES,
+        EDGES,
+        ctes="""
+all_n AS (SELECT id, CASE type WHEN 'artifact' THEN 'draft' ELSE type END AS type, work_status, created_at FROM live UNION ALL SELECT id, type, NULL, created_at FROM notes),
+links AS (SELECT source_id AS id, target_id AS other, type FROM cur UNION ALL SELECT target_id, source_id, type FROM cur UNION ALL SELECT source_id, target_id, 'supersedes' FROM revisions UNION ALL SELECT target_id, source_id, 'supersedes' FROM revisions),
+state AS (SELECT n.id, n.type, coalesce(bool_or(o.type = 'decision'), false) AS d, coalesce(bool_or(o.type = 'constraint'), false) AS c, coalesce(bool_or(o.type IN ('fact', 'decision', 'answer')), false) AS a
+  FROM all_n n LEFT JOIN links USING (id) LEFT JOIN all_n o ON o.id = links.other WHERE n.type = 'question' OR n.type = 'task' AND n.work_status <> 'done' GROUP BY 1, 2)""",
+    ),
+)
+def gap_report(g: GraphStore) -> DataFrame:
+    """All seven passes over the graph and the notes; parts stand for drafts, revisions for conflicts."""
+    nodes = g.nodes().withColumn("type", F.when(F.col("type") == "artifact", "draft").otherwise(F.col("type"))).unionByName(g.notes())
+    conflicts = g.revisions().select(F.col("source_id").alias("id"), F.col("target_id").alias("detail"))
+    questions = g.table("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("what is open in "), F.lower("n_name")).alias("detail"))
+    return A.gap_report(nodes, g.edges().unionByName(g.revisions()), conflicts, questions, now())
