@@ -57,13 +57,6 @@ def test_top_roots_have_no_last_level_and_cycles_end(spark):
     assert got == {f"p{k:02}": ("p00", k) for k in range(12)} | {"x": ("x", 0), "y": ("x", 1), "z": ("x", 2), "w": ("x", 3), "s": ("s", 0), "u": ("u", 0)}
 
 
-def test_next_hop_is_the_conclusive_one(spark):
-    n = nodes(spark, {"id": "a", "type": "fact"}, {"id": "b", "type": "fact", "access_count": 9}, {"id": "c", "type": "dead_end"})
-    e = edges(spark, ("b", "a", "based_on"), ("c", "a", "based_on"))
-    got = traverse.sign(traverse.walk(e, spark.createDataFrame([("a",)], "start string"), False, 1), n).orderBy("place").collect()
-    assert [r.id for r in got] == ["c", "b"]
-
-
 def test_causal_order_beats_time(spark):
     late_cause = spark.createDataFrame([("t", "effect", T0), ("t", "cause", T0 + dt.timedelta(1)), ("t", "other", T0 + dt.timedelta(2))], "chain string, id string, created_at timestamp_ntz")
     got = traverse.causal_order(late_cause, edges(spark, ("effect", "cause", "based_on"))).orderBy("place").collect()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import duplicates, maintenance, reads, seams, search, traverse
+from .plans import duplicates, maintenance, reads, rules, seams, search, threads, traverse
 
-MODULES = (reads, search, traverse, maintenance, seams, duplicates)
+MODULES = (reads, search, traverse, threads, maintenance, seams, rules, duplicates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -133,20 +133,25 @@ def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int | None
     return seen
 
 
-def thread(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> DataFrame:
-    """The thread of each start: start, id, depth (causes below 0, effects above) and role.
+def members(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> DataFrame:
+    """The thread of each start: start, id, depth (causes below 0, effects above), is_origin and is_leaf.
 
     Causes are walked first; what both walks reach counts as a cause. Origins have no cause, leaves no effect in the thread.
     """
     up = walk(edges, starts, True, levels).select("start", "id", (-F.col("depth")).alias("depth"))
     down = walk(edges, starts, False, levels).join(up.select("start", "id"), ["start", "id"], "left_anti")
-    members = settled(up.unionByName(down))
+    found = settled(up.unionByName(down))
     e = edges.select("source_id", "target_id").distinct()
-    inner = e.join(members.select("start", F.col("id").alias("source_id")), "source_id").join(members.select("start", F.col("id").alias("target_id")), ["start", "target_id"])
+    inner = e.join(found.select("start", F.col("id").alias("source_id")), "source_id").join(found.select("start", F.col("id").alias("target_id")), ["start", "target_id"])
     has_cause = inner.select("start", F.col("source_id").alias("id"), F.lit(True).alias("has_cause")).distinct()
     has_effect = inner.select("start", F.col("target_id").alias("id"), F.lit(True).alias("has_effect")).distinct()
-    role = F.when(F.col("depth") == 0, "focal").when(F.col("has_cause").isNull(), "origin").when(F.col("has_effect").isNull(), "leaf").otherwise("step")
-    return members.join(has_cause, ["start", "id"], "left").join(has_effect, ["start", "id"], "left").select("start", "id", "depth", role.alias("role"))
+    return found.join(has_cause, ["start", "id"], "left").join(has_effect, ["start", "id"], "left").select("start", "id", "depth", F.col("has_cause").isNull().alias("is_origin"), F.col("has_effect").isNull().alias("is_leaf"))
+
+
+def thread(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> DataFrame:
+    """The members of each thread and the role of each: focal, else origin, else leaf, else step."""
+    role = F.when(F.col("depth") == 0, "focal").when(F.col("is_origin"), "origin").when(F.col("is_leaf"), "leaf").otherwise("step")
+    return members(edges, starts, levels).select("start", "id", "depth", role.alias("role"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,13 +215,13 @@ def causal_order(members: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("chain").applyInPandas(order, "chain string, id string, place bigint")
 
 
-def chains(nodes: DataFrame, edges: DataFrame, conclusive: tuple[str, ...] = tuple(CONCLUSIVE)) -> DataFrame:
+def chains(nodes: DataFrame, edges: DataFrame, conclusive: tuple[str, ...] = tuple(CONCLUSIVE), comps: DataFrame | None = None) -> DataFrame:
     """Components that end in a conclusion: chain, members, terminal and its type.
 
     An end is a member that causes nothing in the component; of several conclusive ends the weightiest, then the smallest
-    id, is the terminal. Components without one give no row.
+    id, is the terminal. Components without one give no row. comps are the components, where they are known already.
     """
-    comps = components(edges)
+    comps = components(edges) if comps is None else comps
     members = comps.join(nodes.select("id", "type"), "id")
     causes = edges.select(F.col("target_id").alias("id")).distinct()
     weight = lookup(CONCLUSIVE)[F.col("type")]
@@ -226,14 +231,6 @@ def chains(nodes: DataFrame, edges: DataFrame, conclusive: tuple[str, ...] = tup
     return terminal.join(size, "component").select(F.col("component").alias("chain"), "members", F.col("t.id").alias("terminal"), F.col("t.type").alias("terminal_type"))
 
 
-def linked(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Threads that bridging edges tie together: from, to, strength (the strongest) and edges; members: id, thread."""
-    e = edges.filter(F.col("type").isin(*BRIDGES)).withColumn("strength", lookup(BRIDGES)[F.col("type")].cast("bigint"))
-    a = members.select(F.col("id").alias("source_id"), F.col("thread").alias("from"))
-    b = members.select(F.col("id").alias("target_id"), F.col("thread").alias("to"))
-    return e.join(a, "source_id").join(b, "target_id").filter("from <> to").groupBy("from", "to").agg(F.max("strength").alias("strength"), F.count("*").alias("edges"))
-
-
 def challenges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Who contradicts each node: directly, or a neighbour of it over any other edge; id, challenger and how near."""
     against = edges.filter(F.col("type").isin("contradicts", "challenges")).select(F.col("target_id").alias("id"), F.col("source_id").alias("challenger")).distinct()
@@ -242,11 +239,3 @@ def challenges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     second = near.join(against.withColumnRenamed("id", "n"), "n").select("id", "challenger").distinct().withColumn("hops", F.lit(2).cast("bigint"))
     found = direct.unionByName(second).groupBy("id", "challenger").agg(F.min("hops").alias("hops"))
     return found.join(nodes.select("id"), "id", "left_semi")
-
-
-def sign(members: DataFrame, nodes: DataFrame, hops: int = 5) -> DataFrame:
-    """Next steps of each thread's focal node: its direct effects, the most conclusive first, then the most read."""
-    weight = F.coalesce(lookup(CONCLUSIVE)[F.col("type")], F.lit(1))
-    near = members.filter("depth = 1").join(nodes.select("id", "type", "access_count"), "id").withColumn("weight", weight.cast("bigint"))
-    place = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("weight"), F.desc("access_count"), "id"))
-    return near.withColumn("place", place.cast("bigint")).filter(F.col("place") <= hops).select("start", "id", "weight", "place")

@@ -8,32 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-UPDATABLE = ("label", "type", "status", "ttl", "project_id", "essence", "concepts", "quality", "work_status", "priority")
+#: Fields of a node that may change.
+UPDATABLE = (
+    "label", "type", "status", "ttl", "project_id", "essence", "content", "source", "concepts", "aliases", "embedding", "locked", "enriched_at",
+    "quality_score", "last_challenged_at", "priority", "flow_role", "chain_id", "review_status", "review_reason", "source_excerpt",
+)
+#: The columns here that stand for quality_score and for parts of content.
+OWN = ("quality", "work_status", "payload")
 
 
 def created(nodes: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """nodes with new ones: a label that exists keeps its id; an archived node of that label becomes active again.
+    """nodes with new ones: a label that exists keeps its id, in any case of letters.
 
-    New labels that come several times are created once, with the smallest id.
+    An archived node of that label becomes active, with the new essence and ttl where there are any; another takes in the
+    new payload's keys, if nodes have a payload. New labels that come several times are created once, with the smallest id.
     """
     key = F.lower("label")
     first = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("id"))).filter("__n = 1").drop("__n")
-    again = first.select(key.alias("__k"), F.lit(True).alias("__again"))
-    kept = nodes.withColumn("__k", key).join(again, "__k", "left")
+    merges = "payload" in nodes.columns
+    again = first.select(key.alias("__k"), F.lit(True).alias("__again"), F.nullif("essence", F.lit("")).alias("__essence"), F.col("ttl").alias("__ttl"), *([F.col("payload").alias("__payload")] if merges else []))
+    held = nodes.withColumn("__k", key).join(again, "__k", "left")
     back = F.col("__again") & (F.col("status") == "archived")
-    kept = kept.withColumn("updated_at", F.when(back, now).otherwise(F.col("updated_at"))).withColumn("status", F.when(back, "active").otherwise(F.col("status"))).drop("__k", "__again")
+    changes = {"essence": F.when(back, F.coalesce("__essence", "essence")).otherwise(F.col("essence")), "ttl": F.when(back, F.coalesce("__ttl", "ttl")).otherwise(F.col("ttl")), "status": F.when(back, "active").otherwise(F.col("status"))}
+    touched = back
+    if merges:
+        live = F.col("__again") & (F.col("status") != "archived") & F.col("__payload").isNotNull()
+        empty = F.create_map().cast("map<string,string>")
+        old = F.map_filter(F.coalesce("payload", empty), lambda k, _: ~F.map_contains_key("__payload", k))
+        changes["payload"] = F.when(live, F.map_concat(old, "__payload")).otherwise(F.col("payload"))
+        touched = back | live
+    changes["updated_at"] = F.when(touched, now).otherwise(F.col("updated_at"))
     added = first.join(nodes.select(key.alias("__k")), F.lower(first["label"]) == F.col("__k"), "left_anti")
-    return kept.unionByName(added)
+    return held.withColumns(changes).select(*nodes.columns).unionByName(added)
 
 
-def updated(nodes: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def updated(nodes: DataFrame, changes: DataFrame, now: Column, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """Next nodes and the history of changes (id, field, value as text); fields that may not change raise.
 
-    Of several changes of a field the last by seq holds.
+    Of several changes of a field the last by seq holds. Where nodes have a column locked, changes of a locked node
+    raise unless forced or one of them is of locked itself; a batch that raises changes nothing.
     """
     fields = [r.field for r in changes.select("field").distinct().collect()]
-    if bad := sorted(set(fields) - set(UPDATABLE)):
+    if bad := sorted(set(fields) - (set(UPDATABLE + OWN) & set(nodes.columns))):
         raise ValueError(f"fields that can't be updated: {', '.join(bad)}")
+    if "locked" in nodes.columns and not force:
+        asked = changes.groupBy("id").agg(F.bool_or(F.col("field") == "locked").alias("opens")).filter("NOT opens")
+        if held := nodes.filter("locked").join(asked, "id", "left_semi").select("label").head():
+            raise PermissionError(f"{held.label} is locked")
     last = changes.groupBy("id", "field").agg(F.max(F.struct("seq", "value"))["value"].alias("value"))
     wide = last.groupBy("id").agg(*(F.max(F.when(F.col("field") == f, F.struct("value"))).alias(f"__{f}") for f in fields))
     joined = nodes.join(wide, "id", "left")
@@ -60,6 +81,20 @@ def ended(edges: DataFrame, gone: DataFrame, now: Column) -> DataFrame:
     return marked.withColumn("valid_to", F.when(F.col("__gone") & F.col("valid_to").isNull(), now).otherwise(F.col("valid_to"))).select(*edges.columns)
 
 
+def decided(edges: DataFrame, decisions: DataFrame) -> DataFrame:
+    """edges after decisions (source_id, target_id, type, decision, new_type), one an edge.
+
+    approve makes a pending edge active and reject takes it away; neither touches others. retype changes the type of any edge.
+    """
+    key = ["source_id", "target_id", "type"]
+    e = edges.join(decisions.select(*key, "decision", "new_type").dropDuplicates(key), key, "left")
+    pending = F.coalesce(F.col("status") == "pending", F.lit(False))
+    e = e.filter(~(pending & F.coalesce(F.col("decision") == "reject", F.lit(False))))
+    status = F.when(pending & (F.col("decision") == "approve"), "active").otherwise(F.col("status"))
+    kind = F.when((F.col("decision") == "retype") & F.col("new_type").isNotNull(), F.col("new_type")).otherwise(F.col("type"))
+    return e.withColumns({"status": status, "type": kind}).select(*edges.columns)
+
+
 def archived(nodes: DataFrame, edges: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Nodes marked archived and their outgoing edges ended; incoming ones stay."""
     gone = ids.select("id").distinct().withColumn("__gone", F.lit(True))

@@ -29,13 +29,6 @@ def capture_status(g: GraphStore) -> DataFrame:
     return g.table("orders").select("o_orderkey", F.when(s == "F", "final").when(s == "P", "transient").otherwise("unknown").alias("class"), (s == "F").alias("advances"))
 
 
-@query("a16_goal_lines", r"SELECT conv_id, turn, count(*) AS lines FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE regexp_matches(line, '^[A-ZÀ-Þ][^ ]* ') GROUP BY 1, 2")
-def goal_lines(g: GraphStore) -> DataFrame:
-    """Lines of turns that open with a capital and a word."""
-    lines = g.table("conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(F.col("line").rlike("^[A-ZÀ-Þ][^ ]* ")).groupBy("conv_id", "turn").agg(F.count("*").alias("lines"))
-
-
 @query("b02_detail_levels", sql("SELECT id, type, label, CASE WHEN type = 'task' THEN essence END AS content, CASE WHEN type = 'task' THEN array_to_string(concepts, ',') END AS concepts FROM live WHERE type IN ('task', 'dead_end')", NODES))
 def detail_levels(g: GraphStore) -> DataFrame:
     """Tasks in full, dead ends on the surface."""
@@ -57,13 +50,6 @@ def node_edges(g: GraphStore) -> DataFrame:
     return out.unionByName(back).groupBy("id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
 
 
-@query("b20_flags_by_block", "SELECT p AS block, count(*) AS flags, count(*) FILTER (l_discount > 0.05) AS pending FROM (SELECT l_partkey AS p, l_discount FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_suppkey, l_discount FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey <> l_partkey) GROUP BY 1")
-def flags_by_block(g: GraphStore) -> DataFrame:
-    """Flags that name a block on either side, and those not reviewed."""
-    f = g.table("lineitem").filter("l_returnflag = 'R'").select(F.explode(F.array_distinct(F.array("l_partkey", "l_suppkey"))).alias("block"), "l_discount")
-    return f.groupBy("block").agg(F.count("*").alias("flags"), F.count_if(F.col("l_discount") > 0.05).alias("pending"))
-
-
 @query("b21_quarantine", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) < 40 THEN 'too_short' ELSE 'symbols' END AS reason FROM documents WHERE text IS NULL OR length(text) < 40 OR contains(text, '%%%')")
 def quarantine(g: GraphStore) -> DataFrame:
     text = F.col("text")
@@ -120,28 +106,6 @@ def drifted_ids(g: GraphStore) -> DataFrame:
     return side("O", "id").join(side("F", "twin"), ["o_custkey", "o_orderpriority", "k"]).select("id", "twin")
 
 
-@query("d08_label_rules", sql("SELECT id, len(string_split(label, '_'))::BIGINT AS segments, len(string_split(label, '_')) <= 4 AND NOT contains(label, ' ') AS valid, replace(type, '_', '-') AS type_segment FROM live", NODES))
-def label_rules(g: GraphStore) -> DataFrame:
-    n = F.size(F.split("label", "_"))
-    return live(g.nodes()).select("id", n.cast("bigint").alias("segments"), ((n <= 4) & ~F.contains("label", F.lit(" "))).alias("valid"), F.replace("type", F.lit("_"), F.lit("-")).alias("type_segment"))
-
-
-@query(
-    "d09_validation",
-    sql("SELECT n.project_id, count(*) FILTER (n.type = 'decision' AND b.id IS NULL) AS decisions_without_evidence, count(*) FILTER (n.essence = '') AS empty FROM live n LEFT JOIN (SELECT DISTINCT source_id AS id FROM evidence) b ON b.id = n.id WHERE n.id LIKE 'o%' GROUP BY 1", NODES, EDGES),
-)
-def validation(g: GraphStore) -> DataFrame:
-    grounded = g.evidence().select(F.col("source_id").alias("id")).distinct().withColumn("has", F.lit(True))
-    return live(g.work()).join(grounded, "id", "left").groupBy("project_id").agg(F.count_if((F.col("type") == "decision") & F.col("has").isNull()).alias("decisions_without_evidence"), F.count_if(F.col("essence") == "").alias("empty"))
-
-
-@query("d10_seam_routes", sql("SELECT id, CASE WHEN type = 'insight' AND quality < 3 THEN 'demote' WHEN text IS NULL OR trim(text) = '' THEN 'quarantine' WHEN quality = 1 THEN 'route_back' ELSE 'proceed' END AS route FROM notes JOIN documents USING (doc_id)", NOTES))
-def seam_routes(g: GraphStore) -> DataFrame:
-    text = F.col("essence")
-    route = F.when((F.col("type") == "insight") & (F.col("quality") < 3), "demote").when(text.isNull() | (F.trim(text) == ""), "quarantine").when(F.col("quality") == 1, "route_back").otherwise("proceed")
-    return g.notes().select("id", route.alias("route"))
-
-
 @query("d11_ungrounded", sql("SELECT id FROM live WHERE type = 'decision' AND id NOT IN (SELECT source_id FROM evidence)", NODES, EDGES))
 def ungrounded(g: GraphStore) -> DataFrame:
     return live(g.work()).filter("type = 'decision'").select("id").join(g.evidence().select(F.col("source_id").alias("id")), "id", "left_anti")
@@ -169,11 +133,6 @@ def duplicate_alerts(g: GraphStore) -> DataFrame:
     return best.select("vec_id", "nearest", F.when(F.col("m") >= 0.88, "strong").when(F.col("m") >= 0.72, "related").otherwise("none").alias("alert"))
 
 
-@query("d22_group_stitch", sql("SELECT source || '::' || doc_id AS qualified, coalesce(lang, 'none') AS project FROM documents"))
-def group_stitch(g: GraphStore) -> DataFrame:
-    return g.table("documents").select(F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("qualified"), F.coalesce("lang", F.lit("none")).alias("project"))
-
-
 @query(
     "e12_latest_run_cost",
     "WITH last AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest, max(ts)::DATE AS run_day FROM events GROUP BY 1), passes AS (SELECT e.user_id, latest, run_day, event_type, sum(coalesce(value, 0)) AS usd FROM events e JOIN last l ON e.user_id = l.user_id AND e.ts::DATE = l.run_day GROUP BY ALL) SELECT user_id, latest, run_day, string_agg(event_type, ' ' ORDER BY event_type) AS passes, round(sum(usd), 4) AS total FROM passes GROUP BY 1, 2, 3",
@@ -213,20 +172,6 @@ def status_carry(g: GraphStore) -> DataFrame:
     return g.table("orders").groupBy("o_custkey").agg(F.element_at(F.array(F.lit("open"), F.lit("in_progress"), F.lit("done")), F.max(rank)).alias("status"))
 
 
-@query("g20_demote_heal", sql("SELECT id, 'fact' AS type, replace(label, 'doc_', 'fact_') AS label FROM notes WHERE type = 'insight'", NOTES))
-def demote_heal(g: GraphStore) -> DataFrame:
-    """Insights become facts, unless the new label is taken."""
-    n = g.notes().select("id", "type", "label")
-    renamed = n.filter("type = 'insight'").select("id", F.lit("fact").alias("type"), F.replace("label", F.lit("doc_"), F.lit("fact_")).alias("label"))
-    return renamed.join(n.select("label"), "label", "left_anti").select("id", "type", "label")
-
-
-@query("g25_flag_lifecycle", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'agent' WHEN value > 100 THEN 'apply' WHEN value > 50 THEN 'review' ELSE 'new' END AS state FROM events")
-def flag_lifecycle(g: GraphStore) -> DataFrame:
-    v = F.col("value")
-    return g.table("events").select("event_id", F.when(F.col("event_type") == "error", "agent").when(v > 100, "apply").when(v > 50, "review").otherwise("new").alias("state"))
-
-
 @query(
     "g29_task_links",
     sql("SELECT t.id AS task, c.id AS rule FROM live t JOIN live c ON c.project_id = t.project_id AND c.type = 'decision' AND c.priority = 'high' AND c.created_at < t.created_at AND c.created_at >= t.created_at - INTERVAL 30 DAY WHERE t.type = 'task' AND t.work_status = 'open'", NODES),
@@ -239,13 +184,6 @@ def task_links(g: GraphStore) -> DataFrame:
     return t.join(c, "project_id").filter("c < t AND c >= t - INTERVAL 30 DAY").select("task", "rule")
 
 
-@query("g33_budget_verdict", "SELECT user_id, CASE WHEN bool_or(value IS NULL) THEN 'closed' WHEN sum(value) FILTER (ts > TIMESTAMP '2024-01-29') > 150 THEN 'over' ELSE 'ok' END AS verdict FROM events GROUP BY 1")
-def budget_verdict(g: GraphStore) -> DataFrame:
-    """Unknown costs close the budget; else the last day's spend decides."""
-    recent = F.sum(F.when(F.col("ts") > at("2024-01-29 00:00:00"), F.col("value")))
-    return g.table("events").groupBy("user_id").agg(F.when(F.bool_or(F.col("value").isNull()), "closed").when(recent > 150, "over").otherwise("ok").alias("verdict"))
-
-
 @query("g35_prunes", sql("SELECT type, count(*) AS left_over FROM cur WHERE type NOT IN ('affects') GROUP BY 1", EDGES))
 def prunes(g: GraphStore) -> DataFrame:
     return current(g.edges()).filter("type <> 'affects'").groupBy("type").agg(F.count("*").alias("left_over"))

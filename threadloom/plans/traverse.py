@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import traverse as T
+from ..sources.checkpoints import settled
 from ..sources.graph import GraphStore, current, live
 from .prelude import EDGES, NODES, NOTES, sql
 
@@ -68,14 +69,6 @@ def scope_chain(g: GraphStore) -> DataFrame:
     return T.scope_chains(blocks, current(g.containment()), g.roots().unionByName(g.entities()).select("id", "label"))
 
 
-@query("f04_tree", sql("SELECT r.id AS root, CASE WHEN n.id = r.id THEN 0 WHEN n.type = 'project' THEN 1 ELSE 2 END::BIGINT AS depth, n.type, count(*) AS n FROM nodes r JOIN (SELECT l.id, l.type, CASE WHEN l.type = 'project' THEN coalesce(l.project_id, l.id) ELSE p.project_id END AS top FROM live l LEFT JOIN nodes p ON p.id = l.project_id) n ON n.top = r.id WHERE r.type = 'project' AND r.project_id IS NULL GROUP BY ALL", NODES))
-def tree(g: GraphStore) -> DataFrame:
-    tops = T.top_roots(g.roots())
-    inner = tops.select(F.col("top").alias("root"), F.col("up_levels").alias("depth"), F.lit("project").alias("type"))
-    leaves = live(g.nodes()).filter("type <> 'project'").join(tops.select(F.col("id").alias("project_id"), F.col("top").alias("root"), "up_levels"), "project_id").select("root", (F.col("up_levels") + 1).alias("depth"), "type")
-    return inner.unionByName(leaves).groupBy("root", "depth", "type").agg(F.count("*").alias("n"))
-
-
 @query(
     "f05_root_list",
     sql(
@@ -100,6 +93,11 @@ def spine(g: GraphStore) -> DataFrame:
     return g.prompts().unionByName(g.evidence())
 
 
+def stored_spine(g: GraphStore) -> DataFrame:
+    """The spine as a stored table, for queries that read it more than once."""
+    return settled(spine(g))
+
+
 def starts(g: GraphStore) -> DataFrame:
     """Orders whose key is divisible by 50, the focal nodes of the thread queries."""
     return g.table("orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("start"))
@@ -115,60 +113,12 @@ inner_edges AS (SELECT a.start, s.source_id, s.target_id FROM spine s JOIN membe
 """
 
 
-@query(
-    "f07_thread_walk",
-    sql(
-        "SELECT m.start, m.id, m.depth::BIGINT AS depth, CASE WHEN depth = 0 THEN 'focal' WHEN NOT EXISTS (SELECT 1 FROM inner_edges i WHERE i.start = m.start AND i.source_id = m.id) THEN 'origin' WHEN NOT EXISTS (SELECT 1 FROM inner_edges i WHERE i.start = m.start AND i.target_id = m.id) THEN 'leaf' ELSE 'step' END AS role FROM members m",
-        EDGES,
-        ctes=WALKS,
-        recursive=True,
-    ),
-)
-def thread_walk(g: GraphStore) -> DataFrame:
-    return T.thread(spine(g), starts(g))
-
-
-@query(
-    "f08_sign",
-    sql(
-        "SELECT start, id, weight, place FROM (SELECT m.start, m.id, CASE n.type WHEN 'dead_end' THEN 5 WHEN 'decision' THEN 4 ELSE 1 END::BIGINT AS weight, row_number() OVER (PARTITION BY m.start ORDER BY CASE n.type WHEN 'dead_end' THEN 5 WHEN 'decision' THEN 4 ELSE 1 END DESC, access_count DESC, m.id) AS place FROM members m JOIN nodes n ON n.id = m.id WHERE depth = 1) WHERE place <= 5",
-        NODES,
-        EDGES,
-        ctes=WALKS,
-        recursive=True,
-    ),
-)
-def sign(g: GraphStore) -> DataFrame:
-    return T.sign(T.walk(spine(g), starts(g), False, 1), g.work())
-
-
-@query("f09_full_thread", sql("SELECT m.start, m.id, n.type, row_number() OVER (PARTITION BY m.start ORDER BY depth, created_at, m.id) AS place FROM members m JOIN nodes n ON n.id = m.id", NODES, EDGES, ctes=WALKS, recursive=True))
-def full_thread(g: GraphStore) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    members = T.thread(spine(g), starts(g)).join(g.work().select("id", "type", "created_at"), "id")
-    return members.select("start", "id", "type", F.row_number().over(Window.partitionBy("start").orderBy("depth", "created_at", "id")).cast("bigint").alias("place"))
-
-
-@query("f10_linked_threads", sql('SELECT a.o_custkey AS "from", s.target_id AS "to", max(CASE type WHEN \'contradicts\' THEN 4 ELSE 2 END)::BIGINT AS strength, count(*) AS edges FROM (SELECT * FROM cur WHERE type IN (\'contradicts\', \'affects\')) s JOIN (SELECT \'o\' || o_orderkey AS id, \'t\' || o_custkey AS o_custkey FROM orders) a ON a.id = s.source_id GROUP BY 1, 2', EDGES))
-def linked_threads(g: GraphStore) -> DataFrame:
-    """Ties between customers' threads and suppliers."""
-    of = g.table("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("t"), "o_custkey").alias("thread"))
-    ends = g.table("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("s"), "s_suppkey").alias("thread"))
-    return T.linked(of.unionByName(ends), current(g.supplies()))
-
-
 @query("f11_causal_order", "SELECT 't' || o_custkey AS chain, 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def causal_order(g: GraphStore) -> DataFrame:
     members = g.table("orders").select(F.concat(F.lit("t"), "o_custkey").alias("chain"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
     return T.causal_order(members, spine(g))
 
 
-@query("f12_bounded_chain", sql("SELECT start, id, min(depth)::BIGINT AS depth FROM up WHERE depth <= 7 GROUP BY 1, 2", EDGES, ctes=WALKS.split(",\ndown AS")[0], recursive=True))
-def bounded_chain(g: GraphStore) -> DataFrame:
-    return T.walk(spine(g), starts(g), True, 7)
-
-
 @query("f13_components", "SELECT 'o' || o_orderkey AS id, min('o' || o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
 def component(g: GraphStore) -> DataFrame:
     return T.components(spine(g))
@@ -182,7 +132,7 @@ def component(g: GraphStore) -> DataFrame:
     ),
 )
 def mechanical_chains(g: GraphStore) -> DataFrame:
-    return T.chains(g.work(), spine(g))
+    return T.chains(g.work(), stored_spine(g))
 
 
 @query(
@@ -200,16 +150,6 @@ def challenges(g: GraphStore) -> DataFrame:
     return T.challenges(asked, recalled)
 
 
-@query("f16_chain_members", "SELECT 't' || o_custkey AS chain, 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS members FROM orders QUALIFY members > 12")
-def chain_members(g: GraphStore) -> DataFrame:
-    """Ordered members of chains of more than twelve."""
-    from pyspark.sql.window import Window
-
-    by = Window.partitionBy("o_custkey")
-    rows = g.table("orders").withColumn("members", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("o_orderdate", "o_orderkey")).cast("bigint"))
-    return rows.filter("members > 12").select(F.concat(F.lit("t"), "o_custkey").alias("chain"), F.concat(F.lit("o"), "o_orderkey").alias("id"), "place", "members")
-
-
 @query("f17_stale_closure", sql("SELECT DISTINCT e.source_id AS id FROM evidence e JOIN nodes n ON n.id = e.target_id WHERE n.updated_at > e.created_at", NODES, EDGES))
 def stale_closure(g: GraphStore) -> DataFrame:
     changed = g.work().select(F.col("id").alias("target_id"), "updated_at")
