@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, media, mixing, neardup, packing, quality, sharding, toxicity, warc
+from . import infill, languages, media, mixing, neardup, packing, polytope, quality, sharding, toxicity, warc, whitening
 from .bpe import with_token_counts
 from .shared import documents, stored
 
@@ -134,9 +134,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op11_marker_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.infilled(documents(spark, sf_dir).select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"), F.length("fim_prefix").cast("long").alias("prefix_chars"), F.length("fim_middle").cast("long").alias("middle_chars"), digest(F.col("fim_output")).alias("output_sha256"), digest(infill.restored(F.col("fim_output"), F.col("fim_form"))).alias("restored_sha256"))
+
+
+#: Texts are cut by position here, without markers between units.
+OP11_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(t)::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS x FROM documents),
+u AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label, and what is reached over links.
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(e, e)) AS norm FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+least_ AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least_ ON x = vec_id
+"""
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.with_whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op4_iso_media": op4_iso_media, "op5_hyperminhash": op5_hyperminhash, "op6_differencing_pack": op6_differencing_pack, "op7_noisy_or_toxicity": op7_noisy_or_toxicity, "op8_merkle_audit": op8_merkle_audit, "op9_script_viterbi": op9_script_viterbi, "op10_fair_mix": op10_fair_mix}
+    return {"op1_token_counts": op1_token_counts, "op2_virtual_slots": op2_virtual_slots, "op3_quality_rules": op3_quality_rules, "op4_iso_media": op4_iso_media, "op5_hyperminhash": op5_hyperminhash, "op6_differencing_pack": op6_differencing_pack, "op7_noisy_or_toxicity": op7_noisy_or_toxicity, "op8_merkle_audit": op8_merkle_audit, "op9_script_viterbi": op9_script_viterbi, "op10_fair_mix": op10_fair_mix, "op11_marker_injection": op11_marker_injection, "op12_cross_polytope": op12_cross_polytope, "op13_tsqr_whitening": op13_tsqr_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": op3_sql(), "op8_merkle_audit": op8_sql(), "op10_fair_mix": OP10_SQL}
+    return {"op3_quality_rules": op3_sql(), "op8_merkle_audit": op8_sql(), "op10_fair_mix": OP10_SQL, "op11_marker_injection": OP11_SQL, "op12_cross_polytope": OP12_SQL}
