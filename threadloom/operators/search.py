@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scoring import recency
 from ..functions.text import jaccard, primary, stem
+from ..sources.checkpoints import settled
+from .cells import matrix
 
 #: Words of a query that find nothing by themselves.
 STOP = frozenset("a about all an and any are but can did does for from had has have how into its not our out that the their them they this use was were what when where which who why will with would you your".split())
@@ -66,18 +68,12 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int | None =
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(rows: pa.StructArray, length: int) -> tuple[np.ndarray, np.ndarray]:
-            good = [k for k, v in enumerate(rows.field("v").to_pylist()) if len(v) == length]
-            m = np.array([rows.field("v")[k].as_py() for k in good], np.float64).reshape(-1, length)
-            size = np.sqrt((m * m).sum(1))
-            return rows.field("id").to_numpy()[good][size > 0], (m / np.where(size, size, 1)[:, None])[size > 0]
-
         for batch in batches:
             for at in range(len(batch)):
                 a, b = (batch.column(c)[at].values for c in (0, 1))
-                for length in sorted({len(v) for v in a.field("v").to_pylist()}):
-                    ids, asked = matrix(a, length)
-                    others, there = matrix(b, length)
+                for length in np.unique(np.diff(a.field("v").offsets.to_numpy())):
+                    (mine, asked), (theirs, there) = matrix(a.field("v"), length), matrix(b.field("v"), length)
+                    ids, others = a.field("id").to_numpy()[mine], b.field("id").to_numpy()[theirs]
                     cos = asked @ there.T
                     q, j = np.nonzero(cos > floor)
                     if limit:
@@ -87,7 +83,8 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int | None =
                         q, j = q[keep], j[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(others[j]), pa.array(cos[q, j])], names=["query_id", "id", "similarity"])
 
-    asked, there = _blocks(queries, key, vector, BLOCK).withColumnRenamed("rows", "asked"), _blocks(vectors, key, vector, BLOCK)
+    # stored, since the other side would else build the vectors' blocks again in each of its partitions
+    asked, there = _blocks(queries, key, vector, BLOCK).withColumnRenamed("rows", "asked"), settled(_blocks(vectors, key, vector, BLOCK))
     found = asked.crossJoin(there).mapInArrow(meet, "query_id bigint, id bigint, similarity double")
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")).cast("bigint")) if limit else found
     return ranked.filter(F.col("place") <= limit) if limit else ranked
