@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.checkpoints import settled
+
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "6 hours") -> DataFrame:
     """Events of a key closer than gap are one session: key, start, end (of the last event), events and value."""
@@ -21,23 +22,48 @@ def rolling(events: DataFrame, key: str, seconds: int, value: str = "value", ts:
     return F.sum(value).over(w)
 
 
+#: Gaps that a bucket of a key's events spans.
+BUCKET_GAPS = 16
+
+
+def successors(rows: DataFrame, key: str, seconds: int) -> DataFrame:
+    """n and next of rows (n, key, t in microseconds, order): the first row of the key at or after t and the seconds, if any.
+
+    A key is cut into buckets of time. Within a bucket one sorted stream finds the next row; where there is none, the next
+    bucket that has rows begins with it. So a key of many rows is the work of many tasks.
+    """
+    width = BUCKET_GAPS * seconds * 1_000_000
+    events = rows.select(key, F.col("t").alias("at"), "order", F.col("n").alias("event"), F.lit(None).cast("bigint").alias("asks"))
+    # asked before the events of the same time
+    asks = rows.select(key, (F.col("t") + seconds * 1_000_000).alias("at"), F.lit(None).cast(rows.schema["order"].dataType).alias("order"), F.lit(None).cast("bigint").alias("event"), F.col("n").alias("asks"))
+    both = events.unionByName(asks).withColumn("bucket", F.floor(F.col("at") / width))
+    ahead = Window.partitionBy(key, "bucket").orderBy(F.col("at"), F.col("asks").isNull(), "order").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("next", F.first("event", ignorenulls=True).over(ahead)).filter("asks IS NOT NULL").select(key, "bucket", F.col("asks").alias("n"), "next")
+    begins = events.withColumn("bucket", F.floor(F.col("at") / width)).groupBy(key, "bucket").agg(F.min_by("event", F.struct("at", "order")).alias("begin"))
+    every = found.select(key, "bucket").distinct().join(begins, [key, "bucket"], "full_outer")
+    later = Window.partitionBy(key).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    every = every.withColumn("begin", F.first("begin", ignorenulls=True).over(later))
+    return found.join(every, [key, "bucket"]).select("n", F.coalesce("next", "begin").alias("next")).filter("next IS NOT NULL")
+
+
 def cooled(events: DataFrame, key: str, order: str, seconds: int, ts: str = "ts") -> DataFrame:
     """Events that fire: the first of a key, and each that comes seconds or more after the last that fired.
 
-    Which fire depends on the one before, so a key's times are gone through in one task; keys are many and short.
+    Each event points at the one that would fire next. From a key's first event the pointers are followed, twice as far each
+    round, so rounds grow with the logarithm of the number of firings; every round is a stored table. Rows without a key or a
+    time never fire; seconds are 1 or more.
     """
-
-    def fire(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([ts, order])
-        last, keep = None, []
-        for t in g[ts]:
-            fires = last is None or (t - last).total_seconds() >= seconds
-            keep.append(fires)
-            last = t if fires else last
-        return g[keep]
-
-    rows = events.select(key, order, ts)
-    return rows.groupBy(key).applyInPandas(fire, rows.schema)
+    rows = settled(events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, order, ts).withColumn("n", F.monotonically_increasing_id()))
+    timed = rows.select("n", key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("order"))
+    jump = settled(successors(timed, key, seconds))
+    marks = settled(timed.groupBy(key).agg(F.min_by("n", F.struct("t", "order")).alias("n")).select("n"))
+    while True:
+        more = settled(marks.join(jump, "n").select(F.col("next").alias("n")))
+        if more.isEmpty():
+            break
+        marks = settled(marks.unionByName(more))
+        jump = settled(jump.join(jump.select(F.col("n").alias("next"), F.col("next").alias("far")), "next").select("n", F.col("far").alias("next")))
+    return rows.join(marks, "n", "left_semi").drop("n")
 
 
 def triggers(events: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

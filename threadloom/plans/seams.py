@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, scope_segment, terms
 from ..operators import reads as R
+from ..operators.grams import similar_tags
+from ..operators.intervals import in_intervals, micros
 from ..sources.graph import GraphStore, at, current, live, normal_text
 from .prelude import EDGES, NODES, NOTES, sql
 
@@ -83,12 +85,19 @@ def scope_segments(g: GraphStore) -> DataFrame:
     return live(g.nodes()).groupBy(scope_segment(F.col("label")).alias("scope")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("c21_vocabulary_hints", sql("SELECT a.c AS tag, b.c AS known, row_number() OVER (PARTITION BY a.c ORDER BY b.c) AS place FROM v a JOIN v b ON left(a.c, 5) = left(b.c, 5) AND a.c <> b.c QUALIFY place <= 2", NODES, ctes="v AS (SELECT DISTINCT unnest(concepts) AS c FROM live)"))
+@query(
+    "c21_vocabulary_hints",
+    sql(
+        "SELECT a.c AS tag, b.c AS known, row_number() OVER (PARTITION BY a.c ORDER BY b.c) AS place FROM v a JOIN v b ON a.c <> b.c AND (starts_with(b.c, left(a.c, 5)) OR starts_with(a.c, left(b.c, 5)) OR contains(b.c, left(a.c, 6)) OR contains(a.c, left(b.c, 6))) QUALIFY place <= 2",
+        NODES,
+        ctes="v AS (SELECT DISTINCT unnest(concepts) AS c FROM live UNION SELECT DISTINCT unnest(string_split(lower(name), '#')) FROM (SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier))",
+    ),
+)
 def vocabulary_hints(g: GraphStore) -> DataFrame:
-    """Up to two known tags that begin like each tag."""
-    v = live(g.nodes()).select(F.explode("concepts").alias("c")).distinct().withColumn("p", F.substring("c", 1, 5))
-    a, b = v.select(F.col("c").alias("tag"), "p"), v.select(F.col("c").alias("known"), "p")
-    return R.top_in_group(a.join(b, "p").filter("tag <> known").select("tag", "known"), ["tag"], [F.col("known")], 2)
+    """Up to two known tags for each tag that begin like it or contain it, tags being concepts and the parts of entities' names."""
+    names = live(g.entities()).select(F.explode(F.split(F.lower("essence"), "#")).alias("tag"))
+    tags = live(g.nodes()).select(F.explode("concepts").alias("tag")).unionByName(names).distinct()
+    return similar_tags(tags, tags.withColumnRenamed("tag", "known"))
 
 
 @query("d02_value_sets", sql("SELECT key, min(id) AS winner, count(*) AS copies FROM (SELECT id, array_to_string(list_sort(list_distinct(concepts)), '|') AS key FROM live WHERE type = 'artifact') GROUP BY 1 HAVING count(*) > 1", NODES))
@@ -179,9 +188,39 @@ def status_carry(g: GraphStore) -> DataFrame:
 def task_links(g: GraphStore) -> DataFrame:
     """Open tasks and the urgent decisions of the same project in the thirty days before."""
     w = live(g.work())
-    t = w.filter("type = 'task' AND work_status = 'open'").select(F.col("id").alias("task"), "project_id", F.col("created_at").alias("t"))
-    c = w.filter("type = 'decision' AND priority = 'high'").select(F.col("id").alias("rule"), "project_id", F.col("created_at").alias("c"))
-    return t.join(c, "project_id").filter("c < t AND c >= t - INTERVAL 30 DAY").select("task", "rule")
+    day = 86_400_000_000
+    made = micros(F.col("created_at"))
+    t = w.filter("type = 'task' AND work_status = 'open'").select(F.col("id").alias("task"), "project_id", (made - 30 * day).alias("low"), (made - 1).alias("high"))
+    c = w.filter("type = 'decision' AND priority = 'high'").select(F.col("id").alias("rule"), "project_id", made.alias("at"))
+    return in_intervals(c, t, "project_id").select("task", "rule")
+
+
+@query(
+    "j08_turns_in_ranges",
+    """WITH r AS (SELECT conv_id, turn AS first_turn, turn + 4 AS last_turn FROM conversations WHERE turn % 3 = 0 AND role = 'user')
+SELECT r.conv_id, first_turn, last_turn, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, sum(length(text))::BIGINT AS chars, max(turn) AS reached
+FROM r JOIN conversations c ON c.conv_id = r.conv_id AND turn BETWEEN first_turn AND last_turn GROUP BY ALL""",
+)
+def turns_in_ranges(g: GraphStore) -> DataFrame:
+    """Extraction ranges (from every third turn that a user took, five turns long, so they overlap) with the turns they cover."""
+    c = g.table("conversations")
+    ranges = c.filter("turn % 3 = 0 AND role = 'user'").select("conv_id", F.col("turn").alias("first_turn"), (F.col("turn") + 4).alias("last_turn"))
+    met = in_intervals(c.select("conv_id", "turn", "role", F.length("text").alias("n")), ranges, "conv_id", "turn", "first_turn", "last_turn")
+    return met.groupBy("conv_id", "first_turn", "last_turn").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.sum("n").cast("bigint").alias("chars"), F.max("turn").alias("reached"))
+
+
+@query(
+    "j08_ledger_in_windows",
+    """WITH w AS (SELECT event_id AS window_id, user_id, ts - INTERVAL 30 MINUTE AS low, ts + INTERVAL 30 MINUTE AS high FROM events WHERE event_type = 'error')
+SELECT window_id, count(e.event_id) AS entries, round(coalesce(sum(value), 0), 2) AS spent, count(*) FILTER (e.event_type = 'error') AS errors FROM w LEFT JOIN events e ON e.user_id = w.user_id AND ts BETWEEN low AND high GROUP BY 1""",
+)
+def ledger_in_windows(g: GraphStore) -> DataFrame:
+    """What a user's ledger holds half an hour before and after each of their errors."""
+    e = g.table("events").withColumn("at", micros(F.col("ts")))
+    half = 30 * 60 * 1_000_000
+    windows = e.filter("event_type = 'error'").select(F.col("event_id").alias("window_id"), "user_id", (F.col("at") - half).alias("low"), (F.col("at") + half).alias("high"))
+    met = in_intervals(e.select("user_id", "at", "value", "event_type"), windows, "user_id")
+    return met.groupBy("window_id").agg(F.count("*").alias("entries"), F.round(F.sum("value"), 2).alias("spent"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
 @query("g35_prunes", sql("SELECT type, count(*) AS left_over FROM cur WHERE type NOT IN ('affects') GROUP BY 1", EDGES))
