@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.checkpoints import grown, settled
+from .traverse import reached
 
 #: The payload key that carries a type's value, and the keys a type needs.
 PRIMARY = {"fact": ["value"], "decision": ["choice"], "dead_end": ["approach", "dropped", "reason"], "constraint": ["limit", "requirement"], "blueprint": ["purpose"], "insight": ["observation"], "preference": ["lean"], "hypothesis": ["proposal"], "artifact": ["path"]}
@@ -66,19 +66,9 @@ def folds(refs: DataFrame, items: DataFrame) -> DataFrame:
     return leaf.join(once, "id").join(takers, "into").select("id", "into")
 
 
-def rescued(items: DataFrame, refs: DataFrame, kept: DataFrame, levels: int | None = None) -> DataFrame:
-    """Items that stay: those kept, and all that a staying item refers to, to any depth unless levels are given."""
-    hops = settled(refs.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct())
-    frontier = settled(kept.select("id").distinct())
-    parts: list[tuple[int, DataFrame]] = []
-    found, level = grown(parts, frontier), 0
-    while levels is None or level < levels:
-        level += 1
-        frontier = settled(frontier.join(hops, "id").select(F.col("next").alias("id")).distinct().join(found, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = grown(parts, frontier)
-    return items.select("id").join(found, "id", "left_semi")
+def rescued(items: DataFrame, refs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Items that stay: those kept, and all that a staying item refers to, to any depth."""
+    return items.select("id").join(reached(refs, kept), "id", "left_semi")
 
 
 def role_context(refs: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Containment and causal traversal.
 
-Edges point from the effect (source_id) to the cause (target_id). Walks go level by level: a join of the frontier with the
-edges, less what has been visited. Every level is a stored table, so plans stay short at any depth.
+Edges point from the effect (source_id) to the cause (target_id). Walks go round by round: a join of the frontier with the
+edges, in which lines are single hops, less what has been reached as soon. Every round is a stored table, so plans stay short
+at any depth.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.checkpoints import grown, settled
+from ..sources.checkpoints import grown, settled, settled_counted
 
 #: Which edges order a thread, which bridge threads and how strongly, and how conclusive a node type is.
 SPINE = ("prompted_by", "based_on", "extends", "supersedes", "derived_from", "resolves")
@@ -113,21 +114,103 @@ def scope_chains(blocks: DataFrame, containment: DataFrame, containers: DataFram
     return reduce(DataFrame.unionByName, done, found.select("id", "scope"))
 
 
+def runs(hops: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
+    """Nodes with one hop in and one out that lie on a line: id, run (the line's last such node), after (where it leads) and d (hops to there).
+
+    hops: id, next. Pointers along a line double in length twice a round, so rounds grow with the logarithm of its length. A ring
+    of such nodes has no end: its smallest id is taken for one. breaks are nodes that are never on a line. Stored.
+    """
+    one_out = hops.groupBy("id").agg(F.first("next").alias("next"), F.count("*").alias("n")).filter("n = 1 AND id <> next").select("id", "next")
+    one_in = hops.groupBy(F.col("next").alias("id")).agg(F.count("*").alias("n")).filter("n = 1").select("id")
+    inner = one_out.join(one_in, "id")
+    inner, n = settled_counted(inner if breaks is None else inner.join(breaks, "id", "left_anti"))
+    # run: the farthest inner node found so far, next: what follows it
+    found = inner.select("id", F.col("id").alias("run"), F.col("next").alias("after"), F.lit(1).cast("bigint").alias("d"), F.col("id").alias("least"))
+    inside = found.select(F.col("id").alias("after"), F.lit(True).alias("on")).distinct()
+    found, open_ = settled_counted(found.join(inside, "after", "left").select("id", "run", "after", "d", "least", F.coalesce("on", F.lit(False)).alias("on")), "on")
+
+    def doubled(f: DataFrame) -> DataFrame:
+        far = f.select(F.col("id").alias("after"), F.col("run").alias("run2"), F.col("after").alias("after2"), F.col("d").alias("d2"), F.col("least").alias("least2"), F.col("on").alias("on2"))
+        on = lambda there, here: F.when(F.col("on"), F.col(there)).otherwise(here)
+        return f.join(far, "after", "left").select(
+            "id", on("run2", F.col("run")).alias("run"), on("after2", F.col("after")).alias("after"), (F.col("d") + on("d2", F.lit(0))).alias("d"), F.least("least", on("least2", F.lit(None))).alias("least"), (F.col("on") & F.coalesce("on2", F.lit(False))).alias("on")
+        )
+
+    length = 1
+    while open_ and length <= 2 * n:
+        found, open_ = settled_counted(doubled(doubled(found)), "on")
+        length *= 4
+    if open_:
+        rings = found.filter("on").select(F.col("least").alias("id")).distinct()
+        return runs(hops, settled(rings if breaks is None else rings.unionByName(breaks)))
+    return found.select("id", "run", "after", "d")
+
+
 def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int | None = None) -> DataFrame:
     """Nodes reached from starts (start): start, id, depth (the fewest edges), towards causes or effects; starts at 0.
 
-    Goes on until nothing new is reached, unless levels are given; visited nodes end it on cycles.
+    Goes on until nothing new is reached, unless levels are given. Without levels lines of nodes with one cause and one effect
+    are single hops of their length, so rounds don't grow with the length of a line; shorter ways found later replace longer.
     """
     a, b = ("source_id", "target_id") if upwards else ("target_id", "source_id")
     hops = settled(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct())
+    if levels is not None:
+        return stepped(hops, starts, levels)
+    line = runs(hops)
+    on = line.select("id")
+    # where a hop into a line leads, and the line's members as seen from its first node
+    into = hops.join(on, "id", "left_anti").join(line.select(F.col("id").alias("next"), "run", "after", "d"), "next", "left")
+    wide = settled(into.groupBy("id", F.coalesce("after", "next").alias("next"), "run").agg(F.min(F.coalesce("d", F.lit(0)) + 1).alias("length")))
+    begin = starts.select("start").distinct().join(line.select(F.col("id").alias("start"), "run", "after", "d"), "start", "left")
+    begin = settled(begin)
+    frontier = begin.select("start", F.coalesce("after", "start").alias("id"), F.coalesce("d", F.lit(0)).cast("bigint").alias("depth"))
+    frontier, more = settled_counted(frontier)
+    parts: list[tuple[int, DataFrame]] = []
+    seen = grown(parts, frontier)
+    while more:
+        step = frontier.join(wide, "id").groupBy("start", F.col("next").alias("id")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+        known = seen.groupBy("start", "id").agg(F.min("depth").alias("known"))
+        frontier, more = settled_counted(step.join(known, ["start", "id"], "left").filter("known IS NULL OR depth < known").select("start", "id", "depth"))
+        if more:
+            seen = grown(parts, frontier)
+    ends = seen.groupBy("start", "id").agg(F.min("depth").alias("depth"))
+    entered = ends.join(wide.filter("run IS NOT NULL").select("id", "run", "length"), "id").groupBy("start", "run").agg(F.min(F.col("depth") + F.col("length")).alias("to_end"))
+    own = begin.filter("run IS NOT NULL").select("start", "run", F.col("d").alias("to_end"))
+    # from the end of a line back to each member that is passed
+    passed = entered.unionByName(own).join(line.select("id", "run", "d"), "run").filter("d <= to_end").select("start", "id", (F.col("to_end") - F.col("d")).alias("depth"))
+    every = ends.unionByName(passed).unionByName(starts.select("start", F.col("start").alias("id"), F.lit(0).cast("bigint").alias("depth")))
+    return every.groupBy("start", "id").agg(F.min("depth").cast("bigint").alias("depth"))
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """ids of starts (id) and of all that they lead to over edges from source to target; lines are single hops, as in walk()."""
+    hops = settled(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct())
+    line = runs(hops)
+    into = hops.join(line.select("id"), "id", "left_anti").join(line.select(F.col("id").alias("next"), "run", "after"), "next", "left")
+    wide = settled(into.select("id", F.coalesce("after", "next").alias("next"), "run").distinct())
+    begin = settled(starts.select("id").distinct().join(line, "id", "left"))
+    frontier, more = settled_counted(begin.select(F.coalesce("after", "id").alias("id")).distinct())
+    parts: list[tuple[int, DataFrame]] = []
+    seen = grown(parts, frontier)
+    while more:
+        frontier, more = settled_counted(frontier.join(wide, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if more:
+            seen = grown(parts, frontier)
+    whole = wide.filter("run IS NOT NULL").join(seen, "id", "left_semi").select("run").distinct()
+    own = begin.filter("run IS NOT NULL").groupBy("run").agg(F.max("d").alias("from"))
+    passed = line.join(whole, "run", "left_semi").select("id").unionByName(line.join(own, "run").filter("d <= from").select("id"))
+    return seen.unionByName(passed).unionByName(begin.select("id")).distinct()
+
+
+def stepped(hops: DataFrame, starts: DataFrame, levels: int) -> DataFrame:
+    """walk() edge by edge for so many levels."""
     frontier = settled(starts.select("start", F.col("start").alias("id"), F.lit(0).cast("bigint").alias("depth")))
     parts: list[tuple[int, DataFrame]] = []
-    seen, depth = grown(parts, frontier), 0
-    while levels is None or depth < levels:
-        depth += 1
+    seen = grown(parts, frontier)
+    for depth in range(1, levels + 1):
         step = frontier.join(hops, "id").select("start", F.col("next").alias("id")).distinct()
-        frontier = settled(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
-        if frontier.isEmpty():
+        frontier, more = settled_counted(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
+        if not more:
             break
         seen = grown(parts, frontier)
     return seen
@@ -157,24 +240,23 @@ def thread(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every end of an edge, in any direction.
 
-    Each round, every node points at its smallest neighbour if that is smaller, pointers are followed to their ends, and
-    nodes are replaced by those; at least half of the nodes that have an edge left go with each round.
+    Each round, every node points at its smallest neighbour if that is smaller, pointers are followed to their ends two steps
+    at once, and nodes are replaced by those; at least half of the nodes that have an edge left go with each round.
     """
-    e = settled(edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).filter("u <> v").distinct())
+    e, left = settled_counted(edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).filter("u <> v").distinct())
     found = None
-    while not e.isEmpty():
+    while left:
         ends = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        points = settled(ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
-        moved = True
+        points, moved = settled(ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p"))), 1
         while moved:
-            far = points.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            step = settled(points.join(far, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-            moved = not step.filter("moved").isEmpty()
-            points = step.select("u", "p")
+            to = points.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            far = to.join(to.select(F.col("p").alias("q"), F.col("q").alias("r")), "q").select("p", "r")
+            points, moved = settled_counted(points.join(far, "p").select("u", F.col("r").alias("p"), (F.col("p") != F.col("r")).alias("moved")), "moved")
+            points = points.select("u", "p")
         here = points.select(F.col("u").alias("component"), "p")
         found = settled(points.select(F.col("u").alias("id"), F.col("p").alias("component")) if found is None else found.join(here, "component", "left").select("id", F.coalesce("p", "component").alias("component")))
         a, b = points.select("u", F.col("p").alias("pu")), points.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        e = settled(e.join(a, "u").join(b, "v").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).filter("u <> v").distinct())
+        e, left = settled_counted(e.join(a, "u").join(b, "v").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).filter("u <> v").distinct())
     return found if found is not None else e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 

@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset and the master local (tests), under the temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(base or f'file://{tempfile.gettempdir()}/threadloom-checkpoints').rstrip('/')}/threadloom-{uuid.uuid4().hex}"
 
@@ -24,6 +25,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled_counted(df: DataFrame, flag: str | None = None) -> tuple[DataFrame, int]:
+    """settled(), and how many rows were written, or of how many flag is true, counted while they are written.
+
+    A task that runs again after a loss may be counted twice, so only whether the number is 0 is told from it.
+    """
+    seen = Observation()
+    n = F.count(F.lit(1)) if flag is None else F.count_if(F.col(flag))
+    return settled(df.observe(seen, n.alias("n"))), seen.get["n"]
+
+
 def grown(parts: list[tuple[int, DataFrame]], more: DataFrame) -> DataFrame:
     """The union of parts and more, which joins them; eight parts of a rank become one stored part of the next.
 
