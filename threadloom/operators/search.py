@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.scoring import recency
 from ..functions.text import jaccard, primary, stem
 from ..sources.checkpoints import settled
+from ..sources.shipping import shipped
 from .cells import matrix
 
 #: Words of a query that find nothing by themselves.
@@ -83,6 +84,7 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int | None =
                         q, j = q[keep], j[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(others[j]), pa.array(cos[q, j])], names=["query_id", "id", "similarity"])
 
+    shipped(vectors.sparkSession)
     # stored, since the other side would else build the vectors' blocks again in each of its partitions
     asked, there = _blocks(queries, key, vector, BLOCK).withColumnRenamed("rows", "asked"), settled(_blocks(vectors, key, vector, BLOCK))
     found = asked.crossJoin(there).mapInArrow(meet, "query_id bigint, id bigint, similarity double")
