@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import cells
 from ..operators import nearby as N
+from ..operators import smart as M
 from ..operators import traverse as T
-from ..sources.graph import GraphStore, current, live, pick
+from ..sources.graph import GraphStore, at, current, live, pick
+from ..operators.search import STOP
 from .prelude import EDGES, NODES, sql
+from .search import STEM_SQL
 from .traverse import PAIRS
 
 QUERIES: dict = {}
@@ -148,3 +151,55 @@ def conflict_candidates(g: GraphStore) -> DataFrame:
     every = items(g)
     old = every.filter(F.col("kind").isin(*N.REPLACEABLE) & (F.col("vec_id") % 3 != 0))
     return N.conflicts(every.filter("vec_id % 50 = 0 AND kind = 'dead_end'"), old, cells.indexed(old), list(DULL))
+
+
+_STEM = lambda c: f"list_transform([{c}], lambda w: {STEM_SQL})[1]"
+_STOPS = ", ".join(f"'{w}'" for w in sorted(STOP))
+
+
+@query(
+    "c13_recall_smart",
+    sql(
+        "SELECT query_id, id, ticks, semantic, score, why, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticks DESC, id) AS place FROM scored) WHERE place <= 20",
+        NODES,
+        ctes=f"""
+asks AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 100 = 0 THEN 'why was the ' ELSE 'find ' END || p_name || ' for ' || lower(p_type) || CASE WHEN vec_id % 150 = 0 THEN ', urgent' ELSE '' END AS text, vec_id % 97 AS agent, embedding::DOUBLE[] AS e FROM embeddings JOIN part ON p_partkey = vec_id WHERE vec_id % 50 = 0),
+words AS (SELECT *, {_STEM('word')} AS stem FROM (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\- ]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND w NOT IN ({_STOPS}))) AS word FROM asks)),
+pool AS (SELECT * FROM live WHERE type <> 'project'),
+payload AS (SELECT 'p' || p_partkey AS id, unnest(['brand', 'kind', 'size_class']) AS k, unnest([p_brand, p_type, 'size ' || p_size]) AS v FROM part
+  UNION ALL SELECT id, unnest(['work_status', 'rank']), unnest([work_status, priority]) FROM pool WHERE id LIKE 'o%'),
+fac AS (SELECT DISTINCT id, facet, name, t FROM (
+  SELECT id, 'label' AS facet, (i - 2)::VARCHAR AS name, replace(string_split(lower(label), '_')[i], '-', ' ') AS t FROM (SELECT id, label, unnest(generate_series(2, len(string_split(label, '_')))) AS i FROM pool)
+  UNION ALL SELECT id, 'essence', '', lower(essence) FROM pool
+  UNION ALL SELECT p.id, 'field', k, replace(lower(k), '_', ' ') FROM payload p JOIN pool USING (id)
+  UNION ALL SELECT p.id, 'value', k, lower(v) FROM payload p JOIN pool USING (id)
+  UNION ALL SELECT id, 'concept', c, regexp_replace(lower(c), '[-_]', ' ', 'g') FROM (SELECT id, unnest(concepts) AS c FROM pool))),
+texts AS (SELECT t, {_STEM("regexp_replace(t, '[-_]', '', 'g')")} AS bare FROM (SELECT DISTINCT t FROM fac)),
+meets AS (SELECT s.stem, t FROM (SELECT DISTINCT stem FROM words) s JOIN texts ON contains(t, s.stem) OR contains(bare, s.stem)),
+hit0 AS (SELECT query_id, id, facet, name, word, words.stem FROM words JOIN meets USING (stem) JOIN fac USING (t)),
+hits AS (SELECT * FROM hit0 h WHERE facet <> 'value' OR NOT EXISTS (SELECT 1 FROM hit0 x WHERE x.facet = 'field' AND x.stem = h.stem AND x.id = h.id AND x.name = h.name)),
+ticked AS (SELECT query_id, id, count(*) AS n, sum(CASE facet WHEN 'label' THEN 2.0 WHEN 'essence' THEN 1.5 WHEN 'field' THEN 2.5 WHEN 'value' THEN 1.0 ELSE 0.5 END::DOUBLE) AS w,
+  concat_ws(' | ', {", ".join(f"CASE WHEN count(*) FILTER (facet = '{f}') > 0 THEN '{f}[' || string_agg(DISTINCT word, ', ' ORDER BY word) FILTER (facet = '{f}') || ']' END" for f in ("label", "essence", "field", "value", "concept"))}) AS why FROM hits GROUP BY 1, 2),
+vec AS (SELECT 'p' || vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT a.query_id, v.id, {_DOT.format('a', 'v')} AS s FROM asks a, vec v),
+touched AS (SELECT a.query_id, ev.ts, project_id, row_number() OVER (PARTITION BY a.query_id ORDER BY ev.ts DESC, project_id) AS r FROM asks a JOIN events ev ON ev.user_id = a.agent AND ev.ts > TIMESTAMP '2024-01-10' - INTERVAL 30 MINUTE AND ev.ts <= TIMESTAMP '2024-01-10' JOIN nodes n ON n.id = 'o' || ev.event_id WHERE project_id IS NOT NULL),
+active AS (SELECT query_id, project_id AS project FROM (SELECT query_id, project_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, max(ts) DESC, project_id) AS r FROM touched WHERE r <= 15 GROUP BY 1, 2) WHERE r = 1),
+every AS (SELECT coalesce(t.query_id, m.query_id) AS query_id, coalesce(t.id, m.id) AS id, coalesce(n, 0) AS n, coalesce(w, 0) AS w, why FROM ticked t FULL JOIN (SELECT * FROM near WHERE s >= 0.5 AND id IN (SELECT id FROM pool)) m ON t.query_id = m.query_id AND t.id = m.id),
+full_ AS (SELECT x.*, coalesce(near.s, 0) AS s, p.type, p.quality, project, coalesce(project = p.project_id AND n > 0, false) AS ctx, text FROM every x JOIN pool p ON p.id = x.id JOIN asks USING (query_id) LEFT JOIN near ON near.query_id = x.query_id AND near.id = x.id LEFT JOIN active ON active.query_id = x.query_id),
+scored AS (SELECT query_id, id, n + ctx::INT AS ticks, round(s, 5) AS semantic,
+  round((least((w + CASE WHEN ctx THEN 1.5 ELSE 0 END::DOUBLE) / 20, 1.0::DOUBLE) * 0.6::DOUBLE + s * 0.4::DOUBLE) * (0.75::DOUBLE + quality::DOUBLE / 6 * 0.25::DOUBLE) * CASE WHEN type = 'dead_end' AND (contains(text, 'why') OR contains(text, 'not')) THEN 1.5 ELSE 1.0 END::DOUBLE, 6) AS score,
+  CASE WHEN n > 0 THEN concat_ws(' | ', why, CASE WHEN ctx THEN 'context[' || project || ']' END) ELSE 'semantic[' || round(s * 100)::INT || '%]' END AS why FROM full_)""",
+    ),
+)
+def recall_smart(g: GraphStore) -> DataFrame:
+    """The twenty best nodes for a question about every part whose vector's id is divisible by 50, asked by an agent at a set time."""
+    v = g.table("embeddings").filter("vec_id % 50 = 0").join(g.table("part"), F.col("p_partkey") == F.col("vec_id"))
+    text = F.concat(F.when(F.col("vec_id") % 100 == 0, "why was the ").otherwise("find "), "p_name", F.lit(" for "), F.lower("p_type"), F.when(F.col("vec_id") % 150 == 0, ", urgent").otherwise(""))
+    asks = v.select(F.col("vec_id").alias("query_id"), text.alias("text"), (F.col("vec_id") % 97).alias("agent"), at("2024-01-10 00:00:00").alias("asked_at"), "vec_id", "embedding")
+    pair = lambda k, c: F.struct(F.lit(k).alias("key"), c.cast("string").alias("value"))
+    parts = g.table("part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.map_from_entries(F.array(pair("brand", F.col("p_brand")), pair("kind", F.col("p_type")), pair("size_class", F.concat(F.lit("size "), "p_size")))).alias("payload"))
+    work = g.work()
+    states = work.select("id", F.map_from_entries(F.array(pair("work_status", F.col("work_status")), pair("rank", F.col("priority")))).alias("payload"))
+    nodes = live(g.artifacts()).join(parts, "id").unionByName(live(work).join(states, "id")).unionByName(live(g.entities()).withColumn("payload", F.lit(None).cast("map<string,string>")))
+    touched = g.table("events").select(F.col("user_id").alias("agent"), F.col("ts").alias("at"), F.concat(F.lit("o"), "event_id").alias("id")).join(work.select("id", F.col("project_id").alias("project")), "id").drop("id")
+    return M.recall_smart(nodes, asks, touched, with_vectors(g), cells.indexed(g.table("embeddings")), 20)
