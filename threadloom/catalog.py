@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import duplicates, maintenance, nearby, reads, rules, seams, search, threads, traverse
+from .plans import duplicates, maintenance, nearby, reads, rules, seams, search, stores, threads, traverse
 
-MODULES = (reads, search, traverse, threads, maintenance, seams, rules, duplicates, nearby)
+MODULES = (reads, search, traverse, threads, maintenance, seams, rules, duplicates, nearby, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

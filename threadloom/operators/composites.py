@@ -12,8 +12,12 @@ from pyspark.sql.window import Window
 from .reads import quality
 from .writes import archived, created, linked, updated
 
-#: Words that no tag is made of when a conclusion's own words have to serve.
-NO_TAGS = ("the", "is", "a", "an", "to", "of", "in", "for", "on", "with", "and", "or", "but", "it", "this", "that", "how", "what", "why", "can", "do", "be", "are", "was", "were", "will", "via")
+#: Words of five letters or more that say nothing of what a conclusion is about, so that no tag is made of them.
+NO_TAGS = tuple(
+    "about above after again against although always among another because before being below between could during either every further having however instead itself might neither never often other "
+    "ought quite rather shall should since something still their theirs themselves there therefore these thing things those though through toward towards under unless until using usually where whether "
+    "which while whose within without would yours".split()
+)
 
 
 def requalified(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
