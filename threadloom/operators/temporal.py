@@ -92,3 +92,30 @@ def cost(tokens: Column, rate: Column) -> Column:
 def poisoned_total(ran: Column, usd: Column) -> Column:
     """Sum over passes that ran; null if one of them has no cost."""
     return F.when(F.bool_or(ran & usd.isNull()), F.lit(None)).otherwise(F.round(F.sum(F.when(ran, usd)), 6))
+
+
+def superseding_ranges(turns: DataFrame, every: int = 5, key: str = "conv_id") -> DataFrame:
+    """Extraction ranges of conversations, and those that late turns put in their place: key, range_no, version, first, last, turns, supersedes.
+
+    turns: key, turn and late. Turns in time make a range of every so many, the rest of a conversation its last. A late turn gives
+    its range, the last that begins at or before it (the first, if none does), another version, which holds it too and
+    names the version that it supersedes. Late turns of a conversation that has no others count as in time. Turns that are null
+    are in no range; a turn that comes twice counts twice.
+    """
+    known = turns.filter(F.col("turn").isNotNull() & F.col(key).isNotNull()).select(key, "turn", F.coalesce("late", F.lit(False)).alias("late"))
+    late = F.col("late") & ~F.min("late").over(Window.partitionBy(key))
+    known = known.withColumn("late", late)
+    number = F.floor((F.row_number().over(Window.partitionBy(key).orderBy("turn")) - 1) / every).cast("bigint")
+    base = known.filter("NOT late").withColumn("range_no", number).groupBy(key, "range_no").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count("*").alias("turns"))
+    # the range that holds a late turn, as of its number: both are one sorted stream
+    begins = base.select(key, F.col("first").alias("turn"), F.lit(0).alias("side"), F.col("range_no").alias("begun"), F.lit(None).cast("bigint").alias("n"))
+    numbered = known.filter("late").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("turn")).cast("bigint"))
+    asked = numbered.select(key, "turn", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("begun"), "n")
+    up_to = Window.partitionBy(key).orderBy("turn", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = begins.unionByName(asked).withColumn("range_no", F.coalesce(F.last("begun", ignorenulls=True).over(up_to), F.lit(0))).filter("side = 1")
+    so_far = Window.partitionBy(key, "range_no").orderBy("turn", "n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.select(key, "range_no", F.row_number().over(Window.partitionBy(key, "range_no").orderBy("turn", "n")).cast("bigint").alias("version"), F.min("turn").over(so_far).alias("lo"), F.max("turn").over(so_far).alias("hi"))
+    more = placed.join(base, [key, "range_no"]).select(key, "range_no", "version", F.least("first", "lo").alias("first"), F.greatest("last", "hi").alias("last"), (F.col("turns") + F.col("version")).alias("turns"))
+    ranges = base.select(key, "range_no", F.lit(0).cast("bigint").alias("version"), "first", "last", "turns").unionByName(more)
+    before = F.concat_ws(":", F.col(key), "range_no", (F.col("version") - 1).cast("string"))
+    return ranges.withColumn("supersedes", F.when(F.col("version") > 0, before))

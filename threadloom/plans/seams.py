@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import jaccard, scope_segment, terms
 from ..operators import cells
 from ..operators import reads as R
+from ..operators import temporal
 from ..operators.grams import similar_tags
 from ..operators.intervals import in_intervals, micros
 from ..sources.graph import GraphStore, at, current, live, normal_text
@@ -240,3 +241,17 @@ def canvas(g: GraphStore) -> DataFrame:
     steps = g.table("orders").select(F.col("o_orderpriority").alias("step")).distinct()
     made = live(g.work()).filter((F.col("type") == "decision") & (F.col("created_at") > at("2001-06-01 00:00:00"))).select(F.col("essence").alias("step"), "id")
     return steps.join(made, "step", "left")
+
+
+@query(
+    "h08_superseding_ranges",
+    """WITH t AS (SELECT conv_id, turn, turn % 5 = 3 AND NOT min(turn % 5 = 3) OVER (PARTITION BY conv_id) AS late FROM conversations),
+base AS (SELECT conv_id, no AS range_no, min(turn) AS first, max(turn) AS last, count(*) AS turns FROM (SELECT *, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 5)::BIGINT AS no FROM t WHERE NOT late) GROUP BY 1, 2),
+l AS (SELECT t.conv_id, t.turn, coalesce((SELECT max(range_no) FROM base b WHERE b.conv_id = t.conv_id AND b.first <= t.turn), 0) AS range_no FROM t WHERE late),
+v AS (SELECT *, row_number() OVER w AS version, min(turn) OVER w AS lo, max(turn) OVER w AS hi FROM l WINDOW w AS (PARTITION BY conv_id, range_no ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, range_no, 0::BIGINT AS version, first, last, turns, NULL AS supersedes FROM base
+UNION ALL SELECT conv_id, range_no, version, least(first, lo), greatest(last, hi), turns + version, conv_id || ':' || range_no || ':' || (version - 1) FROM v JOIN base USING (conv_id, range_no)""",
+)
+def superseding_ranges(g: GraphStore) -> DataFrame:
+    """Ranges of five turns, every fifth turn being late."""
+    return temporal.superseding_ranges(g.table("conversations").withColumn("late", F.col("turn") % 5 == 3))
