@@ -126,18 +126,24 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def own_type(df: DataFrame, vector: str) -> str:
+    """The numpy type that holds the vectors' entries exactly."""
+    return "<f4" if df.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def keyed(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """id, grp, k1, k2 and v (doubles as bytes) of every row; what links with nothing has no grp.
+    """id, grp, k1, k2 and v (entries of own_type as bytes) of every row; what links with nothing has no grp.
 
     grp is the label and the length; k1 and k2 are a 128-bit hash of the vector.
     """
+    kind = own_type(df, vector)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, grp, bodies = [], [], []
             for x, of in zip(doubles(batch.column(2)), batch.column(1).to_pylist(), strict=True):
                 good = x is not None and of is not None
-                bodies.append(x.tobytes() if good else None)
+                bodies.append(x.astype(kind).tobytes() if good else None)
                 grp.append(f"{len(x)}:{of}" if good else None)
                 keys.append(np.frombuffer(xxhash.xxh3_128_digest(bodies[-1]), "<i8") if good else (None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grp, pa.string()), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), pa.array(bodies, pa.binary())], names=["id", "grp", "k1", "k2", "v"])
@@ -146,7 +152,7 @@ def keyed(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return rows.mapInArrow(read, "id bigint, grp string, k1 bigint, k2 bigint, v binary")
 
 
-def nodes_of(rows: DataFrame, tables: int, polytopes: int, probes: int) -> DataFrame:
+def nodes_of(rows: DataFrame, kind: str, tables: int, polytopes: int, probes: int) -> DataFrame:
     """Distinct vectors of a label: node (its number), rep (smallest id), copies, grp, keys, v, sketch and buckets. Stored."""
     kinds = rows.filter("grp IS NOT NULL AND id IS NOT NULL").groupBy("grp", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
 
@@ -158,7 +164,7 @@ def nodes_of(rows: DataFrame, tables: int, polytopes: int, probes: int) -> DataF
             signs = np.zeros((len(v), 2), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
-                x = units(np.frombuffer(b"".join(v[k] for k in at), np.float64).reshape(len(at), -1))
+                x = units(np.frombuffer(b"".join(v[k] for k in at), kind).astype(np.float64).reshape(len(at), -1))
                 buckets[at] = codes(x, tables, polytopes, probes).reshape(len(at), -1)
                 signs[at] = sketches(x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * buckets.shape[1], pa.int32()), pa.array(buckets.ravel()))
@@ -195,18 +201,27 @@ def sketch_links(shared: DataFrame, comps: DataFrame | None, limit: int) -> Data
                 first, x = fields(batch, at, ["id", "component", "s1", "s2"])
                 of, one, two = (x[c].to_numpy().astype(np.int64) for c in ("component", "s1", "s2"))
 
-                def near(first=first, of=of, one=one, two=two) -> Iterator[tuple[int, np.ndarray]]:
-                    for k in range(first or len(of)):
-                        other = np.arange(max(first, k + 1), len(of))
-                        other = other[of[other] != of[k]]
-                        apart = np.bitwise_count(one[other].view(np.uint64) ^ one[k : k + 1].view(np.uint64)).astype(int) + np.bitwise_count(two[other].view(np.uint64) ^ two[k : k + 1].view(np.uint64))
-                        yield k, other[apart <= limit]
-
-                yield edges_batch(x["id"].to_numpy(), forest(len(of), near()))
+                found = list(near_rows(first, of, one.view(np.uint64), two.view(np.uint64), limit))
+                if found:
+                    yield edges_batch(x["id"].to_numpy(), forest(len(of), iter(found)))
 
     return block_pairs(rows, ["bucket"], ["id", "component", "s1", "s2"], SKETCH_BLOCK).mapInArrow(meet, "id bigint, leader bigint").distinct()
 
 
+def near_rows(first: int, of: np.ndarray, one: np.ndarray, two: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a block that have sketches near theirs among the later rows (of the other block, if first isn't 0) of other components."""
+    ends = first or len(of)
+    for at in range(0, ends, 128):
+        k = np.arange(at, min(at + 128, ends))
+        apart = np.bitwise_count(one[k, None] ^ one[None, first:]).astype(np.int16) + np.bitwise_count(two[k, None] ^ two[None, first:])
+        rows, others = np.nonzero((apart <= limit) & (of[k, None] != of[None, first:]))
+        rows, others = rows + at, others + first
+        later = others > rows
+        rows, others = rows[later], others[later]
+        for r in np.unique(rows):
+            yield int(r), others[rows == r]
+
+
 def block_pairs(rows: DataFrame, group: list[str], payload: list[str], size: int) -> DataFrame:
     """Every two blocks of a group that hold more than one component between them, in one row: rows, right (null: itself)."""
     blocks = with_blocks(rows, group, size).repartition(*group, "block")
@@ -217,7 +232,7 @@ def block_pairs(rows: DataFrame, group: list[str], payload: list[str], size: int
     return met.select("rows", F.when(F.col("block") != F.col("other"), F.col("right")).alias("right"))
 
 
-def vector_blocks(members: DataFrame) -> DataFrame:
+def vector_blocks(members: DataFrame, kind: str) -> DataFrame:
     """Members (family, grp, id, copies, v) in blocks with their centre, radius (the widest angle to it), weight and lead. Stored."""
 
     @F.arrow_udf("struct<centre:array<double>,radius:double>")
@@ -225,7 +240,7 @@ def vector_blocks(members: DataFrame) -> DataFrame:
         for batch in batches:
             centres, radii = [], []
             for row in batch:
-                x = units(np.frombuffer(b"".join(row.values.to_pylist()), np.float64).reshape(len(row.values), -1))
+                x = units(np.frombuffer(b"".join(row.values.to_pylist()), kind).astype(np.float64).reshape(len(row.values), -1))
                 c = x.mean(0)
                 size = math.sqrt(float(c @ c))
                 c = c / size if size > 1e-9 else x[0]
@@ -251,16 +266,16 @@ def judged(blocks: DataFrame, least: float) -> DataFrame:
     return met.select("family", "grp", "block_a", "block_b", "weight_a", "weight_b", "lead_a", "lead_b", verdict.alias("verdict"))
 
 
-def linked(members: DataFrame, least: float) -> DataFrame:
+def linked(members: DataFrame, kind: str, least: float) -> DataFrame:
     """Rows (id, links, leader): vectors linked to a node beside its copies, and links that connect what is linked. Stored."""
-    blocks = vector_blocks(members)
+    blocks = vector_blocks(members, kind)
     pairs = stored(judged(blocks, least), "judged")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
                 first, x = fields(batch, at, ["id", "copies", "v"])
-                v = units(np.frombuffer(b"".join(x["v"].to_pylist()), np.float64).reshape(len(x["id"]), -1))
+                v = units(np.frombuffer(b"".join(x["v"].to_pylist()), kind).astype(np.float64).reshape(len(x["id"]), -1))
                 ids, copies = x["id"].to_numpy(), x["copies"].to_numpy()
                 on = (v[: first or len(v)] @ v[first:].T) >= least
                 if not first:
@@ -304,16 +319,17 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     """
     ship_package(df.sparkSession)
     rows = keyed(df, key, vector, label)
-    nodes = nodes_of(rows, tables, polytopes, probes)
+    kind = own_type(df, vector)
+    nodes = nodes_of(rows, kind, tables, polytopes, probes)
     limit = sketch_limit(least)
-    shared = stored(bucketed(nodes, probes), "buckets")
+    shared = stored(bucketed(nodes, probes), "buckets", compression="zstd")
     edges = stored(sketch_links(shared, None, limit), "near")
     comps = components(edges)
     rest, n = stored_counted(sketch_links(shared, comps, limit), name="rest")
     if n:
         comps = components(edges.unionByName(rest))
     members = comps.withColumnRenamed("component", "family").join(nodes.select(F.col("node").alias("id"), "grp", "copies", "v"), "id")
-    links = linked(members, least)
+    links = linked(members, kind, least)
     reached = components(links.filter("leader IS NOT NULL").select("id", "leader"))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     of = nodes.select(F.col("node").alias("id"), "grp", "k1", "k2", "rep", "copies").join(reached, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
