@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import settled
 from .reads import top_in_group
 
 #: Characters of a gram; shorter needles are looked up by grams of their own length.
@@ -29,7 +30,8 @@ def contained(needles: DataFrame, strings: DataFrame, needle: str = "needle", st
     keys = wanted.withColumn("gram", F.explode(grams(F.col("needle"), F.col("size"))))
     sizes = F.array(*(F.lit(k) for k in range(1, GRAM + 1)))
     posted = there.withColumn("size", F.explode(sizes)).withColumn("gram", F.explode(grams(F.col("string"), F.col("size"))))
-    posted = posted.join(keys.select("gram").distinct(), "gram", "left_semi").select("gram", "string")
+    # counted and looked up: grams are taken apart once
+    posted = settled(posted.join(keys.select("gram").distinct(), "gram", "left_semi").select("gram", "string"))
     counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no string has rules its needle out
     rarest = keys.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
