@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .intervals import in_intervals
+
 from ..sources.graph import current, live
 
 #: Relation types and the name of each from the other end.
@@ -96,3 +98,33 @@ def staleness(updated: Column, accesses: Column, now: Column) -> Column:
 def top_in_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group, with their place."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")).filter(F.col("place") <= n)
+
+
+def signpost(essence: Column) -> Column:
+    """What a neighbour claims, in 140 characters at most."""
+    return F.when(F.length(essence) > 140, F.concat(F.substring(essence, 1, 137), F.lit("…"))).otherwise(essence)
+
+
+def block_edges(blocks: DataFrame, nodes: DataFrame, edges: DataFrame, currency: DataFrame) -> DataFrame:
+    """The edges of blocks (id) on both sides: id, side, type, other, other_label, gist, meaning and by_label.
+
+    gist is what the neighbour claims; meaning and by_label say what has replaced the neighbour, if anything has (currency: id,
+    by_label, meaning). An edge of a block to itself comes on both sides; neighbours that don't exist are left out.
+    """
+    ends = edges.select("source_id", "target_id", "type").distinct()
+    out = ends.select(F.col("source_id").alias("id"), F.lit("out").alias("side"), "type", F.col("target_id").alias("other"))
+    into = ends.select(F.col("target_id").alias("id"), F.lit("in").alias("side"), "type", F.col("source_id").alias("other"))
+    near = out.unionByName(into).join(blocks.select("id"), "id", "left_semi")
+    named = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), signpost(F.col("essence")).alias("gist"))
+    marked = currency.select(F.col("id").alias("other"), "meaning", "by_label")
+    return near.join(named, "other").join(marked, "other", "left").select("id", "side", "type", "other", "other_label", "gist", "meaning", "by_label")
+
+
+def receipts(extractions: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """Which turn ranges a block was extracted from: id, receipts (how many), first_turn and last_turn of the latest.
+
+    extractions: id, key, turn; ranges: key, first_turn, last_turn. The latest range is the one that begins last, then ends last.
+    """
+    met = in_intervals(extractions, ranges, key, "turn", "first_turn", "last_turn")
+    last = F.max(F.struct("first_turn", "last_turn"))
+    return met.groupBy("id").agg(F.count("*").alias("receipts"), last["first_turn"].alias("first_turn"), last["last_turn"].alias("last_turn"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import jaccard, scope_segment, terms
 from ..operators import cells
 from ..operators import reads as R
+from ..operators import search as S
 from ..operators import temporal
 from ..operators.grams import similar_tags
 from ..operators.intervals import in_intervals, micros
@@ -255,3 +256,45 @@ UNION ALL SELECT conv_id, range_no, version, least(first, lo), greatest(last, hi
 def superseding_ranges(g: GraphStore) -> DataFrame:
     """Ranges of five turns, every fifth turn being late."""
     return temporal.superseding_ranges(g.table("conversations").withColumn("late", F.col("turn") % 5 == 3))
+
+
+_BASES = "ties AS (SELECT source_id, target_id, 'supersedes' AS type FROM revisions UNION SELECT 'd' || doc_id, 'd' || (doc_id - 3), 'based_on' FROM documents WHERE doc_id % 4 = 0)"
+_NEWER = "newer AS (SELECT r.target_id AS id, CASE n.type WHEN 'dead_end' THEN 'resolved_by' ELSE 'superseded_by' END AS meaning, max_by(s.label, (s.created_at, s.label)) AS by_label FROM revisions r JOIN notes n ON n.id = r.target_id JOIN notes s ON s.id = r.source_id GROUP BY 1, 2)"
+
+
+@query(
+    "b05_block_edges",
+    sql(
+        "SELECT e.id, side, e.type, other, n.label AS other_label, CASE WHEN length(n.essence) > 140 THEN left(n.essence, 137) || '…' ELSE n.essence END AS gist, meaning, by_label FROM (SELECT source_id AS id, 'out' AS side, type, target_id AS other FROM ties UNION ALL SELECT target_id, 'in', type, source_id FROM ties) e JOIN notes b ON b.id = e.id JOIN notes n ON n.id = e.other LEFT JOIN newer ON newer.id = e.other",
+        NOTES,
+        ctes=f"{_BASES},\n{_NEWER}",
+    ),
+)
+def block_edges(g: GraphStore) -> DataFrame:
+    """All notes with what they are based on and replace, what that claims, and whether it still holds."""
+    notes = g.notes()
+    bases = g.table("documents").filter("doc_id % 4 = 0").select(F.concat(F.lit("d"), "doc_id").alias("source_id"), F.concat(F.lit("d"), F.col("doc_id") - 3).alias("target_id"), F.lit("based_on").alias("type"))
+    ties = g.revisions().select("source_id", "target_id", "type").unionByName(bases)
+    return R.block_edges(notes.select("id"), notes, ties, S.superseded(notes.drop("essence"), g.revisions()))
+
+
+@query(
+    "b05_block_view",
+    sql(
+        "SELECT n.id, n.label, n.type, lang, source, n_chars::VARCHAR AS chars, meaning, by_label, coalesce(receipts, 0) AS receipts, first_turn, last_turn FROM notes n JOIN documents d USING (doc_id) LEFT JOIN newer USING (id) LEFT JOIN took USING (id)",
+        NOTES,
+        ctes=f"""{_NEWER},
+spans AS (SELECT conv_id, turn AS first_turn, turn + 4 AS last_turn FROM conversations WHERE turn % 3 = 0 AND role = 'user'),
+took AS (SELECT id, count(*) AS receipts, arg_max(first_turn, (first_turn, last_turn)) AS first_turn, arg_max(last_turn, (first_turn, last_turn)) AS last_turn FROM notes JOIN spans ON conv_id = doc_id % 50 AND doc_id % 6 BETWEEN first_turn AND last_turn GROUP BY 1)""",
+    ),
+)
+def block_view(g: GraphStore) -> DataFrame:
+    """All notes with their payload, what has replaced them, and the turn ranges they were extracted from."""
+    notes = g.notes()
+    d = g.table("documents")
+    payload = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("chars"), F.col("n_chars").cast("string")).alias("payload"))
+    c = g.table("conversations")
+    ranges = c.filter("turn % 3 = 0 AND role = 'user'").select("conv_id", F.col("turn").alias("first_turn"), (F.col("turn") + 4).alias("last_turn"))
+    took = R.receipts(d.select(F.concat(F.lit("d"), "doc_id").alias("id"), (F.col("doc_id") % 50).alias("conv_id"), (F.col("doc_id") % 6).alias("turn")), ranges, "conv_id")
+    view = notes.select("id", "label", "type").join(payload, "id").join(S.superseded(notes.drop("essence"), g.revisions()), "id", "left").join(took, "id", "left")
+    return view.select("id", "label", "type", *(F.col("payload")[k].alias(k) for k in ("lang", "source", "chars")), "meaning", "by_label", F.coalesce("receipts", F.lit(0)).alias("receipts"), "first_turn", "last_turn")
