@@ -168,15 +168,15 @@ def test_provenance(spark):
 
 def test_every_passage_is_looked_for_in_every_text(spark, tmp_path):
     long = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango"
-    passages = {0: long, 41: "The  quick brown Fox jumps", 77: "pure luck", 150: "cut words here now", 199: "", 300: None}
+    passages = {0: long, 41: "The  quick brown Fox jumps", 77: "pure luck", 150: "cut words here now", 199: "", 300: None, 301: "é!", 302: "ut wor", 303: "pure-luck"}
     texts = {
-        1: f"so {long} and the quick\nbrown fox jumps.", 41: "UNCUT words here nowadays", 2: " ".join(reversed(long.split()[:17])), 3: " ".join(long.split()[3:19]), 77: "a pure luck", 40: None, 5: "",
+        1: f"so {long} and the quick\nbrown fox jumps.", 41: "UNCUT words here nowadays", 2: " ".join(reversed(long.split()[:17])), 3: " ".join(long.split()[3:19]), 77: "a pure luck", 40: None, 5: "", 6: "olé! x",
     }
     spark.createDataFrame(list(passages.items()), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.queries()["g18_held_passages"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, -1 if r.item_id is None else r.item_id, r.state) for r in got) == [
-        (1, 0, "exact"), (1, 41, "exact"), (2, 0, "fuzzy"), (3, -1, "missing"), (5, -1, "missing"), (40, -1, "missing"), (41, 150, "exact"), (77, 77, "exact"),
+        (1, 0, "exact"), (1, 41, "exact"), (2, 0, "fuzzy"), (3, -1, "missing"), (5, -1, "missing"), (6, 301, "exact"), (40, -1, "missing"), (41, 150, "exact"), (41, 302, "exact"), (77, 77, "exact"), (77, 303, "fuzzy"),
     ]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import terms
 from ..sources.checkpoints import settled
 from ..sources.graph import current, live, normal_text
+from .grams import contained
 
 #: Node types that are never archived, and the hours after which a time to live ends.
 PROTECTED = ("decision", "constraint", "project")
@@ -159,19 +160,27 @@ def held_passages(passages: DataFrame, texts: DataFrame, fuzzy: float = 0.85) ->
     that holds a passage of n words lacks at most n - fuzzy * n of them, or its first and last, which may be parts of words,
     so it has one of any k = max(n - floor(fuzzy * n) + 1, 3). Passages are met on their k rarest words, then checked
     in full. Which words are rare is taken from a sixteenth of the texts; that changes the pairs met, never the result.
-    Passages of under three words are compared with every text.
+    Passages of under three words need all of these, or lie within one or two pieces of a text between spaces: they are met on
+    one word, and on the pieces that contain their longest piece.
     """
     asked = settled(passages.filter(normal_text(F.col("text")) != "").select("item_id", F.col("text").alias("excerpt"), terms(F.col("text"), 1).alias("words")))
     n = F.size("words")
-    words = asked.filter(n >= 3).select("item_id", F.greatest(n - F.floor(n * F.lit(fuzzy)) + 1, F.lit(3)).alias("k"), F.explode("words").alias("word"))
+    enough = F.when(n >= 3, F.greatest(n - F.floor(n * F.lit(fuzzy)) + 1, F.lit(3))).otherwise(n - F.ceil(n * F.lit(fuzzy)) + 1)
+    words = asked.select("item_id", enough.alias("k"), F.explode("words").alias("word"))
     spread = texts.select("doc_id", F.explode(terms(F.col("text"), 1)).alias("word"))
     seen = spread.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     rarest = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), F.desc(F.length("word")), "word"))
     index = settled(words.join(seen, "word", "left").withColumn("place", rarest).filter("place <= k").select("word", "item_id"))
-    met = spread.join(index, "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    short = asked.filter(n < 3).agg(F.collect_set("item_id").alias("short")).head().short
-    rows = texts.join(met, "doc_id", "left").withColumn("items", F.array_union(F.coalesce("items", F.array().cast(met.schema["items"].dataType)), F.lit(short).cast(met.schema["items"].dataType)))
-    read = rows.filter(F.size("items") > 0).select("doc_id", "items", normal_text(F.col("text")).alias("t"), terms(F.col("text"), 1).alias("text_words"))
+    pairs = spread.join(index, "word").select("doc_id", "item_id")
+    pieces = lambda text: F.split(normal_text(text), " ")
+    longest = F.array_max(F.transform(pieces(F.col("excerpt")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    short = asked.filter(n < 3).select("item_id", longest.alias("needle"))
+    if not short.isEmpty():
+        there = texts.select("doc_id", F.explode(F.array_distinct(pieces(F.col("text")))).alias("string"))
+        pairs = pairs.unionByName(contained(short, there).join(short, "needle").join(there, "string").select("doc_id", "item_id"))
+    met = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    rows = texts.join(met, "doc_id")
+    read = rows.select("doc_id", "items", normal_text(F.col("text")).alias("t"), terms(F.col("text"), 1).alias("text_words"))
     pairs = read.select("doc_id", F.explode("items").alias("item_id"), "t", "text_words").join(asked.select("item_id", normal_text(F.col("excerpt")).alias("e"), "words"), "item_id")
     found = settled(pairs.select("doc_id", "item_id", held_state(F.col("e"), F.col("t"), F.col("words"), F.col("text_words"), fuzzy).alias("state")).filter("state <> 'missing'"))
     none = texts.select("doc_id").join(found.select("doc_id").distinct(), "doc_id", "left_anti")
