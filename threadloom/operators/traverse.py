@@ -146,17 +146,25 @@ def runs(hops: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
     return found.select("id", "run", "after", "d")
 
 
-def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int | None = None) -> DataFrame:
+def turned(line: DataFrame, hops: DataFrame) -> DataFrame:
+    """The lines of runs(hops) for the hops turned round: what was before a line's first node is after its last."""
+    size = line.groupBy("run").agg(F.max("d").alias("size"), F.max_by("id", "d").alias("next"))
+    before = hops.join(size, "next").select("run", "size", F.col("id").alias("after"))
+    return settled(line.select("id", "run", "d").join(before, "run").select("id", "run", "after", (F.col("size") + 1 - F.col("d")).alias("d")))
+
+
+def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int | None = None, line: DataFrame | None = None) -> DataFrame:
     """Nodes reached from starts (start): start, id, depth (the fewest edges), towards causes or effects; starts at 0.
 
     Goes on until nothing new is reached, unless levels are given. Without levels lines of nodes with one cause and one effect
     are single hops of their length, so rounds don't grow with the length of a line; shorter ways found later replace longer.
+    line are these lines, if they are known.
     """
     a, b = ("source_id", "target_id") if upwards else ("target_id", "source_id")
     hops = settled(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct())
     if levels is not None:
         return stepped(hops, starts, levels)
-    line = runs(hops)
+    line = runs(hops) if line is None else line
     on = line.select("id")
     # where a hop into a line leads, and the line's members as seen from its first node
     into = hops.join(on, "id", "left_anti").join(line.select(F.col("id").alias("next"), "run", "after", "d"), "next", "left")
@@ -182,6 +190,13 @@ def walk(edges: DataFrame, starts: DataFrame, upwards: bool, levels: int | None
     return every.groupBy("start", "id").agg(F.min("depth").cast("bigint").alias("depth"))
 
 
+def both_lines(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of a walk towards causes and of one towards effects: they are the same, ranked once."""
+    hops = settled(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct())
+    line = runs(hops)
+    return line, turned(line, hops)
+
+
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """ids of starts (id) and of all that they lead to over edges from source to target; lines are single hops, as in walk()."""
     hops = settled(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct())
@@ -221,8 +236,9 @@ def members(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> D
 
     Causes are walked first; what both walks reach counts as a cause. Origins have no cause, leaves no effect in the thread.
     """
-    up = walk(edges, starts, True, levels).select("start", "id", (-F.col("depth")).alias("depth"))
-    down = walk(edges, starts, False, levels).join(up.select("start", "id"), ["start", "id"], "left_anti")
+    lines = both_lines(edges) if levels is None else (None, None)
+    up = walk(edges, starts, True, levels, lines[0]).select("start", "id", (-F.col("depth")).alias("depth"))
+    down = walk(edges, starts, False, levels, lines[1]).join(up.select("start", "id"), ["start", "id"], "left_anti")
     found = settled(up.unionByName(down))
     e = edges.select("source_id", "target_id").distinct()
     inner = e.join(found.select("start", F.col("id").alias("source_id")), "source_id").join(found.select("start", F.col("id").alias("target_id")), ["start", "target_id"])
