@@ -296,7 +296,7 @@ def with_token_counts(df: DataFrame, text: str = "text", limit: int = 512, vocab
     """df with n_bytes, n_tokens and over_limit.
 
     Null and empty texts have 0 bytes and 0 tokens. Every row of df gives one row, repeated rows too; other columns stay,
-    but columns that bear the names of the new ones (after prefix) are replaced.
+    but columns that bear the names of the new ones (after prefix) are replaced; an empty table gives no rows.
     """
     ship_package(df.sparkSession)
     return df.withColumn(f"{prefix}n_bytes", F.coalesce(F.octet_length(named(text)), F.lit(0)).cast("long")).withColumn(f"{prefix}n_tokens", F.coalesce(token_count(named(text), vocabulary), F.lit(0)).cast("long")).withColumn(f"{prefix}over_limit", F.col(f"{prefix}n_tokens") > limit)

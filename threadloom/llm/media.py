@@ -225,7 +225,11 @@ def probe(media: Column) -> Column:
 
 
 def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """df with a binary column that stores each text's bytes as a media file. Null texts are stored as empty ones."""
+    """df with a binary column that stores each text's bytes as a media file.
+
+    Null texts are stored as empty ones, equal texts as equal files. Repeated rows each give a row, an empty table none; a column
+    called as media is replaced.
+    """
 
     @F.arrow_udf("binary")
     def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -248,7 +252,7 @@ def digest(media: Column) -> Column:
 
     codec, seconds and keyframes (the byte range of each sync sample) are null for unreadable files.
     feature: codec, handler, seconds, samples, number of keyframes, their first and last byte range, and the CRC-32 of all
-    ranges as little-endian 64-bit numbers, as JSON; for unreadable files the error.
+    ranges as little-endian 64-bit numbers, as JSON; for unreadable files the error. Equal files give equal facts; no rows, none.
     """
 
     @F.arrow_udf(DIGEST)

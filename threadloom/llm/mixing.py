@@ -97,5 +97,8 @@ def mixed_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """One row for each row of df: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
+    """One row for each row of df: doc_id, size, source_size, target and taken, the words that the mix takes of it.
+
+    Null texts have size 0, null keys and sources count as such, repeated rows each for themselves; an empty table gives none.
+    """
     return mixed_copies(df, **options).groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("taken").alias("taken"))

@@ -130,7 +130,7 @@ def with_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. kept: neither base_failed nor any
     rule failed. Null and empty texts have no words and are not kept. Rows stay as they are, repeated ones too; columns
-    that bear a new column's name are replaced.
+    that bear a new column's name are replaced; an empty table gives none.
     """
     m = unused(df, f"{prefix}measures")
     found = df.withColumn(m, measures(named(text)))

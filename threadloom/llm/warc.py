@@ -102,7 +102,8 @@ def tree(records: DataFrame) -> DataFrame:
     """Nodes of all levels from placed records: place (a file's name, or ''), step, node, hash, records, bytes.
 
     Step 0 has a node for each range of a file that records begin in; the one node of step TOP is the root, also of an
-    archive without records. All bytes of a record count to the range it begins in.
+    archive without records. All bytes of a record count to the range it begins in. Null ids
+    are written as null, and records that repeat count by their copies.
     """
     line = F.concat_ws(":", "record_offset", "record_length", "copies", id_text(), "record_sha256", F.lit(";"))
     rows = records.groupBy(F.col("warc_file").alias("place"), in_range().alias("node"))
@@ -123,7 +124,10 @@ def tree(records: DataFrame) -> DataFrame:
 
 
 def mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Nodes that differ between two trees: place, step, node, left_hash, right_hash; only below nodes that differ."""
+    """Nodes that differ between two trees: place, step, node, left_hash, right_hash; only below nodes that differ.
+
+    Equal trees, those of two empty archives among them, give no rows; a hash is null on the side that lacks the node.
+    """
 
     def side(t: DataFrame, step: int, name: str) -> DataFrame:
         return t.filter(F.col("step") == step).select("place", "node", F.col("hash").alias(name))
