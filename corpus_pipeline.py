@@ -29,13 +29,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail a rule; null and empty texts do. Rows and columns are unchanged."""
+    """Drops documents that fail a rule; null and empty texts do. Rows and columns are unchanged; an empty table gives none."""
     prefix = unused(docs, "q") + "_"
     return quality.with_quality(docs, prefix=f"__{prefix}").filter(f"`__{prefix}kept`").select(*columns_of(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """Keeps the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows with a null id all stay, those without words once for each id; an empty table gives none.
+    """
     return neardup.deduplicated(docs)
 
 
