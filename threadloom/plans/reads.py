@@ -51,6 +51,13 @@ def recent(g: GraphStore) -> DataFrame:
     return R.listed(g.nodes(), project="n3", limit=25).select("id", "updated_at")
 
 
+@query("a06_missing_vectors", sql("SELECT id, label, updated_at FROM live WHERE type = 'artifact' AND id NOT IN (SELECT 'p' || vec_id FROM embeddings WHERE embedding IS NOT NULL)", NODES))
+def missing_vectors(g: GraphStore) -> DataFrame:
+    """Live parts that have no vector yet."""
+    have = g.table("embeddings").filter("embedding IS NOT NULL").select(F.concat(F.lit("p"), "vec_id").alias("id"))
+    return live(g.artifacts()).join(have, "id", "left_anti").select("id", "label", "updated_at")
+
+
 @query(
     "a09_turn_normaliser",
     sql("SELECT conv_id, turn, role, length(clip)::BIGINT AS kept_chars, md5(clip) AS digest FROM (SELECT *, left(trim(text), CASE role WHEN 'user' THEN 2000 ELSE 16000 END) AS clip FROM conversations) WHERE length(clip) >= 10"),
