@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import reports, upkeep
+from threadloom.operators import reports, temporal, upkeep
 from threadloom.sources.graph import now
 
 DAY = dt.datetime(2024, 1, 1)
@@ -137,3 +138,52 @@ def test_links_are_guarded(spark):
     links = spark.createDataFrame([("a", "b", "based_on"), ("a", "c", "based_on"), ("a", "a", "based_on"), ("a", "x", "based_on"), (None, "b", "based_on"), ("a", "b", "causes"), ("b", "a", None), ("d", "e", "extends"), ("a", "d", "affects")], "source_id string, target_id string, type string")
     got = {tuple(r)[:3]: r["outcome"] for r in upkeep.guarded(items, links).collect()}
     assert [got[tuple(r)] for r in links.collect()] == ["added", "same_group", "self_link", "unknown_id", "unknown_id", "unknown_type", "unknown_type", "same_group", "added"]
+
+
+def _claimed(tries, frees, seconds):
+    """The same by a loop over time; what frees at a time frees before the attempts of that time."""
+    steps = sorted([(at, 0, 0, b, a) for b, a, at in frees] + [(at, 1, seq, b, a) for b, a, at, seq in tries])
+    holder, out = {}, {}
+    for at, kind, seq, block, agent in steps:
+        held = holder.get(block)
+        if kind == 0:
+            if held and held[0] == agent and held[1] < at:
+                del holder[block]
+        elif held and at <= held[1] + seconds:
+            out[seq] = (False, held[0])
+        else:
+            holder[block] = (agent, at)
+            out[seq] = (True, agent)
+    return out
+
+
+def test_claims_as_by_a_loop(spark):
+    rng = random.Random(5)
+    # half of all attempts are on one block
+    tries = [(0 if rng.random() < 0.5 else rng.randrange(1, 5), rng.choice("xyz"), rng.randrange(900), n) for n in range(500)]
+    frees = [(rng.randrange(5), rng.choice("xyz"), rng.randrange(900)) for _ in range(120)]
+    time = lambda s: DAY + dt.timedelta(seconds=s)
+    attempts = spark.createDataFrame([(b, a, time(t), n) for b, a, t, n in tries] + [(None, "x", DAY, 900), (1, None, DAY, 901), (1, "x", None, 902)], "block int, agent string, at timestamp_ntz, seq int")
+    releases = spark.createDataFrame([(b, a, time(t)) for b, a, t in frees] + [(None, None, None)], "block int, agent string, at timestamp_ntz")
+    for seconds in (1, 10):
+        got = temporal.claims(attempts, releases, seconds).collect()
+        assert {r["seq"]: (r["claimed"], r["claimed_by"]) for r in got} == _claimed(tries, frees, seconds) and len(got) == 500
+        assert all((r["expires_at"] == r["at"] + dt.timedelta(seconds=seconds)) if r["claimed"] else r["expires_at"] is None for r in got)
+    assert temporal.claims(attempts.limit(0), releases, 5).count() == 0 and temporal.claims(attempts, releases.limit(0), 10_000).filter("claimed").count() == 5
+
+
+def test_reminders_by_hand(spark):
+    time = lambda s: DAY + dt.timedelta(seconds=s)
+    reads = spark.createDataFrame([("a", time(0)), ("a", time(0)), ("a", time(1000)), (None, time(0))], "client string, at timestamp_ntz")
+    cases = [("a", "f", -1, "never"), ("b", "f", 5, "never"), ("a", "f", 0, "grace"), ("a", "f", 119, "grace"), ("a", "f", 120, "new_file"), ("a", "f", 121, "seen"), ("a", "g", 121, "new_file"), ("a", None, 130, "no_file"), ("a", "", 131, "no_file"), ("a", "f", 1120, "new_file"), ("a", "g", 2801, "stale"), ("a", "h", 2800, "new_file")]
+    edits = spark.createDataFrame([(n, c, f, time(t)) for n, (c, f, t, _) in enumerate(cases)] + [(99, None, "f", DAY), (98, "a", "f", None)], "id int, client string, file string, at timestamp_ntz")
+    got = {r["id"]: (r["why"], r["remind"]) for r in temporal.reminders(edits, reads, 1800, 120).collect()}
+    assert got == {n: (why, why in ("never", "stale", "new_file")) for n, (*_, why) in enumerate(cases)}
+
+
+def test_overview_counts_what_hangs_nowhere(spark):
+    nodes = spark.createDataFrame([("p", "project", None, DAY, None), ("t", "task", "p", DAY, "open"), ("u", "task", None, DAY, "finished"), ("v", "fact", None, DAY + dt.timedelta(1), None), ("w", "fact", None, DAY, None)], "id string, type string, project_id string, created_at timestamp_ntz, work_status string")
+    edges = spark.createDataFrame([("v", "t")], "source_id string, target_id string")
+    activity = spark.createDataFrame([("x", DAY), ("x", DAY + dt.timedelta(2)), ("y", DAY)], "agent string, at timestamp_ntz")
+    got = rows(reports.overview(nodes, edges, activity, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), 2), "section", "name", "n")
+    assert got == sorted([("nodes", "project", 1), ("nodes", "task", 2), ("nodes", "fact", 2), ("projects", "p", None), ("open_tasks", "t", None), ("recent", "v", None), ("recent", "p", None), ("active_agents", "x", 2), ("unlinked", None, 2)], key=repr)

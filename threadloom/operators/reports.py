@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import scope_segment
 from ..sources.checkpoints import settled
+from .audit import work_status
 from .reads import top_in_group
 
 #: Words for a task that is closed.
@@ -203,3 +204,23 @@ def recent_extractions(ranges: DataFrame, extracted: DataFrame, nodes: DataFrame
     shown = latest.join(topics, "range_id", "left").join(handles, "range_id", "left")
     turns = F.concat_ws("-", "first", "last")
     return shown.select(key, "place", "range_id", F.coalesce("topic", F.concat(F.lit("turns "), turns)).alias("topic"), turns.alias("turns"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("own", "handle").alias("chain"), "at")
+
+
+def overview(nodes: DataFrame, edges: DataFrame, activity: DataFrame, since: Column, newest: int = 5) -> DataFrame:
+    """What a session sees first, as rows of section, name, n and at.
+
+    nodes by type with their number, projects, open_tasks, the newest nodes (of equal times the smaller id), active_agents (agents with anything in activity (agent, at)
+    since a time, with its number and last time), and unlinked: how many nodes have neither a project nor an edge.
+    """
+    none = {"name": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint"), "at": F.lit(None).cast("timestamp_ntz")}
+    part = lambda df, section, **given: df.select(F.lit(section).alias("section"), *(given.get(c, v).alias(c) for c, v in none.items()))
+    named = {"name": F.col("id")}
+    kinds = nodes.groupBy("type").agg(F.count("*").alias("c"))
+    open_ = nodes.filter((F.col("type") == "task") & (work_status(F.col("work_status"))["status"] != "done"))
+    agents = activity.groupBy("agent").agg(F.count("*").alias("c"), F.max("at").alias("last")).filter(F.col("last") >= since)
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    loose = nodes.filter("project_id IS NULL AND type <> 'project'").join(ends, "id", "left_anti").agg(F.count("*").alias("c"))
+    rows = part(kinds, "nodes", name=F.col("type"), n=F.col("c"))
+    rows = rows.unionByName(part(nodes.filter("type = 'project'"), "projects", **named)).unionByName(part(open_, "open_tasks", **named))
+    rows = rows.unionByName(part(nodes.orderBy(F.desc("created_at"), "id").limit(newest), "recent", at=F.col("created_at"), **named))
+    return rows.unionByName(part(agents, "active_agents", name=F.col("agent"), n=F.col("c"), at=F.col("last"))).unionByName(part(loose, "unlinked", n=F.col("c")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.checkpoints import settled
+from .intervals import in_intervals, micros
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "6 hours") -> DataFrame:
@@ -26,17 +27,16 @@ def rolling(events: DataFrame, key: str, seconds: int, value: str = "value", ts:
 BUCKET_GAPS = 16
 
 
-def successors(rows: DataFrame, key: str, seconds: int) -> DataFrame:
-    """n and next of rows (n, key, t in microseconds, order): the first row of the key at or after t and the seconds, if any.
+def next_rows(rows: DataFrame, asks: DataFrame, key: str, width: int) -> DataFrame:
+    """n and next: for each of asks (n, key, at) the n of the first of rows (n, key, t, order) of its key at or after its time, if any.
 
-    A key is cut into buckets of time. Within a bucket one sorted stream finds the next row; where there is none, the next
-    bucket that has rows begins with it. So a key of many rows is the work of many tasks.
+    Times are in microseconds. A key is cut into buckets of time of a width. Within a bucket one sorted stream finds the next row;
+    where there is none, the next bucket that has rows begins with it. So a key of many rows is the work of many tasks.
     """
-    width = BUCKET_GAPS * seconds * 1_000_000
     events = rows.select(key, F.col("t").alias("at"), "order", F.col("n").alias("event"), F.lit(None).cast("bigint").alias("asks"))
     # asked before the events of the same time
-    asks = rows.select(key, (F.col("t") + seconds * 1_000_000).alias("at"), F.lit(None).cast(rows.schema["order"].dataType).alias("order"), F.lit(None).cast("bigint").alias("event"), F.col("n").alias("asks"))
-    both = events.unionByName(asks).withColumn("bucket", F.floor(F.col("at") / width))
+    asked = asks.select(key, "at", F.lit(None).cast(rows.schema["order"].dataType).alias("order"), F.lit(None).cast("bigint").alias("event"), F.col("n").alias("asks"))
+    both = events.unionByName(asked).withColumn("bucket", F.floor(F.col("at") / width))
     ahead = Window.partitionBy(key, "bucket").orderBy(F.col("at"), F.col("asks").isNull(), "order").rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("next", F.first("event", ignorenulls=True).over(ahead)).filter("asks IS NOT NULL").select(key, "bucket", F.col("asks").alias("n"), "next")
     begins = events.withColumn("bucket", F.floor(F.col("at") / width)).groupBy(key, "bucket").agg(F.min_by("event", F.struct("at", "order")).alias("begin"))
@@ -46,24 +46,80 @@ def successors(rows: DataFrame, key: str, seconds: int) -> DataFrame:
     return found.join(every, [key, "bucket"]).select("n", F.coalesce("next", "begin").alias("next")).filter("next IS NOT NULL")
 
 
-def cooled(events: DataFrame, key: str, order: str, seconds: int, ts: str = "ts") -> DataFrame:
-    """Events that fire: the first of a key, and each that comes seconds or more after the last that fired.
+def successors(rows: DataFrame, key: str, seconds: int) -> DataFrame:
+    """n and next of rows (n, key, t in microseconds, order): the first row of the key at or after t and the seconds, if any."""
+    gap = seconds * 1_000_000
+    return next_rows(rows, rows.select("n", key, (F.col("t") + gap).alias("at")), key, BUCKET_GAPS * gap)
 
-    Each event points at the one that would fire next. From a key's first event the pointers are followed, twice as far each
-    round, so rounds grow with the logarithm of the number of firings; every round is a stored table. Rows without a key or a
-    time never fire; seconds are 1 or more.
+
+def followed(rows: DataFrame, jump: DataFrame, key: str) -> DataFrame:
+    """n of each key's first row, and of all that is reached from it by jump (n, next).
+
+    Pointers are followed twice as far each round, so rounds grow with the logarithm of the longest path; every round is a stored table.
     """
-    rows = settled(events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, order, ts).withColumn("n", F.monotonically_increasing_id()))
-    timed = rows.select("n", key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("order"))
-    jump = settled(successors(timed, key, seconds))
-    marks = settled(timed.groupBy(key).agg(F.min_by("n", F.struct("t", "order")).alias("n")).select("n"))
+    jump = settled(jump)
+    marks = settled(rows.groupBy(key).agg(F.min_by("n", F.struct("t", "order")).alias("n")).select("n"))
     while True:
         more = settled(marks.join(jump, "n").select(F.col("next").alias("n")))
         if more.isEmpty():
-            break
+            return marks
         marks = settled(marks.unionByName(more))
         jump = settled(jump.join(jump.select(F.col("n").alias("next"), F.col("next").alias("far")), "next").select("n", F.col("far").alias("next")))
-    return rows.join(marks, "n", "left_semi").drop("n")
+
+
+def cooled(events: DataFrame, key: str, order: str, seconds: int, ts: str = "ts") -> DataFrame:
+    """Events that fire: the first of a key, and each that comes seconds or more after the last that fired.
+
+    Each event points at the one that would fire next, and the pointers are followed from a key's first event. Rows without a key or a
+    time never fire; seconds are 1 or more.
+    """
+    rows = settled(events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, order, ts).withColumn("n", F.monotonically_increasing_id()))
+    timed = rows.select("n", key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("order"))
+    return rows.join(followed(timed, successors(timed, key, seconds), key), "n", "left_semi").drop("n")
+
+
+def claims(attempts: DataFrame, releases: DataFrame, seconds: int) -> DataFrame:
+    """Attempts to claim a block (block, agent, at, seq), with claimed, claimed_by and expires_at: one holder a block at a time.
+
+    A claim ends when its time is over, or when its agent releases the block (block, agent, at) after it was made. An attempt holds the block
+    if nothing does, its own agent's claim included; at the time of expiry itself the claim still stands, at that of a release it does not. Of attempts of one time the
+    smaller seq comes first. Others name the holder. Each attempt points at the first that its claim would leave free, so no block is
+    one task's work. Attempts without a block, agent or time are left out; seq is a number and no two attempts share one.
+    """
+    whole = lambda df: df.filter("block IS NOT NULL AND agent IS NOT NULL AND at IS NOT NULL").withColumn("t", micros(F.col("at")))
+    ttl = seconds * 1_000_000
+    tries = settled(whole(attempts).select("block", "agent", "at", "t", F.col("seq").alias("order"), F.monotonically_increasing_id().alias("n")).withColumn("pair", F.struct("block", "agent")))
+    freed = settled(whole(releases).select(F.struct("block", "agent").alias("pair"), "t", F.lit(0).alias("order"), F.monotonically_increasing_id().alias("n")))
+    let_go = next_rows(freed, tries.select("n", "pair", (F.col("t") + 1).alias("at")), "pair", BUCKET_GAPS * ttl)
+    let_go = let_go.join(freed.select(F.col("n").alias("next"), F.col("t").alias("freed")), "next").select("n", "freed")
+    held = settled(tries.join(let_go, "n", "left").withColumn("ends", F.least(F.col("t") + ttl + 1, "freed")).drop("pair", "freed"))
+    jump = next_rows(held, held.select("n", "block", F.col("ends").alias("at")), "block", BUCKET_GAPS * ttl)
+    won = settled(held.join(followed(held, jump, "block"), "n", "left_semi"))
+    lost = held.join(won.select("n"), "n", "left_anti").select("block", "agent", "at", F.col("t").alias("tried"), F.col("order").alias("seq"))
+    spans = won.select("block", F.col("agent").alias("claimed_by"), F.col("t").alias("low"), (F.col("ends") - 1).alias("high"))
+    lost = in_intervals(lost, spans, "block", "tried").select("block", "agent", "at", "seq", F.lit(False).alias("claimed"), "claimed_by", F.lit(None).cast("timestamp_ntz").alias("expires_at"))
+    got = won.select("block", "agent", "at", F.col("order").alias("seq"), F.lit(True).alias("claimed"), F.col("agent").alias("claimed_by"), (F.col("at") + F.make_dt_interval(secs=F.lit(seconds))).cast("timestamp_ntz").alias("expires_at"))
+    return got.unionByName(lost)
+
+
+def reminders(edits: DataFrame, reads: DataFrame, stale: int, grace: int) -> DataFrame:
+    """Edits (id, client, file, at) with remind and why: never read, stale, no_file, grace, new_file or seen.
+
+    The last read (client, at) at or before an edit decides: more than stale seconds ago reminds, less than grace seconds ago does not. Else the
+    first edit of a file since that read reminds, of equal times the smaller id; edits that were stale or in grace don't count as a touch. Edits
+    without a client or time are left out; ids are unique. The last read is found in buckets of time, so no client is one task's work.
+    """
+    known = settled(edits.filter("client IS NOT NULL AND at IS NOT NULL").select("id", "client", "file", "at").withColumns({"t": micros(F.col("at")), "n": F.monotonically_increasing_id()}))
+    # the last at or before is the next when time runs backwards; reads of one time are one
+    seen = settled(reads.filter("client IS NOT NULL AND at IS NOT NULL").select("client", micros(F.col("at")).alias("read")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    back = next_rows(seen.select("n", "client", (-F.col("read")).alias("t"), F.lit(0).alias("order")), known.select("n", "client", (-F.col("t")).alias("at")), "client", BUCKET_GAPS * stale * 1_000_000)
+    last = back.join(seen.select(F.col("n").alias("next"), "read"), "next").select("n", "read")
+    rows = known.join(last, "n", "left").withColumn("ago", F.col("t") - F.col("read"))
+    why = F.when(F.col("read").isNull(), "never").when(F.col("ago") > stale * 1_000_000, "stale").when(F.coalesce("file", F.lit("")) == "", "no_file").when(F.col("ago") < grace * 1_000_000, "grace")
+    rows = settled(rows.withColumn("why", why))
+    first = rows.filter("why IS NULL").groupBy("client", "file", "read").agg(F.min_by("n", F.struct("t", "id")).alias("n")).select("n", F.lit(True).alias("first"))
+    rows = rows.join(first, "n", "left").withColumn("why", F.coalesce("why", F.when(F.col("first"), "new_file"), F.lit("seen")))
+    return rows.select("id", "client", "file", "at", "why", F.col("why").isin("never", "stale", "new_file").alias("remind"))
 
 
 def triggers(events: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

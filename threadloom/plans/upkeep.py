@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import reports as P
+from ..operators import temporal as H
 from ..operators import upkeep as U
-from ..sources.graph import GraphStore, current, live, now, pick
+from ..sources.graph import GraphStore, at, current, live, now, pick
 from .prelude import EDGES, NODES, NOTES, sql
 from .reports import key_of
 
@@ -163,3 +165,51 @@ def guarded_links(g: GraphStore) -> DataFrame:
     items = g.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("group"))
     li = g.table("lineitem").select(F.concat(F.lit("d"), "l_partkey").alias("source_id"), F.concat(F.lit("d"), F.col("l_suppkey") * 7).alias("target_id"), pick(("based_on", "causes", "supports", "extends"), F.col("l_linenumber")).alias("type"))
     return U.guarded(items, li).groupBy("source_id", "target_id", "type", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "g26_claim_attempts",
+    """WITH RECURSIVE e AS (SELECT event_id AS seq, user_id % 10 AS block, event_id % 3 AS agent, ts AS tm, event_type = 'signup' AS frees FROM events),
+att AS MATERIALIZED (SELECT a.seq, a.block, a.agent, a.tm, least(a.tm + INTERVAL 6 HOUR + INTERVAL 1 MICROSECOND, coalesce(min(r.tm), TIMESTAMP '2100-01-01')) AS ends FROM e a LEFT JOIN e r ON r.frees AND r.block = a.block AND r.agent = a.agent AND r.tm > a.tm WHERE NOT a.frees GROUP BY a.seq, a.block, a.agent, a.tm),
+jump AS MATERIALIZED (SELECT a.seq, arg_min(b.seq, (b.tm, b.seq)) AS nxt FROM att a JOIN att b ON b.block = a.block AND b.tm >= a.ends GROUP BY 1),
+won AS (SELECT arg_min(seq, (tm, seq)) AS seq FROM att GROUP BY block UNION ALL SELECT nxt FROM won JOIN jump USING (seq)),
+held AS (SELECT att.* FROM att JOIN won USING (seq))
+SELECT a.seq, a.block, a.agent, a.tm AS at, a.seq IN (SELECT seq FROM won) AS claimed, h.agent AS claimed_by, CASE WHEN a.seq IN (SELECT seq FROM won) THEN a.tm + INTERVAL 6 HOUR END AS expires_at FROM att a ASOF JOIN held h ON h.block = a.block AND a.tm >= h.tm""",
+)
+def claim_attempts(g: GraphStore) -> DataFrame:
+    """Ten blocks that three agents claim for six hours with every event, or give back with a signup."""
+    e = g.table("events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("block"), (F.col("event_id") % 3).alias("agent"), F.col("ts").alias("at"), "event_type")
+    return H.claims(e.filter("event_type <> 'signup'"), e.filter("event_type = 'signup'"), 6 * 3600)
+
+
+@query(
+    "g34_reminders",
+    """WITH e AS (SELECT event_id AS id, user_id AS client, CASE WHEN event_type <> 'signup' THEN event_id % 7 END AS file, ts AS tm FROM events WHERE event_type <> 'view'),
+r AS (SELECT e.*, v.ts AS read, date_diff('microsecond', v.ts, e.tm) AS ago FROM e ASOF LEFT JOIN (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view') v ON v.user_id = e.client AND e.tm >= v.ts),
+w AS (SELECT *, CASE WHEN read IS NULL THEN 'never' WHEN ago > 172800000000 THEN 'stale' WHEN file IS NULL THEN 'no_file' WHEN ago < 7200000000 THEN 'grace' END AS y FROM r),
+f AS (SELECT *, coalesce(y, CASE WHEN row_number() OVER (PARTITION BY client, file, read, y IS NULL ORDER BY tm, id) = 1 THEN 'new_file' ELSE 'seen' END) AS why FROM w)
+SELECT id, client, file::VARCHAR AS file, tm AS at, why, why IN ('never', 'stale', 'new_file') AS remind FROM f""",
+)
+def reminders(g: GraphStore) -> DataFrame:
+    """Whether each event of a user who edits one of seven files calls for a reminder, views being reads."""
+    e = g.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), F.when(F.col("event_type") != "signup", F.col("event_id") % 7).cast("string").alias("file"), F.col("ts").alias("at"), "event_type")
+    return H.reminders(e.filter("event_type <> 'view'"), e.filter("event_type = 'view'"), 2 * 86400, 2 * 3600)
+
+
+@query(
+    "b17_overview",
+    sql(
+        """SELECT 'nodes' AS section, type AS name, count(*) AS n, NULL::TIMESTAMP AS at FROM live GROUP BY 2
+UNION ALL SELECT 'projects', id, NULL, NULL FROM live WHERE type = 'project'
+UNION ALL SELECT 'open_tasks', id, NULL, NULL FROM live WHERE type = 'task' AND work_status <> 'done'
+UNION ALL (SELECT 'recent', id, NULL, created_at FROM live ORDER BY created_at DESC, id LIMIT 5)
+UNION ALL SELECT 'active_agents', user_id::VARCHAR, count(*), max(ts) FROM events GROUP BY 2 HAVING max(ts) >= TIMESTAMP '2024-01-30 22:00:00'
+UNION ALL SELECT 'unlinked', NULL, count(*), NULL FROM live WHERE project_id IS NULL AND type <> 'project' AND id NOT IN (SELECT source_id FROM cur UNION ALL SELECT target_id FROM cur)""",
+        NODES,
+        EDGES,
+    ),
+)
+def overview(g: GraphStore) -> DataFrame:
+    """What a session sees first: nodes by type, projects, open tasks, the five newest, agents of the last two hours, and how many nodes hang nowhere."""
+    activity = g.table("events").select(F.col("user_id").cast("string").alias("agent"), F.col("ts").alias("at"))
+    return P.overview(live(g.nodes()), current(g.edges()), activity, at("2024-01-30 22:00:00"))
