@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import duplicates, maintenance, nearby, reads, reports, rules, seams, search, stores, threads, traverse, upkeep
+from .plans import chains, duplicates, maintenance, nearby, reads, reports, rules, seams, search, stores, threads, traverse, upkeep
 
-MODULES = (reads, search, traverse, threads, maintenance, seams, rules, duplicates, nearby, stores, reports, upkeep)
+MODULES = (reads, search, traverse, threads, maintenance, seams, rules, duplicates, nearby, stores, reports, upkeep, chains)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
