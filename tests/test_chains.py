@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import chains
+from threadloom.operators import chains, items
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -30,3 +30,20 @@ def test_terms_of_the_session_before_a_restart(spark):
     got = sorted(tuple(r) for r in chains.session_terms(log, nodes, start, ["about"]).collect())
     assert got == [("cache", time(5), True), ("check", time(10), False), ("loginflow", time(10), True), ("tokens", time(5), False)]
     assert chains.session_terms(log, nodes, F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")).count() == 0
+
+
+def test_second_pass_keeps_what_the_first_knew(spark):
+    first = spark.createDataFrame([(1, "a", "fact", "z"), (1, "b", "fact", None), (1, "c", "", "y"), (2, "a", "task", "")], "arc int, id string, type string, extends string")
+    second = spark.createDataFrame([(1, "a", "task", None, None, 1), (1, "b", "task", "k", "weak", 2), (1, "c", "task", "", "", 3), (2, "a", "task", "", None, 4), (2, "new", "fact", None, None, 5), (1, "a", "fact", "own", None, 6)], "arc int, id string, type string, extends string, review_reason string, `o.dd` int")
+    got = items.prefilled(first, second)
+    assert got.columns == second.columns
+    assert sorted((r[5], r[3], r[4]) for r in got.collect()) == [(1, "z", "type_override"), (2, "k", "weak"), (3, "y", ""), (4, "", None), (5, None, None), (6, "own", None)]
+
+
+def test_drifted_blocks_take_unclaimed_items(spark):
+    its = spark.createDataFrame([(1, "a", "fact", 1), (1, "b", "fact", 2), (1, "c", "fact", 3), (1, "d", "task", 4), (2, "a", "fact", 1)], "arc int, id string, type string, place int")
+    blocks = spark.createDataFrame([(1, 1, "fact", "zz"), (1, 2, "task", "b"), (1, 3, "fact", None), (1, 4, "fact", "qq"), (1, 5, "task", ""), (1, 6, "odd", "zz"), (2, 1, "fact", "b"), (2, 2, None, "a")], "arc int, n int, is_a string, from_item string").withColumns({"known": F.lit(1), "o.dd": F.lit(2)})
+    got = sorted(tuple(r) for r in items.recovered(blocks, its).select("arc", "n", "from_item", "drifted").collect())
+    # b is claimed by a block of another type, and a in arc 2 by one without a type
+    assert got == [(1, 1, "a", True), (1, 2, "b", False), (1, 3, "c", True), (1, 4, "qq", False), (1, 5, "d", True), (1, 6, "zz", False), (2, 1, "b", False), (2, 2, "a", False)]
+    assert items.recovered(blocks.limit(0), its).count() == 0

@@ -92,3 +92,45 @@ def window_around(text: Column, needles: list[str], width: int) -> Column:
     for n in reversed(needles):
         at = F.when(F.instr(text, n) > 0, F.instr(text, n)).otherwise(at)
     return F.when(at.isNotNull(), F.substring(text, F.greatest(F.lit(1), at - width // 2), F.lit(width)))
+
+
+def _spare(df: DataFrame, name: str) -> str:
+    """name with as many underscores before it as make it no column of df."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
+def _columns(df: DataFrame) -> list[Column]:
+    """The names of df's columns, to be selected whatever signs they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def prefilled(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Items of the second pass with what the first knew: extends is filled where it is empty, a changed type without a reason is stamped.
+
+    first (arc, id, type, extends; one row an item), second (arc, id, type, extends, review_reason and more). Reasons that are given stay; items that the first pass did not
+    have, or gave no type, get no stamp.
+    """
+    was, had = _spare(second, "was"), _spare(second, "had")
+    knew = first.select("arc", "id", F.nullif("type", F.lit("")).alias(was), F.nullif("extends", F.lit("")).alias(had))
+    rows = second.join(knew, ["arc", "id"], "left")
+    stamp = (F.col(was) != F.col("type")) & (F.coalesce("review_reason", F.lit("")) == "")
+    after = {"extends": F.coalesce(F.nullif("extends", F.lit("")), had, "extends"), "review_reason": F.when(stamp, "type_override").otherwise(F.col("review_reason"))}
+    return rows.withColumns(after).select(*_columns(second))
+
+
+def recovered(blocks: DataFrame, items: DataFrame) -> DataFrame:
+    """Blocks (arc, n, is_a, from_item) whose item is unknown with the first unclaimed item of their arc and type: all columns, and drifted.
+
+    items (arc, id, type, place). A known item is never reassigned, and what a block claims no other gets; the k-th block of a type that drifted takes the k-th
+    item of it that no block claims. Where there are too few, from_item stays as it was. Windows are of one type in one arc.
+    """
+    known, match, k = (_spare(blocks, name) for name in ("known", "match", "k"))
+    b = blocks.join(items.select("arc", F.col("id").alias("from_item"), F.lit(True).alias(known)).distinct(), ["arc", "from_item"], "left")
+    free = items.join(b.filter(F.col(known)).select("arc", F.col("from_item").alias("id")).distinct(), ["arc", "id"], "left_anti")
+    place = lambda by, *order: F.row_number().over(Window.partitionBy("arc", by).orderBy(*order))
+    free = free.select("arc", F.col("type").alias("is_a"), F.col("id").alias(match), place("type", "place", "id").alias(k))
+    lost = b.filter(F.col(known).isNull()).withColumn(k, place("is_a", "n")).join(free, ["arc", "is_a", k], "left")
+    done = b.filter(F.col(known)).withColumn(match, F.lit(None).cast("string")).unionByName(lost.drop(k))
+    return done.withColumn("from_item", F.coalesce(match, "from_item")).select(*_columns(blocks), F.col(match).isNotNull().alias("drifted"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chains as C
+from ..operators import items as I
 from ..operators.reads import top_in_group
-from ..sources.graph import GraphStore, at, live
+from ..sources.graph import GraphStore, at, live, pick
 from .prelude import EDGES, NODES, sql
 
 QUERIES: dict = {}
@@ -78,3 +79,42 @@ def missing_vectors(g: GraphStore) -> DataFrame:
     """Live parts that no vector belongs to."""
     have = g.table("embeddings").filter("embedding IS NOT NULL").select(F.concat(F.lit("p"), "vec_id").alias("id"))
     return live(g.artifacts()).select("id", "updated_at").join(have, "id", "left_anti")
+
+
+def passes(g: GraphStore) -> tuple[DataFrame, DataFrame]:
+    """An order is an arc, its lines are items: their types before and after a second look."""
+    li = g.table("lineitem").groupBy(F.col("l_orderkey").alias("arc"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_linenumber").alias("place")).agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    p, s = F.col("part"), F.col("supp")
+    first = li.filter(s % 11 != 0).select("arc", "id", pick(("fact", "task", "decision"), p).alias("type"), F.when(p % 5 == 0, F.concat_ws("-", "arc", F.lit(1))).alias("extends"))
+    second = li.select("arc", "id", "place", pick(("fact", "task", "decision"), F.when(s % 4 == 0, s).otherwise(p)).alias("type"), F.when(p % 2 == 0, "").when(p % 3 == 0, "x").alias("extends"), F.when(s % 7 == 0, "weak_match").when(s % 7 == 1, "").alias("review_reason"))
+    return first, second
+
+
+_PASSES = """
+li AS (SELECT l_orderkey AS arc, l_orderkey || '-' || l_linenumber AS id, l_linenumber AS place, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+a AS (SELECT arc, id, (['fact', 'task', 'decision'])[(p % 3 + 1)::INT] AS type, CASE WHEN p % 5 = 0 THEN arc || '-1' END AS extends FROM li WHERE s % 11 <> 0),
+b AS (SELECT arc, id, place, (['fact', 'task', 'decision'])[(CASE WHEN s % 4 = 0 THEN s ELSE p END % 3 + 1)::INT] AS type, CASE WHEN p % 2 = 0 THEN '' WHEN p % 3 = 0 THEN 'x' END AS extends, CASE s % 7 WHEN 0 THEN 'weak_match' WHEN 1 THEN '' END AS review_reason FROM li),
+blocks AS (SELECT arc, place AS n, type AS is_a, CASE WHEN place % 3 = 0 THEN id || '?' ELSE arc || '-' || (place + place % 2) END AS from_item FROM b)"""
+
+
+@query("d07_prefilled", sql("SELECT b.id, b.type, coalesce(nullif(b.extends, ''), a.extends, b.extends) AS extends, CASE WHEN a.type <> b.type AND coalesce(review_reason, '') = '' THEN 'type_override' ELSE review_reason END AS review_reason FROM b LEFT JOIN a USING (id)", ctes=_PASSES))
+def prefilled(g: GraphStore) -> DataFrame:
+    """Items of the second pass, their extension filled and changes of type stamped."""
+    first, second = passes(g)
+    return I.prefilled(first, second).select("id", "type", "extends", "review_reason")
+
+
+@query(
+    "d07_recovered",
+    sql(
+        """SELECT x.arc, x.n, x.is_a, coalesce(f.id, x.from_item) AS from_item, f.id IS NOT NULL AS drifted FROM (SELECT *, CASE WHEN NOT known THEN row_number() OVER (PARTITION BY arc, is_a, known ORDER BY n) END AS k FROM (SELECT *, from_item IN (SELECT id FROM b) AS known FROM blocks)) x
+LEFT JOIN (SELECT arc, id, type, row_number() OVER (PARTITION BY arc, type ORDER BY place) AS k FROM b WHERE id NOT IN (SELECT from_item FROM blocks)) f ON f.arc = x.arc AND f.type = x.is_a AND f.k = x.k""",
+        ctes=_PASSES,
+    ),
+)
+def recovered(g: GraphStore) -> DataFrame:
+    """Blocks built from the items, a third of which name none that exists."""
+    second = passes(g)[1]
+    n = F.col("place")
+    blocks = second.select("arc", n.alias("n"), F.col("type").alias("is_a"), F.when(n % 3 == 0, F.concat("id", F.lit("?"))).otherwise(F.concat_ws("-", "arc", n + n % 2)).alias("from_item"))
+    return I.recovered(blocks, second.select("arc", "id", "type", "place"))
