@@ -187,3 +187,23 @@ def test_overview_counts_what_hangs_nowhere(spark):
     activity = spark.createDataFrame([("x", DAY), ("x", DAY + dt.timedelta(2)), ("y", DAY)], "agent string, at timestamp_ntz")
     got = rows(reports.overview(nodes, edges, activity, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), 2), "section", "name", "n")
     assert got == sorted([("nodes", "project", 1), ("nodes", "task", 2), ("nodes", "fact", 2), ("projects", "p", None), ("open_tasks", "t", None), ("recent", "v", None), ("recent", "p", None), ("active_agents", "x", 2), ("unlinked", None, 2)], key=repr)
+
+
+def test_reports_and_upkeep_of_empty_tables(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    cycles = empty("k string, cycle int, billed bigint, lag_ms bigint, limited boolean, limit_pass string")
+    writes, recalls = empty("cycle int, type string, quality double, created boolean"), empty("k string, injected bigint, crossed bigint")
+    assert reports.session_report(cycles, writes, recalls, "k").count() == 0
+    assert reports.pending_extraction(empty("k int, turn int, status string, name string, error string"), "k").count() == 0
+    ranges, nodes = empty("k int, range_id string, first int, last int, at timestamp_ntz"), empty("id string, label string, type string, chain_id string")
+    assert reports.recent_extractions(ranges, empty("range_id string, id string"), nodes, "k").count() == 0
+    graph = empty(NODE + ", essence string, status string, updated_at timestamp_ntz, created_at timestamp_ntz, work_status string")
+    links = empty("source_id string, target_id string, type string")
+    assert reports.root_tree(graph, links, empty("root_a string, root_b string, total int")).count() == 0
+    # the number of loose nodes is told even if it is 0
+    assert [tuple(r)[:3] for r in reports.overview(graph, links, empty("agent string, at timestamp_ntz"), now()).collect()] == [("unlinked", None, 0)]
+    conflicts = empty("conflict_id string, block_a string, block_b string, similarity double, detected_at timestamp_ntz, resolution string")
+    assert upkeep.conflicts_after(conflicts, conflicts.drop("conflict_id", "resolution")).count() == 0
+    assert [df.count() for df in upkeep.resolved(conflicts, graph, empty("conflict_id string, seq int, said string, merged_essence string, reason string"), now())] == [0, 0, 0]
+    assert upkeep.guarded(empty("id string, `group` string"), links).count() == 0
+    assert temporal.reminders(empty("id int, client string, file string, at timestamp_ntz"), empty("client string, at timestamp_ntz"), 10, 1).count() == 0
