@@ -22,6 +22,17 @@ def test_reasoned_nodes_by_share_of_words(spark):
     assert chains.recalled_chains(nodes.limit(0), queries).count() == 0
 
 
+def test_reasoned_texts_of_the_same_words_are_one_class(spark):
+    # 600 texts that differ in what no query asks for, and ten queries of the same words
+    nodes = spark.range(600).select(F.format_string("n%03d", "id").alias("id"), F.concat_ws(" ", F.lit("token cache"), F.col("id")).alias("essence"), F.when(F.col("id") % 2 == 0, "login").alias("problem"), F.lit(None).cast("string").alias("logic"), F.array(F.lit("a")).alias("inputs"), F.lit(1).alias("quality"))
+    queries = spark.range(10).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "token login").otherwise("login, token").alias("text"))
+    asked, first = chains.reasoned_classes(nodes, queries, 4)
+    assert asked.select("ask").distinct().count() == 1
+    assert sorted(r.id for r in first.collect()) == ["n000", "n001", "n002", "n003", "n004", "n005", "n006", "n007"]
+    got = chains.recalled_chains(nodes, queries, 4)
+    assert sorted((r.query_id, r.place, r.id, r.score) for r in got.collect()) == [(q, p, f"n{2 * p - 2:03d}", 1.0) for q in range(10) for p in range(1, 5)]
+
+
 def test_terms_of_the_session_before_a_restart(spark):
     time = lambda m: DAY + dt.timedelta(minutes=m)
     log = spark.createDataFrame([(time(10), "Check  LOGIN-flow, tokens"), (time(5), "tokens\tabout cache"), (time(20), None), (time(99), "afterwards")], "at timestamp_ntz, text string")

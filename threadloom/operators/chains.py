@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import settled
 from .grams import contained
 from .reads import top_in_group
 
@@ -19,26 +20,44 @@ def _words(texts: DataFrame, *keys: str) -> DataFrame:
     return texts.select(*keys, F.explode(F.array_distinct(F.split("string", r"\s+"))).alias("word")).filter("word <> ''").distinct()
 
 
+def reasoned_classes(nodes: DataFrame, queries: DataFrame, limit: int, quality: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Queries (query_id, ask, words) and the first limit nodes of each class (class, needles, id, place), both stored.
+
+    Queries of the same long words, repeats included, are one ask. Reasoned nodes whose texts contain the same of all queries' words are one class;
+    those that contain none are left out.
+    """
+    counts = F.col("inputs").isNotNull() | ((F.coalesce("problem", F.lit("")) != "") & (F.col("quality") >= quality))
+    texts = nodes.filter(counts).select("id", F.lower(F.concat_ws(" ", F.nullif("essence", F.lit("")), F.nullif("problem", F.lit("")), F.nullif("logic", F.lit("")))).alias("string"))
+    texts = texts.withColumn("key", F.sha2("string", 256))
+    asked = queries.select("query_id", F.array_sort(long_words(F.col("text"), 4)).alias("words")).filter(F.size("words") > 0)
+    asked = settled(asked.withColumn("ask", F.sha2(F.concat_ws(" ", "words"), 256)))
+    # of each text its few nodes, so that a text is taken apart once however many nodes share it
+    first = settled(top_in_group(texts, ["key"], [F.col("id")], limit).drop("place"))
+    there = settled(_words(first.groupBy("key").agg(F.first("string").alias("string")), "key"))
+    needles = asked.select(F.explode(F.array_distinct("words")).alias("needle"))
+    hits = contained(needles, there, string="word").withColumnRenamed("string", "word").join(there, "word").select("needle", "key").distinct()
+    held = hits.groupBy("key").agg(F.array_sort(F.collect_list("needle")).alias("needles")).withColumn("class", F.sha2(F.concat_ws(" ", "needles"), 256))
+    return asked, settled(top_in_group(first.join(held, "key").select("class", "needles", "id"), ["class"], [F.col("id")], limit))
+
+
 def recalled_chains(nodes: DataFrame, queries: DataFrame, limit: int = 2, quality: int = 3) -> DataFrame:
     """For each query (query_id, text) the limit (four at most) best reasoned nodes: query_id, place, id, score and problem.
 
     nodes: id, essence, problem, logic (null: none), inputs (array, null: not derived) and quality. A node counts if it is derived, or names a problem and has the
     quality. Its score is the share of the query's words of four letters or more that its essence, problem or logic contain; nodes without any
-    are left out, and of equal scores the smaller id comes first. Of nodes of one text only the first few can be among the best,
-    so a text that many nodes share is met once. A null text has no words.
+    are left out, and of equal scores the smaller id comes first. A null text has no words. Texts that contain the same of all queries' words
+    score the same, so they are scored as one class, of which only the first few nodes can be among the best; queries of the same words are asked once.
     """
     limit = min(limit, 4)
-    counts = F.col("inputs").isNotNull() | ((F.coalesce("problem", F.lit("")) != "") & (F.col("quality") >= quality))
-    texts = nodes.filter(counts).select("id", F.lower(F.concat_ws(" ", F.nullif("essence", F.lit("")), F.nullif("problem", F.lit("")), F.nullif("logic", F.lit("")))).alias("string"))
-    texts = texts.withColumn("key", F.sha2("string", 256))
-    words = queries.select("query_id", F.explode(long_words(F.col("text"), 4)).alias("needle")).groupBy("query_id", "needle").agg(F.count("*").alias("m"))
-    totals = words.groupBy("query_id").agg(F.sum("m").alias("all"))
-    there = _words(texts.groupBy("key").agg(F.first("string").alias("string")), "key")
-    hits = contained(words, there, string="word").withColumnRenamed("string", "word").join(there, "word").select("needle", "key").distinct()
-    hits = words.join(hits, "needle").groupBy("query_id", "key").agg(F.sum("m").alias("m"))
-    scored = hits.join(totals, "query_id").select("query_id", "key", (F.col("m") / F.col("all")).alias("score"))
-    first = top_in_group(texts.select("key", "id"), ["key"], [F.col("id")], limit).drop("place")
-    best = top_in_group(scored.join(first, "key").drop("key"), ["query_id"], [F.desc("score"), F.col("id")], limit)
+    asked, first = reasoned_classes(nodes, queries, limit, quality)
+    asks = asked.groupBy("ask").agg(F.first("words").alias("words"))
+    words = asks.select("ask", F.size("words").alias("all"), F.explode("words").alias("needle")).groupBy("ask", "all", "needle").agg(F.count("*").alias("m"))
+    classes = first.filter("place = 1").select("class", F.col("id").alias("least"), F.explode("needles").alias("needle"))
+    scored = words.join(classes, "needle").groupBy("ask", "all", "class", "least").agg(F.sum("m").alias("m")).select("ask", "class", "least", (F.col("m") / F.col("all")).alias("score"))
+    # a class that so many precede by score and smallest id has no node among the best
+    ahead = top_in_group(scored, ["ask"], [F.desc("score"), F.col("least")], limit).select("ask", "class", "score")
+    best = top_in_group(ahead.join(first.select("class", "id"), "class").drop("class"), ["ask"], [F.desc("score"), F.col("id")], limit)
+    best = asked.select("query_id", "ask").join(best, "ask").drop("ask")
     about = nodes.select("id", F.coalesce(F.nullif("problem", F.lit("")), F.substring("essence", 1, 80)).alias("problem"))
     return best.join(about, "id").select("query_id", "place", "id", "score", "problem")
 
