@@ -172,6 +172,15 @@ def test_claims_as_by_a_loop(spark):
     assert temporal.claims(attempts.limit(0), releases, 5).count() == 0 and temporal.claims(attempts, releases.limit(0), 10_000).filter("claimed").count() == 5
 
 
+def test_next_rows_read_no_group_anew_for_each_row(spark):
+    rows = spark.createDataFrame([(n, "k", 10 * n, 0) for n in range(9)] + [(9, "k", 30, -1)], "n bigint, key string, t bigint, order int")
+    asks = spark.createDataFrame([(n, "k", 10 * n - 5) for n in range(1, 10)] + [(20, "k", 30), (21, "j", 0)], "n bigint, key string, at bigint")
+    got = temporal.next_rows(rows, asks, "key", 25)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 2), (3, 9), *((n, n) for n in range(4, 9)), (20, 9)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
+
+
 def test_reminders_by_hand(spark):
     time = lambda s: DAY + dt.timedelta(seconds=s)
     reads = spark.createDataFrame([("a", time(0)), ("a", time(0)), ("a", time(1000)), (None, time(0))], "client string, at timestamp_ntz")

@@ -37,12 +37,13 @@ def next_rows(rows: DataFrame, asks: DataFrame, key: str, width: int) -> DataFra
     # asked before the events of the same time
     asked = asks.select(key, "at", F.lit(None).cast(rows.schema["order"].dataType).alias("order"), F.lit(None).cast("bigint").alias("event"), F.col("n").alias("asks"))
     both = events.unionByName(asked).withColumn("bucket", F.floor(F.col("at") / width))
-    ahead = Window.partitionBy(key, "bucket").orderBy(F.col("at"), F.col("asks").isNull(), "order").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first("event", ignorenulls=True).over(ahead)).filter("asks IS NOT NULL").select(key, "bucket", F.col("asks").alias("n"), "next")
+    # read backwards, since a frame that begins at the row and ends with the group is read anew for every row
+    ahead = Window.partitionBy(key, "bucket").orderBy(F.desc("at"), F.desc(F.col("asks").isNull()), F.desc("order")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next", F.last("event", ignorenulls=True).over(ahead)).filter("asks IS NOT NULL").select(key, "bucket", F.col("asks").alias("n"), "next")
     begins = events.withColumn("bucket", F.floor(F.col("at") / width)).groupBy(key, "bucket").agg(F.min_by("event", F.struct("at", "order")).alias("begin"))
     every = found.select(key, "bucket").distinct().join(begins, [key, "bucket"], "full_outer")
-    later = Window.partitionBy(key).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
-    every = every.withColumn("begin", F.first("begin", ignorenulls=True).over(later))
+    later = Window.partitionBy(key).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("begin", F.last("begin", ignorenulls=True).over(later))
     return found.join(every, [key, "bucket"]).select("n", F.coalesce("next", "begin").alias("next")).filter("next IS NOT NULL")
 
 
