@@ -63,6 +63,17 @@ def test_causal_order_beats_time(spark):
     assert [r.id for r in got] == ["cause", "effect", "other"]
 
 
+def test_only_chains_out_of_time_are_ordered_edge_by_edge(spark):
+    time = lambda d: None if d is None else T0 + dt.timedelta(d)
+    rows = [("t", "a", 0), ("t", "b", 1), ("t", "c", 1), ("t", "z", None), ("u", "a", 5), ("u", "b", 3), ("v", "x", 0), ("v", "y", 1), ("w", "a", 2), ("w", "a", 2), ("w", "c", 1)]
+    members = spark.createDataFrame([(c, i, time(d)) for c, i, d in rows], "chain string, id string, created_at timestamp_ntz")
+    # t: b and c are of one time; u: the cause is newer; v: a cycle; an edge to another chain is none
+    e = edges(spark, ("c", "b", "based_on"), ("z", "a", "based_on"), ("b", "a", "based_on"), ("x", "y", "based_on"), ("y", "x", "based_on"), ("x", "a", "based_on"))
+    assert {r.chain for r in traverse.inner_edges(members, e).filter("late").collect()} == {"u", "v"}
+    got = sorted((r.chain, r.place, r.id) for r in traverse.causal_order(members, e).collect())
+    assert got == [("t", 1, "a"), ("t", 2, "b"), ("t", 3, "c"), ("t", 4, "z"), ("u", 1, "a"), ("u", 2, "b"), ("v", 1, "x"), ("v", 2, "y"), ("w", 1, "c"), ("w", 2, "a")]
+
+
 def test_components_and_chains(spark):
     n = nodes(spark, *({"id": i, "type": t} for i, t in (("a", "event"), ("b", "fact"), ("c", "decision"), ("d", "fact"), ("e", "task"))))
     e = edges(spark, ("b", "a", "based_on"), ("c", "b", "based_on"), ("e", "d", "prompted_by"))
