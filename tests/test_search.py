@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import cells
-from threadloom.operators.search import semantic_search
+from threadloom.operators.search import comparable, semantic_search
 
 SCHEMA = "vec_id bigint, embedding array<double>, label int"
 
@@ -55,3 +55,14 @@ def test_semantic_search_takes_odd_vectors(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.query_id, r.id) for r in semantic_search(df, df.filter(F.col("vec_id") % 50 == 0), floor=0.5).filter("query_id <> 903 and id <> 903").collect()}
     assert got == {k for k, c in brute(rows, 0.5, None).items()}
+
+
+def test_pairs_carry_columns_and_floors_of_their_own(spark):
+    df = spark.createDataFrame(some_vectors(60), SCHEMA)
+    queries = df.filter(F.col("vec_id") % 50 == 0)
+    own = df.withColumn("least", F.when(F.col("label") == 0, 0.8).otherwise(-2.0))
+    got = {(r.query_id, r.id): r.label for r in semantic_search(own, queries, floor="least", carried=("label",)).collect()}
+    every = {(r.query_id, r.id): r.similarity for r in semantic_search(df, queries, floor=-2.0).collect()}
+    label = {r.vec_id: r.label for r in df.collect()}
+    assert got == {k: label[k[1]] for k, c in every.items() if c > (0.8 if label[k[1]] == 0 else -2.0)}
+    assert {r.vec_id for r in comparable(df, queries).collect()} == {k[1] for k in every}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scoring import recency
+from ..functions.scoring import dot, recency
 from ..functions.text import jaccard, primary, stem
 from ..sources.checkpoints import settled
 from ..sources.shipping import shipped
@@ -54,19 +54,21 @@ def concept_hits(nodes: DataFrame, terms: Sequence[str]) -> DataFrame:
     return nodes.withColumn("matched", pairs.cast("bigint")).filter("matched > 0")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Rows in blocks of about size: one row a block, with its ids and vectors."""
+def _blocks(df: DataFrame, key: str, vector: str, size: int, carried: Sequence[str] = ()) -> DataFrame:
+    """Rows in blocks of about size: one row a block, with its ids, vectors and carried columns."""
     n = max(1, -(-df.count() // size))
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("rows")
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), *carried)
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v", *carried)).alias("rows")).select("rows")
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int | None = None, floor: float = SEMANTIC_FLOOR, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int | None = None, floor: float | str = SEMANTIC_FLOOR, key: str = "vec_id", vector: str = "embedding", carried: Sequence[str] = ()) -> DataFrame:
     """query_id, id, similarity and place of the rows with a cosine above floor, for each query; with limit, the nearest.
 
     queries and vectors: key, vector. Both come in blocks of BLOCK; each two blocks meet once and give limit rows a query
     at most. Equal similarities go by id. Null vectors match nothing, and neither do vectors of another length or of zeros.
+    floor may be a column of vectors, one for each row; carried are columns of vectors that come with each pair, so that pairs needn't be joined.
     """
+    kept = [*carried, *([floor] if isinstance(floor, str) and floor not in carried else [])]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,22 +78,29 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int | None =
                     (mine, asked), (theirs, there) = matrix(a.field("v"), length), matrix(b.field("v"), length)
                     ids, others = a.field("id").to_numpy()[mine], b.field("id").to_numpy()[theirs]
                     cos = asked @ there.T
-                    q, j = np.nonzero(cos > floor)
+                    q, j = np.nonzero(cos > (b.field(floor).to_numpy()[theirs] if isinstance(floor, str) else floor))
                     if limit:
                         order = np.lexsort((others[j], -cos[q, j], q))
                         q, j = q[order], j[order]
                         keep = np.arange(len(q)) - np.searchsorted(q, q) < limit
                         q, j = q[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(others[j]), pa.array(cos[q, j])], names=["query_id", "id", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(others[j]), pa.array(cos[q, j]), *(b.field(c).take(pa.array(theirs[j])) for c in carried)], names=["query_id", "id", "similarity", *carried])
 
     shipped(vectors.sparkSession)
     # stored, since the other side would else build the vectors' blocks again in each of its partitions
-    asked, there = _blocks(queries, key, vector, BLOCK).withColumnRenamed("rows", "asked"), settled(_blocks(vectors, key, vector, BLOCK))
-    found = asked.crossJoin(there).mapInArrow(meet, "query_id bigint, id bigint, similarity double")
+    asked, there = _blocks(queries, key, vector, BLOCK).withColumnRenamed("rows", "asked"), settled(_blocks(vectors, key, vector, BLOCK, kept))
+    found = asked.crossJoin(there).mapInArrow(meet, ", ".join(["query_id bigint, id bigint, similarity double", *(f"{c} {dict(vectors.dtypes)[c]}" for c in carried)]))
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")).cast("bigint")) if limit else found
     return ranked.filter(F.col("place") <= limit) if limit else ranked
 
 
+def comparable(vectors: DataFrame, queries: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The rows of vectors that semantic_search compares with any query: finite, not zero, and of the length of a query that is."""
+    size = F.sqrt(dot(F.col(vector), F.col(vector)))
+    usable = lambda df: df.filter((size > 0) & (size < float("inf"))).withColumn("length", F.size(vector))
+    return usable(vectors).join(F.broadcast(usable(queries).select("length").distinct()), "length", "left_semi").drop("length")
+
+
 def hybrid(queries: DataFrame, semantic: DataFrame, keyword: DataFrame, concept: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """One score a query and node from three searches, the best limit a query: query_id, id, score, match_types, place.
 

@@ -178,12 +178,15 @@ def recall_chain(g: GraphStore) -> DataFrame:
 )
 def find_skill(g: GraphStore) -> DataFrame:
     """Parts that fit, for each query vector; parts without a vector fit by concept and word alone, with a null query_id."""
-    sim = S.semantic_search(g.table("embeddings"), asked(g), floor=-2.0).select("query_id", F.concat(F.lit("p"), "id").alias("id"), F.col("similarity").alias("s"))
     wanted = F.array(F.lit("red"), F.lit("economy"))
-    p = live(g.artifacts()).select("id", F.arrays_overlap("concepts", wanted).alias("concept"), F.contains(F.lower("essence"), F.lit("widget")).alias("kw")).join(sim, "id", "left")
-    s = F.coalesce("s", F.lit(0.0))
-    score = F.col("concept").cast("int") * 0.4 + s * 0.45 + F.col("kw").cast("int") * 0.15
-    return p.withColumn("score", score).filter((F.col("score") > 0.1) | F.col("concept")).select("query_id", "id", F.round("score", 6).alias("score"), (F.col("concept") & (s < 0.75)).alias("transferable"))
+    p = live(g.artifacts()).select("id", F.arrays_overlap("concepts", wanted).alias("concept"), F.contains(F.lower("essence"), F.lit("widget")).alias("kw"))
+    v = g.table("embeddings").select("vec_id", "embedding", F.concat(F.lit("p"), "vec_id").alias("id"))
+    # what a part's words leave for its cosine to make up, with some slack; scores are filtered by themselves
+    least = F.when(F.col("concept"), -2.0).otherwise((0.1 - F.col("kw").cast("int") * 0.15) / 0.45 - 1e-6)
+    fit = S.semantic_search(v.join(p.hint("merge"), "id").withColumn("least", least), asked(g), floor="least", carried=("concept", "kw")).select("query_id", F.concat(F.lit("p"), "id").alias("id"), "concept", "kw", F.col("similarity").alias("s"))
+    rest = p.join(S.comparable(v, asked(g)).select("id"), "id", "left_anti").select(F.lit(None).cast("bigint").alias("query_id"), "id", "concept", "kw", F.lit(0.0).alias("s"))
+    score = F.col("concept").cast("int") * 0.4 + F.col("s") * 0.45 + F.col("kw").cast("int") * 0.15
+    return fit.unionByName(rest).withColumn("score", score).filter((F.col("score") > 0.1) | F.col("concept")).select("query_id", "id", F.round("score", 6).alias("score"), (F.col("concept") & (F.col("s") < 0.75)).alias("transferable"))
 
 
 @query(
