@@ -66,3 +66,37 @@ def test_rounds_grow_with_the_logarithm_of_a_line(spark, monkeypatch):
     assert got == {(1999, k): 1999 - k for k in range(2000)} | {(7, k): 7 - k for k in range(8)} and len(rounds) < 15
     rounds.clear()
     assert traverse.reached(e, starts.withColumnRenamed("start", "id")).count() == 2000 and len(rounds) < 15
+
+
+def test_components_of_blocks_are_one_round(spark, monkeypatch):
+    """Edges that lie together are connected where they lie; blocks that share nodes, in any order, give the same components."""
+    rounds = []
+    real = traverse.settled_counted
+    monkeypatch.setattr(traverse, "settled_counted", lambda *a: rounds.append(1) or real(*a))
+    pairs = [(f"{c}-{k:03}", f"{c}-{k // 2:03}") for c in "abc" for k in range(60)] + [("x", "x")]
+    want = {x: f"{x[0]}-000" for p in pairs for x in p if x != "x"}
+    e = spark.createDataFrame(pairs, "source_id string, target_id string").coalesce(1)
+    assert {r.id: r.component for r in traverse.components(e).collect()} == want and len(rounds) == 1
+    assert {r.id: r.component for r in traverse.components(e.repartition(7)).collect()} == want
+    cut = traverse.stars(e.selectExpr("source_id AS u", "target_id AS v").filter("u <> v"), 5)
+    assert cut.select("id").distinct().count() < cut.count()
+
+
+@pytest.mark.parametrize("near", [20_000, 6])
+def test_members_equal_breadth_first(spark, monkeypatch, near):
+    """Threads of small components in one task, of wide ones in rounds; both as by hand."""
+    monkeypatch.setattr(traverse, "NEAR", near)
+    rounds = []
+    real = traverse.settled_counted
+    monkeypatch.setattr(traverse, "settled_counted", lambda *a: rounds.append(1) or real(*a))
+    pairs = graph(1) + [("m", "n"), ("s", "s")]
+    starts = [*random.Random(1).sample(sorted({x for p in pairs for x in p}), 9), "m", "s", "nowhere"]
+    want = {}
+    for s in starts:
+        depth = {x: d for (_, x), d in brute([(b, a) for a, b in pairs], [s]).items()} | {x: -d for (_, x), d in brute(pairs, [s]).items()}
+        for x, d in depth.items():
+            want[s, x] = (d, not any(a == x and b in depth for a, b in pairs), not any(b == x and a in depth for a, b in pairs))
+    e = spark.createDataFrame(pairs, "source_id string, target_id string").coalesce(2)
+    got = traverse.members(e, spark.createDataFrame([(x,) for x in starts], "start string")).collect()
+    assert {(r.start, r.id): (r.depth, r.is_origin, r.is_leaf) for r in got} == want and len(got) == len(want)
+    assert near == 6 or len(rounds) < 8
