@@ -110,3 +110,35 @@ def test_slices_and_quotas(spark):
     one = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 1)], "anchor string, id string, place bigint")
     two = spark.createDataFrame([("a", "x", 1), ("a", "z", 2), ("b", "w", 1)], "anchor string, id string, place bigint")
     assert sorted(tuple(r) for r in quotas([("first", one), ("second", two)], 3).collect()) == [("a", "x", "first", 1), ("a", "y", "first", 2), ("a", "z", "second", 3), ("b", "w", "second", 2), ("b", "x", "first", 1)]
+
+
+def test_what_is_sent_again_is_neither_worked_out_nor_written(spark, graph, monkeypatch):
+    g, path = graph
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    new = spark.createDataFrame([node("x1", "label_8", essence="back"), node("x2", "fresh")], NODE)
+    ties = spark.createDataFrame([("fresh", "Label_3", "supports"), ("LABEL_5", "nobody", "supports")], "source_label string, target_label string, type string")
+    versions = stores.remember(g, new, ties, now, "memo")
+    assert sorted((r.source_id, r.target_id) for r in g.edges().filter("type = 'supports'").collect()) == [("x2", "n3")]
+    settled = stores.settled
+    monkeypatch.setattr(stores, "settled", None)
+    assert stores.remember(g, new, ties, now, "memo") == versions
+    monkeypatch.setattr(stores, "settled", settled)
+    # without a name the edges are looked at, but no bucket is made anew
+    again = spark.createDataFrame([("n1", "n0", "extends", "active", None, None, None), ("n7", "n2", "extends", "active", None, None, None)], EDGE)
+    stores.link(g, again)
+    before = files(f"{path}/g")
+    assert stores.link(g, again) == g.edges_table.latest() and files(f"{path}/g") == before
+    # a named batch in which nothing is new is taken in, so that it stays without effect after its edges have ended
+    stores.link(g, again, "late")
+    stores.end(g, again, now)
+    stores.link(g, again, "late")
+    assert g.edges().filter("valid_to IS NULL AND source_id = 'n7' AND target_id = 'n2'").count() == 0 and g.edges().count() == 41
+
+
+def test_quality_counts_an_older_edge_where_the_new_one_has_an_end(spark, graph):
+    g, _ = graph
+    past = "2023-01-01 00:00:00"
+    new = spark.createDataFrame([("n1", "n5", "supports", "active", None, None, past), ("n0", "n5", "supports", "active", None, None, past)], "source_id string, target_id string, type string, status string, created_at string, valid_from string, valid_to string")
+    stores.link(g, new.select(*(F.col(c).cast("timestamp_ntz").alias(c) if c in ("created_at", "valid_from", "valid_to") else c for c in new.columns)))
+    got = {r.id: r.quality for r in g.nodes().collect()}
+    assert (got["n1"], got["n0"]) == (2, 1) and g.edges().count() == 41

@@ -25,6 +25,13 @@ def created(nodes: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """
     key = F.lower("label")
     first = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("id"))).filter("__n = 1").drop("__n")
+    added = first.join(nodes.select(key.alias("__k")), F.lower(first["label"]) == F.col("__k"), "left_anti")
+    return brought_back(nodes, first, now).unionByName(added)
+
+
+def brought_back(nodes: DataFrame, first: DataFrame, now: Column) -> DataFrame:
+    """nodes, of which those with the label of a row of first take in what created() says; first has each label once."""
+    key = F.lower("label")
     merges = "payload" in nodes.columns
     again = first.select(key.alias("__k"), F.lit(True).alias("__again"), F.nullif("essence", F.lit("")).alias("__essence"), F.col("ttl").alias("__ttl"), *([F.col("payload").alias("__payload")] if merges else []))
     held = nodes.withColumn("__k", key).join(again, "__k", "left")
@@ -38,8 +45,7 @@ def created(nodes: DataFrame, new: DataFrame, now: Column) -> DataFrame:
         changes["payload"] = F.when(live, F.map_concat(old, "__payload")).otherwise(F.col("payload"))
         touched = back | live
     changes["updated_at"] = F.when(touched, now).otherwise(F.col("updated_at"))
-    added = first.join(nodes.select(key.alias("__k")), F.lower(first["label"]) == F.col("__k"), "left_anti")
-    return held.withColumns(changes).select(*nodes.columns).unionByName(added)
+    return held.withColumns(changes).select(*nodes.columns)
 
 
 def updated(nodes: DataFrame, changes: DataFrame, now: Column, force: bool = False) -> tuple[DataFrame, DataFrame]:

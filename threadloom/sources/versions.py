@@ -41,6 +41,10 @@ class BucketedTable:
     def batches(self, version: int) -> set[str]:
         return {r.batch for r in self.spark.read.parquet(f"{self.folder}/versions/{version}").filter("batch IS NOT NULL").collect()}
 
+    def taken(self, batch: str | None) -> bool:
+        """Whether the last version has taken this batch in; a batch without a name never is."""
+        return batch is not None and batch in self.batches(self.latest())
+
     def create(self, rows: DataFrame) -> int:
         """The first version."""
         return self._write(rows, 1, {}, set(range(self.buckets)), set())
@@ -50,7 +54,9 @@ class BucketedTable:
         dealt = rows.withColumn("bucket", self.bucket(self.key)).repartition(min(self.buckets, max(1, len(touched))), "bucket")
         dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/data/made={version}")
         there = {r.bucket for r in self.spark.read.schema("bucket int").parquet(f"{self.folder}/data/made={version}").select("bucket").distinct().collect()}
-        now = {b: m for b, m in made.items() if b not in touched} | dict.fromkeys(there, version)
+        return self._list(version, {b: m for b, m in made.items() if b not in touched} | dict.fromkeys(there, version), batches)
+
+    def _list(self, version: int, now: dict[int, int], batches: set[str]) -> int:
         listed = [(b, m, None) for b, m in sorted(now.items())] + [(-1, version, x) for x in sorted(batches)] or [(-1, version, None)]
         self.spark.createDataFrame(listed, "bucket int, made int, batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{version}")
         return version
@@ -64,7 +70,8 @@ class BucketedTable:
     def rewrite(self, schema: object, touched: DataFrame, change: Callable[[DataFrame], DataFrame], batch: str | None = None) -> int:
         """The next version, in which the buckets of the keys of touched are what change makes of their rows.
 
-        A batch that some version has taken in already changes nothing. change sees whole buckets and must not move rows to others.
+        A batch that some version has taken in already changes nothing; one that touches no bucket is taken in all the same. change
+        sees whole buckets and must not move rows to others.
         """
         version = self.latest()
         batches = self.batches(version)
@@ -72,6 +79,6 @@ class BucketedTable:
             return version
         numbers = {r[0] for r in touched.select(self.bucket(self.key).alias("b")).distinct().collect()}
         if not numbers:
-            return version
+            return version if batch is None else self._list(version + 1, self.made(version), batches | {batch})
         after = change(self.read(schema, version, numbers))
         return self._write(after, version + 1, self.made(version), numbers, batches | ({batch} if batch else set()))
