@@ -246,3 +246,16 @@ def test_snapshots_keep_the_newest(spark, tmp_path):
     for k in range(4):
         left = writes.snapshot(spark.range(1), f"file://{tmp_path}", f"s{k}", keep=2)
     assert left == ["s3", "s2"]
+
+
+def test_gaps_put_nodes_and_edges_together_without_joins(spark):
+    from threadloom.operators.audit import gaps
+
+    nodes = spark.createDataFrame([("t", "task", "active"), ("t", "task", "active"), ("u", "task", "active"), ("d", "dead_end", "active"), ("e", "dead_end", "active"), ("f", "fact", "active"), ("g", "fact", "archived"), (None, "fact", "active")], "id string, type string, status string")
+    end = "2024-01-01 00:00:00"
+    rows = [("u", "f", "based_on", "active", None), ("d", "x", "contradicts", "active", None), ("e", "f", "contradicts", "active", end), ("e", "u", "affects", "active", None), ("t", "f", "prompted_by", "pending", None), (None, "t", "affects", "active", None)]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, type string, status string, valid_to string").withColumn("valid_to", F.col("valid_to").cast("timestamp_ntz"))
+    found = gaps(nodes, edges)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("dead_end_without_conflict", "e"), ("orphan", None), ("task_without_cause", "t"), ("task_without_cause", "t")], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.columns == ["gap", "id"]

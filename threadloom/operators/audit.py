@@ -20,6 +20,8 @@ LIFETIME_HOURS = {"1hr": 1, "24hr": 24, "1week": 168, "session": 24}
 DONE = ("done", "complete", "completed", "finished", "shipped", "fixed", "resolved", "closed", "merged", "deployed", "landed", "implemented")
 BEGUN = ("in_progress", "in-progress", "in progress", "wip", "started", "ongoing", "underway", "building", "active")
 OPEN = ("open", "todo", "to-do", "pending", "proposed", "planned", "required", "needed", "owed", "blocked", "not started", "unstarted", "")
+#: Bits of what edges say of a node: has one, comes from a cause, contradicts something.
+LINKED, CAUSED, AGAINST = 1, 2, 4
 RANKS = {"open": 0, "in_progress": 1, "done": 2}
 
 
@@ -49,16 +51,19 @@ def work_status(raw: Column) -> Column:
 def gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Open ends by kind: orphan nodes, tasks without a cause, dead ends that contradict nothing."""
     held = current(edges)
+    # nodes and ends of edges are put together in one grouping by id, with counts and bits only: no rows are sorted or joined
     known = live(nodes)
-    ends = held.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    caused = held.filter(F.col("type").isin("prompted_by", "based_on")).select(F.col("source_id").alias("id")).distinct()
-    against = held.filter("type = 'contradicts'").select(F.col("source_id").alias("id")).distinct()
-    parts = [
-        known.join(ends, "id", "left_anti").select(F.lit("orphan").alias("gap"), "id"),
-        known.filter("type = 'task'").join(caused, "id", "left_anti").select(F.lit("task_without_cause").alias("gap"), "id"),
-        known.filter("type = 'dead_end'").join(against, "id", "left_anti").select(F.lit("dead_end_without_conflict").alias("gap"), "id"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    one = lambda test: F.when(test, F.lit(1)).otherwise(F.lit(0)).cast("int")
+    none = F.lit(0).cast("int")
+    met = known.select("id", one(F.lit(True)).alias("n"), one(F.col("type") == "task").alias("tasks"), one(F.col("type") == "dead_end").alias("dead_ends"), none.alias("bits"))
+    bits = F.lit(LINKED) + F.when(F.col("type").isin("prompted_by", "based_on"), CAUSED).when(F.col("type") == "contradicts", AGAINST).otherwise(0)
+    end = lambda id_, bits: F.struct(F.col(id_).alias("id"), none.alias("n"), none.alias("tasks"), none.alias("dead_ends"), bits.cast("int").alias("bits"))
+    links = held.select(F.inline(F.array(end("source_id", bits), end("target_id", F.lit(LINKED))))).filter("id IS NOT NULL")
+    seen = met.unionByName(links).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", "tasks", "dead_ends")), F.bit_or("bits").alias("bits")).filter("n > 0")
+    open_ = lambda gap, n, bit: F.struct(F.lit(gap).alias("gap"), F.when(F.col("bits").bitwiseAND(bit) == 0, F.col(n)).otherwise(0).cast("int").alias("n"))
+    gap = F.array(open_("orphan", "n", LINKED), open_("task_without_cause", "tasks", CAUSED), open_("dead_end_without_conflict", "dead_ends", AGAINST))
+    # an id that several nodes have is told as often
+    return seen.select("id", F.inline(gap)).filter("n > 0").select("gap", "id", F.explode(F.array_repeat(F.lit(True), F.col("n"))).alias("__again")).drop("__again")
 
 
 def gap_report(nodes: DataFrame, edges: DataFrame, conflicts: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
