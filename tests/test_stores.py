@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import stores
+from threadloom.operators import nearby, stores
 from threadloom.operators.composites import tags_of
 from threadloom.operators.nearby import graph_slices, neighbourhoods, quotas
 from threadloom.operators import cells
@@ -135,6 +135,21 @@ def test_what_is_sent_again_is_neither_worked_out_nor_written(spark, graph, monk
     assert g.edges().filter("valid_to IS NULL AND source_id = 'n7' AND target_id = 'n2'").count() == 0 and g.edges().count() == 41
 
 
+def test_slices_rank_no_more_nodes_without_a_vector_than_may_come_in(spark, monkeypatch):
+    seen = []
+    settled = nearby.settled
+    monkeypatch.setattr(nearby, "settled", lambda df: seen.append(settled(df)) or seen[-1])
+    rows = [(f"n{k:03}", f"p_{k}", "red widget" if k % 2 else "red bolt", ["paint"]) for k in range(400)]
+    nodes = spark.createDataFrame(rows, "id string, label string, essence string, concepts array<string>")
+    vectors = spark.createDataFrame([("n001", [1.0, 0.0]), ("n301", [1.0, 0.1]), ("n303", [-1.0, 0.0])], "id string, v array<double>")
+    roots = spark.createDataFrame([], "id string, label string, essence string")
+    ask = nodes.filter("id IN ('n001', 'n005')").select(F.col("id").alias("query_id"), F.col("essence").alias("value"), "concepts")
+    got = graph_slices(nodes, ask, 3, roots, vectors).orderBy("query_id", "place").collect()
+    # those with a vector are all met, of the others of a value no more than may be among the best; without a vector of its own a query goes by id
+    assert [(r.query_id, r.id) for r in got] == [("n001", "n301"), ("n001", "n003"), ("n001", "n005"), ("n005", "n001"), ("n005", "n003"), ("n005", "n007")]
+    assert seen[0].count() <= 2 * (2 * 4 + 3)
+
+
 def test_quality_counts_an_older_edge_where_the_new_one_has_an_end(spark, graph):
     g, _ = graph
     past = "2023-01-01 00:00:00"
