@@ -216,3 +216,12 @@ def test_reports_and_upkeep_of_empty_tables(spark):
     assert [df.count() for df in upkeep.resolved(conflicts, graph, empty("conflict_id string, seq int, said string, merged_essence string, reason string"), now())] == [0, 0, 0]
     assert upkeep.guarded(empty("id string, `group` string"), links).count() == 0
     assert temporal.reminders(empty("id int, client string, file string, at timestamp_ntz"), empty("client string, at timestamp_ntz"), 10, 1).count() == 0
+
+
+def test_merged_items_read_each_value_once(spark):
+    items = spark.createDataFrame([("a", "fact", "Red  x", 1, "p"), ("b", "fact", "red x", 2, "q"), ("c", "fact", "", 3, None)], "id string, type string, value string, place int, group string")
+    refs = spark.createDataFrame([("b", "c", "based_on"), ("c", "b", "extends"), ("a", "b", "based_on")], "source_id string, target_id string, kind string")
+    into, links = upkeep.merged_items(items, refs)
+    assert rows(links, "source_id", "target_id", "kind") == [("a", "c", "based_on"), ("c", "a", "extends")]
+    # neither table works the values out anew
+    assert all("sha2" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (into, links))

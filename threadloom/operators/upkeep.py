@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import settled
 from ..sources.graph import normal_text
 from .audit import work_status
 from .flags import ASKED
@@ -120,9 +121,10 @@ def merged_items(items: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFram
     every item, groups being those of all copies in order, and the references.
     """
     value = normal_text(F.col("value"))
-    keyed = items.select("id", "type", "place", "group", F.when(value != "", F.sha2(value, 256)).otherwise(F.concat(F.lit("="), "id")).alias("key"))
+    # stored without the values, which the branches below would all read and put in order anew
+    keyed = settled(items.select("id", "type", "place", "group", F.when(value != "", F.sha2(value, 256)).otherwise(F.concat(F.lit("="), "id")).alias("key")))
     firsts = keyed.groupBy("type", "key").agg(F.min(F.struct("place", "id"))["id"].alias("into"), F.count("*").alias("copies"), F.array_sort(F.collect_set("group")).alias("groups"))
-    moved = keyed.join(firsts, ["type", "key"])
+    moved = settled(keyed.join(firsts, ["type", "key"]).select("id", "into", "copies", "groups", "place"))
     at = moved.select("id", "into", "place")
     source = at.select(F.col("id").alias("source_id"), F.col("into").alias("from"), "place")
     target = at.select(F.col("id").alias("target_id"), F.col("into").alias("to"))
