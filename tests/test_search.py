@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.catalog import queries
 from threadloom.operators import cells
 from threadloom.operators.search import comparable, semantic_search
 
@@ -66,3 +67,29 @@ def test_pairs_carry_columns_and_floors_of_their_own(spark):
     label = {r.vec_id: r.label for r in df.collect()}
     assert got == {k: label[k[1]] for k, c in every.items() if c > (0.8 if label[k[1]] == 0 else -2.0)}
     assert {r.vec_id for r in comparable(df, queries).collect()} == {k[1] for k in every}
+
+
+def test_closest_takes_the_smallest_id_of_what_rounds_alike(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    rows = [(k + 300 * n, [float(x) for x in np.array(v) * (1 + n / 7) + 1e-8 * rng.normal(size=6)] if k < 300 and v else v, label) for k, v, label in some_vectors(300) if k < 300 for n in range(5)]
+    rows += [(2000, None, 0), (2050, [0.0] * 6, 0), (2100, rows[0][1], None), (2150, [1.0] * 6, 7), (2200, [0.6] * 6, 8), (2201, [-0.7] * 6, 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = {}
+    for (q, r), c in brute(rows, -2.0, "label").items():
+        if q != r:
+            pairs.setdefault(q, []).append((c, r))
+    expected = {q: min((-round(c, 6), r) for c, r in found)[1] for q, found in pairs.items()}
+    raw = {q: max((c, -r) for c, r in found) for q, found in pairs.items()}
+    got = {r.query_id: r for r in cells.closest(cells.indexed(df, 8, group="label"), df.filter("vec_id % 50 = 0"), 6, group="label").collect()}
+    assert {q: r.id for q, r in got.items()} == expected and all(abs(got[q].similarity - c) < 1e-9 for q, (c, _) in raw.items())
+    assert 2200 in got and 2150 not in got and any(-raw[q][1] != r for q, r in expected.items())
+    assert cells.closest(cells.indexed(df.limit(0), 4), df.limit(0), 6).count() == 0
+
+
+def test_duplicate_alerts_round_before_they_choose(spark, tmp_path):
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(0, [1.0, 0.0], 1), (7, at(0.8799998), 1), (9, at(0.8800002), 1), (50, [1.0, 0.0], 2), (53, at(0.5), 2), (51, at(0.5000001), 2), (52, at(0.5000002), 2), (100, [1.0, 0.0], 3)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in queries()["d16_duplicate_alerts"](spark, str(tmp_path)).collect())
+    assert got == [(0, 7, "strong"), (50, 51, "none")]
