@@ -93,3 +93,17 @@ def test_duplicate_alerts_round_before_they_choose(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(tuple(r) for r in queries()["d16_duplicate_alerts"](spark, str(tmp_path)).collect())
     assert got == [(0, 7, "strong"), (50, 51, "none")]
+
+
+def test_cosines_of_all_pairs_are_not_shuffled(spark, tmp_path):
+    rows = [r for r in some_vectors(120) if r[0] not in (901, 902, 903, 904)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries()["c03_cosine"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    pairs = next(n for n, line in enumerate(plan) if "MapInArrow" in line)
+    assert not any("Exchange" in line or "Join" in line for line in plan[:pairs])
+    label = {r[0]: r[2] for r in rows}
+    got = {(r.query_id, r.vec_id): (r.label, r.similarity) for r in found.collect()}
+    expected = brute(rows, -2.0, None)
+    assert got.keys() == expected.keys() and all(got[k] == (label[k[1]], round(c, 5)) for k, c in expected.items())
+    assert found.dtypes == [("query_id", "bigint"), ("vec_id", "bigint"), ("label", "int"), ("similarity", "double")]
